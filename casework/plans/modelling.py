@@ -1,7 +1,116 @@
-"""Modelling queries (placeholder, filled below)."""
-from casework.plans.catalogue import query  # noqa: F401
+"""Modelling queries: training table (X4), search (M1-M9), regression (M10-M11), attribution
+(X1-X2, S6) and selection (M12-M13). They read the case table derived from the driver's tables.
+Most are checked by row count plus property tests; ``stump_shap`` also has a closed-form oracle."""
 
+from __future__ import annotations
 
-def training_table(spark, sf_dir):
-    from casework.sources.fixtures import build_cases
-    return build_cases(spark, sf_dir)
+import numpy as np
+from pyspark.ml.classification import RandomForestClassifier
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from casework.config import BuildConfig
+from casework.operators import search, treeshap
+from casework.plans.catalogue import query, r6
+from casework.plans.training import build_training_table, feature_columns, with_label
+from casework.sources.fixtures import build_cases
+from casework.sources.tables import table
+
+TARGET = "tothlos"
+BIN = "x > 5"
+
+
+def training_table(spark: SparkSession, sf_dir: str, cfg: BuildConfig | None = None) -> DataFrame:
+    """X4 on the case table (row order = case id); target ``tothlos``."""
+    raw = build_cases(spark, sf_dir).withColumn("row_id", F.col("caseid"))
+    cfg = cfg or BuildConfig(target=TARGET)
+    df, _ = build_training_table(raw, cfg)
+    return df
+
+
+query("training_table")(training_table)
+
+
+def _labelled(spark, d):
+    t = training_table(spark, d)
+    t = with_label(t, TARGET, BIN)
+    feats = feature_columns(t, TARGET, exclude=("row_id", "label"))
+    return t, feats
+
+
+# Grid of the registered query: small enough for the per-round check; the full reference grid is
+# ``search.default_specs()``.
+def query_specs(seed: int = 42):
+    from pyspark.ml.classification import GBTClassifier
+    return [
+        search.ModelSpec("RandomForestClassifier", RandomForestClassifier(seed=seed),
+                         {"numTrees": [50], "maxDepth": [3, 5], "featureSubsetStrategy": ["sqrt"]}, balanced=True),
+        search.ModelSpec("GBTClassifier", GBTClassifier(seed=seed), {"maxIter": [20], "maxDepth": [3], "stepSize": [0.1]}),
+    ]
+
+
+@query("grid_search")
+def q_grid_search(spark, d):
+    t, feats = _labelled(spark, d)
+    best, results = search.grid_search(t, feats, query_specs(), parallelism=4)
+    rows = None
+    for r in results:
+        m = r.metrics.withColumn("selected", F.lit(r.name == best.name))
+        rows = m if rows is None else rows.unionByName(m)
+    return rows
+
+
+def _fit_forest(spark, d, num_trees=50, depth=5):
+    t, feats = _labelled(spark, d)
+    data = search.assemble(t.select("row_id", "label", *feats), feats)
+    from casework.operators.split import train_test_split
+    train, test = train_test_split(data, "row_id")
+    model = RandomForestClassifier(numTrees=num_trees, maxDepth=depth, seed=42).fit(train)
+    return model, test, feats
+
+
+@query("tree_shap")
+def q_tree_shap(spark, d):
+    model, test, feats = _fit_forest(spark, d)
+    sh = treeshap.explain(test, model)
+    return treeshap.shap_summary(sh, feats)
+
+
+@query("attribution_bins")
+def q_attr_bins(spark, d):
+    model, test, feats = _fit_forest(spark, d)
+    sh = treeshap.explain(test, model)
+    return treeshap.attribution_bins(sh, test, feats, top_k=25)
+
+
+@query("rf_regression")
+def q_rf_regression(spark, d):
+    t = training_table(spark, d)
+    feats = feature_columns(t, TARGET)
+    _, m, _ = search.rf_regression(t, feats, TARGET, num_trees=100)
+    return m
+
+
+# X1 on a depth-1 tree whose split and leaves come from aggregates: phi(split feature) =
+# leaf value - cover-weighted mean of the leaves; phi(other feature) = 0.
+_STUMP_T = 25.0
+
+
+@query("stump_shap",
+       "WITH s AS (SELECT avg(l_discount) FILTER (WHERE l_quantity <= 25.0) AS vl, avg(l_discount) FILTER (WHERE l_quantity > 25.0) AS vr, "
+       "count(*) FILTER (WHERE l_quantity <= 25.0) AS nl, count(*) AS n FROM lineitem) "
+       "SELECT l_orderkey, l_linenumber, round((CASE WHEN l_quantity <= 25.0 THEN vl ELSE vr END) - (nl * vl + (n - nl) * vr) / n + 1e-9, 6) + 0.0 AS phi_quantity, "
+       "0.0 AS phi_tax FROM lineitem, s")
+def q_stump(spark, d):
+    li = table(spark, d, "lineitem")
+    left = F.col("l_quantity") <= _STUMP_T
+    agg = li.agg(F.avg(F.when(left, F.col("l_discount"))).alias("vl"), F.avg(F.when(~left, F.col("l_discount"))).alias("vr"),
+                 F.count_if(left).alias("nl"), F.count(F.lit(1)).alias("n")).first()
+    tree = treeshap.Tree(feature=np.array([0, 0, 0]), threshold=np.array([_STUMP_T, 0.0, 0.0]),
+                         left=np.array([1, -1, -1]), right=np.array([2, -1, -1]),
+                         value=np.array([0.0, agg["vl"], agg["vr"]]),
+                         cover=np.array([float(agg["n"]), float(agg["nl"]), float(agg["n"] - agg["nl"])]), categories={})
+    x = li.select("l_orderkey", "l_linenumber", F.array(F.col("l_quantity"), F.col("l_tax")).alias("x"))
+    sh = treeshap.explain_trees(x, [tree], "x", ("l_orderkey", "l_linenumber"))
+    return sh.select("l_orderkey", "l_linenumber", r6(F.col("shap")[0] + 1e-9).alias("phi_quantity"),
+                     r6(F.col("shap")[1]).alias("phi_tax"))
