@@ -33,17 +33,26 @@ def is_blank(c: str | Column) -> Column:
     return x.isNull() | (strip(x) == F.lit(""))
 
 
+_NUMBER_CHARS = "0123456789+-.eE"
+
+
+def _plain_number(s: Column) -> Column:
+    # A string made only of digits, signs, '.', 'e' that the cast accepts is a plain decimal
+    # number (same set as NUMBER_PATTERN); Java-only forms such as '1d', '0x1p3', 'NaN' hold other
+    # characters. translate() is a per-character map, much cheaper than a regex per cell.
+    return (F.translate(s, _NUMBER_CHARS, "") == F.lit("")) & (F.length(s) > 0)
+
+
 def is_number_text(c: str | Column) -> Column:
     """Trimmed text is a plain decimal number (guards try_cast against '1d', '1f')."""
-    return strip(c).rlike(NUMBER_PATTERN)
+    s = strip(c)
+    return F.coalesce(_plain_number(s) & s.try_cast("double").isNotNull(), F.lit(False))
 
 
 def to_number(c: str | Column) -> Column:
-    """Lenient number parse: numbers pass, everything else becomes NULL; NaN becomes NULL."""
-    x = col(c)
-    s = strip(x)
-    parsed = F.when(s.rlike(NUMBER_PATTERN), s.try_cast("double"))
-    return F.when(F.isnan(parsed), F.lit(None).cast("double")).otherwise(parsed)
+    """Lenient number parse: numbers pass, everything else becomes NULL."""
+    s = strip(col(c))
+    return F.when(_plain_number(s), s.try_cast("double"))
 
 
 def null_tokens(c: str | Column, tokens: Iterable[str] = MISSING_TOKENS, null_text: str | None = None) -> Column:

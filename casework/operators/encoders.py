@@ -185,10 +185,13 @@ class DrugMultiHot:
                         hits[d].append(F.coalesce(col(c).cast("boolean"), F.lit(False)))
                         break
         else:
+            # Canonical names of all slots, computed once per row in its own projection.
             slots = [c for c in df.columns if re.fullmatch(rf"{self.prefix}\d+", c.lower())]
-            canon = {c: drug_canonical(c, self.patterns, self.prefix) for c in slots}
-            for d in drugs:
-                hits[d] = [F.coalesce(canon[c] == F.lit(d), F.lit(False)) for c in slots]
+            arr = F.array(*[drug_canonical(c, self.patterns, self.prefix) for c in slots]) if slots \
+                else F.array().cast("array<string>")
+            base = df.select(*[col(c) for c in df.columns if not c.startswith("used_")], arr.alias("_drugs"))
+            flags = [F.coalesce(F.array_contains("_drugs", F.lit(d)), F.lit(False)).alias(f"used_{d}") for d in drugs]
+            return base.select(*[col(c) for c in base.columns if c != "_drugs"], *flags)
         flags = []
         for d in drugs:
             e = F.lit(False)
@@ -213,8 +216,9 @@ class ComboModel:
 
     def transform(self, df: DataFrame) -> DataFrame:
         used = [c for c in df.columns if c.startswith("used_")]
-        key = regimen_name(used)
-        return df.select("*", *[(key == F.lit(n)).cast("int").alias(n) for n in self.names])
+        base = df.select("*", regimen_name(used).alias("_regimen"))
+        return base.select(*[col(c) for c in df.columns],
+                           *[(F.col("_regimen") == F.lit(n)).cast("int").alias(n) for n in self.names])
 
 
 @dataclass
@@ -308,7 +312,7 @@ class CompatibleEncoder:
         other = [c for c in df.columns if c not in set(num) | set(boo) | set(txt)]
         aggs = [F.max(col(c).isNull().cast("int")).alias(f"n{i}") for i, c in enumerate(df.columns)]
         aggs += [F.avg(col(c)).alias(f"m{i}") for i, c in enumerate(num)]
-        aggs += [F.approx_count_distinct(F.coalesce(col(c), F.lit("Unknown")), 0.02).alias(f"d{i}")
+        aggs += [F.approx_count_distinct(F.coalesce(col(c), F.lit("Unknown")), 0.05).alias(f"d{i}")
                  for i, c in enumerate(txt)]
         row = df.agg(*aggs).first() if df.columns else None
         has_null = {c: bool(row[f"n{i}"]) for i, c in enumerate(df.columns)} if row else {}

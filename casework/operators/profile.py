@@ -84,7 +84,7 @@ def profile_text_columns(df: DataFrame, columns: Sequence[str] | None = None, ma
     aggs = []
     for i, c in enumerate(cols):
         aggs += [F.max(col(c).isNull().cast("int")).alias(f"hn{i}"),
-                 F.approx_count_distinct(col(c), 0.02).alias(f"ad{i}"),
+                 F.approx_count_distinct(col(c), 0.05).alias(f"ad{i}"),
                  F.avg(F.when(col(c).isNotNull(), is_number_text(c).cast("double"))).alias(f"ns{i}")]
     row = df.agg(*aggs).first()
     bounded = []

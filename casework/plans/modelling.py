@@ -114,3 +114,11 @@ def q_stump(spark, d):
     sh = treeshap.explain_trees(x, [tree], "x", ("l_orderkey", "l_linenumber"))
     return sh.select("l_orderkey", "l_linenumber", r6(F.col("shap")[0] + 1e-9).alias("phi_quantity"),
                      r6(F.col("shap")[1]).alias("phi_tax"))
+
+
+@query("boruta")
+def q_boruta(spark, d):
+    from casework.operators.boruta import boruta
+    t, feats = _labelled(spark, d)
+    res = boruta(t, feats, "label", max_iter=12, num_trees=50)
+    return res.to_frame(spark)

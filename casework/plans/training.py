@@ -12,6 +12,7 @@ from __future__ import annotations
 import logging
 from dataclasses import dataclass, field
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -48,7 +49,10 @@ def build_training_table(raw: DataFrame, cfg: BuildConfig | None = None, row_id:
         return raw, rep
     # S1 is the caller's scan; P4 keep-first, W1 forward fill in row order, P1/P2 names, P6 dates.
     df = clean.dedupe_keep_first(raw, row_id)
+    cached = None
     if cfg.forward_fill:
+        # the fill reads its input three times (quantiles, local windows, bucket summary): keep it
+        cached = df = df.persist(StorageLevel.MEMORY_AND_DISK)
         df = ordered.forward_fill(df, [c for c in df.columns if c != row_id], row_id)
     df = names.normalize_columns(df)
     df = clean.parse_dates(df)
@@ -64,6 +68,8 @@ def build_training_table(raw: DataFrame, cfg: BuildConfig | None = None, row_id:
     if checkpoint:
         shared_dir(spark)
         df = df.checkpoint(eager=True)
+    if cached is not None:
+        cached.unpersist()
     # F1 binary columns.
     bm = encoders.BinaryEncoder(cfg.binary_candidates, cfg.binary_null_as_zero).fit(df)
     rep.binary = bm.columns
