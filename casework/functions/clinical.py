@@ -18,7 +18,7 @@ def complication_flag(c: str | Column, no_event=config.NO_EVENT_VALUES) -> Colum
     return F.when(x.isNull() | F.lower(strip(x)).isin(list(no_event)), F.lit(0)).otherwise(F.lit(1))
 
 
-def threshold_label(name: str, statement: str) -> Column:
+def threshold_label(name: str, statement: str, floating: bool = False) -> Column:
     """1 where the SQL predicate over ``x`` holds for column ``name``, else 0 (missing compares false).
 
     The predicate is SQL text such as ``x > 5`` or ``x BETWEEN 2 AND 4``. ``x`` is bound as
@@ -28,6 +28,8 @@ def threshold_label(name: str, statement: str) -> Column:
     if ";" in statement:
         raise ValueError(f"Error evaluating the statement '{statement}': one expression only")
     ref = "`" + name.replace("`", "``") + "`"
+    if floating:  # NaN compares false in the reference; in Spark NaN > anything is true
+        ref = f"CASE WHEN isnan({ref}) THEN NULL ELSE {ref} END"
     try:
         cond = F.expr(f"element_at(transform(array({ref}), x -> ({statement})), 1)")
     except Exception as e:  # parse errors are raised eagerly

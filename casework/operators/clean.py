@@ -114,7 +114,8 @@ def composite_target(df: DataFrame, target: str, composites=config.KNOWN_COMPOSI
 def label_by_threshold(df: DataFrame, target: str, statement: str, out: str | None = None) -> DataFrame:
     """replace (or add as ``out``) a 0/1 label from a SQL predicate over ``x`` (e.g. ``x > 5``)."""
     out = out or target
-    expr = threshold_label(target, statement).alias(out)
+    floating = target in df.columns and isinstance(df.schema[target].dataType, FLOAT_TYPES)
+    expr = threshold_label(target, statement, floating).alias(out)
     try:
         if out in df.columns:
             res = df.select(*[expr if c == out else col(c) for c in df.columns])

@@ -308,7 +308,9 @@ _RARE = ("WITH s AS (SELECT {key} AS k, 'u' || CAST({val} AS VARCHAR) AS v FROM
 def _rare(spark, d, tbl, key, val):
     src = table(spark, d, tbl).select(key, F.concat(F.lit("u"), F.col(val).cast("string")).alias("grp"))
     model = encoders.CategoricalEncoder(columns=["grp"], max_categories=50).fit(src)
-    top = model.top["grp"]
+    top = model.top.get("grp")
+    if top is None:  # at most max_categories values: nothing is grouped
+        return src
     return src.select(key, F.when(F.col("grp").isin(top), F.col("grp")).otherwise(F.lit("Other")).alias("grp"))
 
 
