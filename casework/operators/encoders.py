@@ -253,6 +253,19 @@ def add_bmi(df: DataFrame, height: str = "height", weight: str = "weight") -> Da
                      e["bmi"].alias("bmi"), e["bmi_quality_flag"].alias("bmi_quality_flag"))
 
 
+def unparseable_values(df: DataFrame, columns: Sequence[str] = ("height", "weight"), n: int = 5) -> DataFrame:
+    """F6 report: up to ``n`` distinct non-NULL values per column that do not read as numbers.
+
+    One job for all columns; the per-column limit is a rank filter, which Catalyst turns into a
+    partial limit before the shuffle, so a column full of bad text costs no more than n rows per task.
+    """
+    cols = [c for c in columns if c in df.columns]
+    long = df.select(*[col(c).cast("string").alias(c) for c in cols]).unpivot([], cols, "column_name", "value") \
+        .filter(F.col("value").isNotNull() & to_number("value").isNull()).distinct()
+    w = Window.partitionBy("column_name").orderBy("value")
+    return long.withColumn("_r", F.row_number().over(w)).filter(F.col("_r") <= n).drop("_r")
+
+
 def bmi_report(df: DataFrame, height: str = "height", weight: str = "weight") -> DataFrame:
     """One row with valid height/weight/BMI counts, BMI range and the NULL count of the kept BMI."""
     e = bmi_columns(height, weight)
@@ -304,6 +317,8 @@ class CompatibleEncoder:
     join, so no vocabulary of unbounded size passes through the driver."""
 
     map_limit: int = 10_000
+    # vocabularies up to this estimated size are joined by broadcast (the estimate is the check)
+    broadcast_limit: int = 2_000_000
 
     def fit(self, df: DataFrame) -> CompatibleModel:
         num = [f.name for f in df.schema.fields if isinstance(f.dataType, NUMERIC_TYPES)]
@@ -317,8 +332,9 @@ class CompatibleEncoder:
         row = df.agg(*aggs).first() if df.columns else None
         has_null = {c: bool(row[f"n{i}"]) for i, c in enumerate(df.columns)} if row else {}
         means = {c: row[f"m{i}"] for i, c in enumerate(num) if has_null.get(c) and row[f"m{i}"] is not None}
-        small, large = [], []
+        small, large, est = [], [], {}
         for i, c in enumerate(txt):
+            est[c] = row[f"d{i}"]
             (small if row[f"d{i}"] <= self.map_limit else large).append(c)
         small_vocab: dict[str, list[str]] = {}
         if small:
@@ -326,6 +342,10 @@ class CompatibleEncoder:
             for r in filled.unpivot([], small, "column_name", "value").distinct().collect():
                 small_vocab.setdefault(r["column_name"], []).append(r["value"])
             small_vocab = {c: sorted(v) for c, v in small_vocab.items()}
-        large_codes = {c: dense_codes(df.select(F.coalesce(col(c), F.lit("Unknown")).alias(c)), c) for c in large}
+        large_codes = {}
+        for c in large:
+            codes = dense_codes(df.select(F.coalesce(col(c), F.lit("Unknown")).alias(c)), c)
+            # HLL error is ~2 %, so 1.1 × the estimate bounds the true size of what is broadcast
+            large_codes[c] = F.broadcast(codes) if est[c] * 1.1 <= self.broadcast_limit else codes
         return CompatibleModel(means, [c for c in boo if has_null.get(c)],
                                [c for c in other if has_null.get(c)], small_vocab, large_codes)

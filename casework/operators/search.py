@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from casework.operators import metrics
-from casework.operators.split import stratified_folds, train_test_split
+from casework.operators.split import is_test_row, stratified_folds, train_test_split
 
 log = logging.getLogger(__name__)
 
@@ -109,10 +109,19 @@ def evaluate(model, test: DataFrame, feature_names: list[str], best_params: dict
 
 def grid_search(df: DataFrame, feature_cols: list[str], specs: list[ModelSpec] | None = None, row_id: str = "row_id",
                 test_size: float = 0.2, seed: int = 42, folds: int = 5, parallelism: int = 4,
-                select_by: str = "test") -> tuple[SearchResult, list[SearchResult]]:
+                select_by: str = "test", use_boruta: bool = False,
+                boruta_iter: int = 100) -> tuple[SearchResult, list[SearchResult]]:
     """M1-M4: split by id hash, stratified folds, CV per spec (AUC, exact), winner by test AUC
-    (``select_by='test'``, the compatible choice) or by CV AUC (``'cv'``)."""
+    (``select_by='test'``, the compatible choice) or by CV AUC (``'cv'``).
+
+    M12: ``use_boruta`` selects features on the training rows only (100 trees, two-step, alpha
+    0.1) and applies the selection to both sides; if nothing is confirmed all features stay."""
     specs = specs or default_specs(seed)
+    if use_boruta:
+        from casework.operators.boruta import boruta
+        train_rows = df.filter(~is_test_row(row_id, test_size, seed))
+        sel = boruta(train_rows, feature_cols, "label", row_id, max_iter=boruta_iter, num_trees=100, seed=seed).selected
+        feature_cols = sel or feature_cols
     data = assemble(df.select(row_id, "label", *feature_cols), feature_cols)
     train, test = train_test_split(data, row_id, test_size, seed)
     train = metrics.with_class_weight(train, "label", "_class_weight")

@@ -79,8 +79,8 @@ def q_tree_shap(spark, d):
 @query("attribution_bins")
 def q_attr_bins(spark, d):
     model, test, feats = _fit_forest(spark, d)
-    sh = treeshap.explain(test, model)
-    return treeshap.attribution_bins(sh, test, feats, top_k=25)
+    sh = treeshap.explain(test, model, keep_values=True)
+    return treeshap.attribution_bins(sh, None, feats, top_k=25)
 
 
 @query("rf_regression")

@@ -42,14 +42,11 @@ def run_dataset(spark: SparkSession, raw: DataFrame, dataset: str, results: str,
         return None
     table = with_label(table.drop(*[c for c in exclude if c in table.columns]), target, statement)
     feats = feature_columns(table, target, exclude=("row_id", "label"))
-    if use_boruta:
-        from casework.operators.boruta import boruta
-        sel = boruta(table, feats, "label", max_iter=100, num_trees=100).selected
-        feats = sel or feats
-    best, _ = search.grid_search(table, feats, specs, parallelism=parallelism)
-    sh = treeshap.explain(best.test, best.model)
+    best, _ = search.grid_search(table, feats, specs, parallelism=parallelism, use_boruta=use_boruta)
+    feats = best.feature_names
+    sh = treeshap.explain(best.test, best.model, keep_values=True).persist()
     summary = treeshap.shap_summary(sh, feats)
-    attribution = treeshap.attribution_bins(sh, best.test, feats)
+    attribution = treeshap.attribution_bins(sh, None, feats)
     ts = materialize.save_results(best.metrics, summary, results, dataset, best.name, target) if save else None
     return RunOutput(best, summary, attribution, ts)
 

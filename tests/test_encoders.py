@@ -113,3 +113,10 @@ def test_numeric_share_skips_encoding(spark):
     eight = _col(spark, [str(i) for i in range(8)] + ["x", "y"])
     assert encoders.CategoricalEncoder(columns=["c"]).fit(nine.drop("i")).vocab == {}
     assert "c" in encoders.CategoricalEncoder(columns=["c"]).fit(eight.drop("i")).vocab
+
+
+def test_unparseable_values_report(spark):
+    vals = ["60", "tall", "short", "1d", "-99", None] + [f"x{i}" for i in range(10)]
+    df = _col(spark, vals, "height")
+    got = [r["value"] for r in encoders.unparseable_values(df, ["height", "weight"], n=5).collect()]
+    assert len(got) == 5 and "60" not in got and "-99" not in got

@@ -77,3 +77,21 @@ def test_streaming_applies_fitted_stages(spark):
     q.awaitTermination(120)
     got = spark.read.parquet(out)
     assert got.count() == ev.count() and set(model.dummy_names()) <= set(got.columns)
+
+
+def test_run_dataset_end_to_end(spark):
+    from pyspark.ml.classification import RandomForestClassifier
+    from casework.plans.run import run_dataset
+    from casework.sources.fixtures import build_cases
+    raw = build_cases(spark, SF_SMALL).withColumn("row_id", F.col("caseid"))
+    specs = [search.ModelSpec("RandomForestClassifier", RandomForestClassifier(seed=1, numTrees=10),
+                              {"maxDepth": [2, 3]}, balanced=True)]
+    res = tempfile.mkdtemp(prefix="casework-run-")
+    out = run_dataset(spark, raw, "cases", res, specs=specs, exclude=("caseid",))
+    m = out.best.metrics.first()
+    assert 0.0 <= m["auc"] <= 1.0 and m["confusion_matrix"]["tp"] + m["confusion_matrix"]["fn"] > 0
+    assert "caseid" not in out.best.feature_names
+    top = out.shap_summary.first()
+    assert top["feature"] in out.best.feature_names
+    assert out.attribution.count() > 0
+    assert materialize.compare_runs(spark, res).count() == 1
