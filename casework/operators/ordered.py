@@ -19,31 +19,40 @@ from pyspark.sql import functions as F
 
 from casework.functions.text import col
 
-# Default target rows per bucket; buckets are capped so the summary windows stay small.
+# Default target rows per bucket. Dense integer keys get exact ``key div width`` buckets (any
+# number of them); other keys get approximate-quantile buckets, at most MAX_QUANTILE_BUCKETS.
 ROWS_PER_BUCKET = 1 << 20
-MAX_BUCKETS = 1 << 14
-_PROBES = 1024
+MAX_QUANTILE_BUCKETS = 1 << 16
 BUCKET = "_bucket"
+_INTEGRAL = ("tinyint", "smallint", "int", "bigint")
 
 
-def add_order_buckets(df: DataFrame, order_by: str, rows_per_bucket: int = ROWS_PER_BUCKET,
-                      max_buckets: int = MAX_BUCKETS) -> DataFrame:
-    """Add ``_bucket``: a non-decreasing function of ``order_by`` with about equal counts per bucket."""
-    probes = [i / _PROBES for i in range(1, _PROBES)]
-    key = col(order_by).cast("double")
-    row = df.agg(F.count(F.lit(1)).alias("n"),
-                 F.percentile_approx(key, probes, 10 * _PROBES).alias("q")).first()
-    n, q = row["n"], row["q"] or []
-    n_buckets = int(min(max_buckets, _PROBES, max(1, -(-n // rows_per_bucket))))
-    if n_buckets <= 1 or not q:
-        return df.withColumn(BUCKET, F.lit(0))
-    step = len(q) / n_buckets
-    edges = sorted({float(q[int(i * step)]) for i in range(1, n_buckets)})
+def add_order_buckets(df: DataFrame, order_by: str, rows_per_bucket: int = ROWS_PER_BUCKET) -> DataFrame:
+    """Add ``_bucket``: a non-decreasing function of ``order_by`` with bounded rows per bucket.
+
+    One aggregation job gives count, min and max. An integral key that is dense (range at most
+    4 × count) is cut into equal key ranges of ``width`` values, so no bucket holds more than
+    ``width`` distinct keys. Any other key is cut at approximate quantiles (a second job).
+    """
+    key = col(order_by)
+    dtype = dict(df.select(key.alias("k")).dtypes)["k"]
+    st = df.agg(F.count(key).alias("n"), F.min(key).alias("lo"), F.max(key).alias("hi")).first()
+    n = st["n"] or 0
+    if n <= rows_per_bucket:
+        return df.withColumn(BUCKET, F.lit(0).cast("long"))
+    if dtype in _INTEGRAL and (st["hi"] - st["lo"] + 1) <= 4 * n:
+        span = st["hi"] - st["lo"] + 1
+        width = max(1, (rows_per_bucket * span) // n)
+        return df.withColumn(BUCKET, F.floor((key - F.lit(st["lo"])) / F.lit(width)).cast("long"))
+    n_buckets = int(min(MAX_QUANTILE_BUCKETS, -(-n // rows_per_bucket)))
+    probes = [i / n_buckets for i in range(1, n_buckets)]
+    q = df.agg(F.percentile_approx(key.cast("double"), probes, max(10_000, 100 * n_buckets)).alias("q")).first()["q"] or []
+    edges = sorted({float(v) for v in q})
     splits = [float("-inf")] + edges + [float("inf")]
     tmp = "_order_key_double"
     out = Bucketizer(splits=splits, inputCol=tmp, outputCol=BUCKET + "_d", handleInvalid="keep") \
-        .transform(df.withColumn(tmp, key))
-    return out.withColumn(BUCKET, F.col(BUCKET + "_d").cast("int")).drop(tmp, BUCKET + "_d")
+        .transform(df.withColumn(tmp, key.cast("double")))
+    return out.withColumn(BUCKET, F.col(BUCKET + "_d").cast("long")).drop(tmp, BUCKET + "_d")
 
 
 def forward_fill(df: DataFrame, columns: Sequence[str], order_by: str, partition_by: Sequence[str] = (),

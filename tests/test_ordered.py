@@ -73,3 +73,16 @@ def test_folds_stratified_and_split_stable(spark):
     assert a.exceptAll(b).count() == 0
     share = a.filter("t").count() / a.count()
     assert 0.15 < share < 0.25
+
+
+def test_quantile_bucket_path(spark):
+    ev = _events(spark).withColumn("h", F.xxhash64("event_id"))  # sparse key: quantile buckets
+    b = ordered.add_order_buckets(ev, "h", rows_per_bucket=100)
+    sizes = [r["count"] for r in b.groupBy("_bucket").count().collect()]
+    assert len(sizes) > 5 and max(sizes) < 300
+    ref = ev.withColumn("rank", F.row_number().over(Window.partitionBy("user_id").orderBy("h")) - 1)
+    assert ordered.rank_within(ev, "h", ["user_id"], rows_per_bucket=100).exceptAll(ref).count() == 0
+    w = Window.orderBy("h").rowsBetween(Window.unboundedPreceding, 0)
+    ref = ev.withColumn("v", F.last("v", True).over(w))
+    got = ordered.forward_fill(ev, ["v"], "h", rows_per_bucket=100)
+    assert got.exceptAll(ref).count() == 0
