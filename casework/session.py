@@ -54,3 +54,31 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     """A new, unique path inside the shared folder."""
     base = shared_dir(spark)
     return os.path.join(base, f"{name}-{uuid.uuid4().hex[:12]}") if "://" not in base else f"{base}/{name}-{uuid.uuid4().hex[:12]}"
+
+
+_SHIPPED: set[str] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Make ``casework`` importable in Python workers (what ``--py-files`` does at submit time).
+
+    Python steps on rows (``mapInPandas``) pickle functions by module reference, so executors need
+    the package. A zip of the package is added once per application with ``addPyFile``; Spark
+    serves it to every executor.
+    """
+    import zipfile
+
+    sc = spark.sparkContext
+    app = sc.applicationId
+    if app in _SHIPPED:
+        return
+    pkg = os.path.dirname(os.path.abspath(__file__))
+    out = os.path.join(tempfile.mkdtemp(prefix="casework-pkg-"), "casework.zip")
+    with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
+        for root, _, files in os.walk(pkg):
+            for f in files:
+                if f.endswith(".py"):
+                    full = os.path.join(root, f)
+                    z.write(full, os.path.relpath(full, os.path.dirname(pkg)))
+    sc.addPyFile(out)
+    _SHIPPED.add(app)
