@@ -27,24 +27,30 @@ BUCKET = "_bucket"
 _INTEGRAL = ("tinyint", "smallint", "int", "bigint")
 
 
-def add_order_buckets(df: DataFrame, order_by: str, rows_per_bucket: int = ROWS_PER_BUCKET) -> DataFrame:
+def add_order_buckets(df: DataFrame, order_by: str, rows_per_bucket: int = ROWS_PER_BUCKET,
+                      min_buckets: int | None = None) -> DataFrame:
     """Add ``_bucket``: a non-decreasing function of ``order_by`` with bounded rows per bucket.
 
     One aggregation job gives count, min and max. An integral key that is dense (range at most
     4 × count) is cut into equal key ranges of ``width`` values, so no bucket holds more than
     ``width`` distinct keys. Any other key is cut at approximate quantiles (a second job).
+    There are at least ``min_buckets`` buckets (default: the default parallelism) so the
+    per-bucket windows, and everything downstream of them, use every core.
     """
     key = col(order_by)
     dtype = dict(df.select(key.alias("k")).dtypes)["k"]
     st = df.agg(F.count(key).alias("n"), F.min(key).alias("lo"), F.max(key).alias("hi")).first()
     n = st["n"] or 0
-    if n <= rows_per_bucket:
+    if min_buckets is None:
+        min_buckets = df.sparkSession.sparkContext.defaultParallelism
+    want = max(-(-n // rows_per_bucket), min(min_buckets, n // 64 + 1))
+    if n == 0 or want <= 1:
         return df.withColumn(BUCKET, F.lit(0).cast("long"))
     if dtype in _INTEGRAL and (st["hi"] - st["lo"] + 1) <= 4 * n:
         span = st["hi"] - st["lo"] + 1
-        width = max(1, (rows_per_bucket * span) // n)
+        width = max(1, min(-(-span // want), (rows_per_bucket * span) // n))
         return df.withColumn(BUCKET, F.floor((key - F.lit(st["lo"])) / F.lit(width)).cast("long"))
-    n_buckets = int(min(MAX_QUANTILE_BUCKETS, -(-n // rows_per_bucket)))
+    n_buckets = int(min(MAX_QUANTILE_BUCKETS, want))
     probes = [i / n_buckets for i in range(1, n_buckets)]
     q = df.agg(F.percentile_approx(key.cast("double"), probes, max(10_000, 100 * n_buckets)).alias("q")).first()["q"] or []
     edges = sorted({float(v) for v in q})
