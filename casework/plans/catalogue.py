@@ -538,3 +538,57 @@ def q_mean_abs(spark, d):
 
 
 __all__ = ["QUERIES", "ORACLES", "threshold_label"]
+
+
+# --------------------------------------------------------- F6 report, wide W1, F1 on labels
+@query("unparseable_values", cases_cte(
+    "SELECT column_name, value FROM (SELECT column_name, value, row_number() OVER (PARTITION BY column_name ORDER BY value) AS r "
+    "FROM (SELECT DISTINCT column_name, value FROM (SELECT 'height' AS column_name, height AS value FROM cases "
+    "UNION ALL SELECT 'weight', weight FROM cases) u "
+    f"WHERE value IS NOT NULL AND NOT coalesce({isnum_sql('value')} AND try_cast(trim(value) AS DOUBLE) IS NOT NULL, false)) d) t "
+    "WHERE r <= 5"))
+def q_unparseable(spark, d):
+    return encoders.unparseable_values(build_cases(spark, d), ["height", "weight"], n=5)
+
+
+_FF_CASE_COLS = ("pralbum", "dsupinfec", "ped_sap_name2", "ped_sap_name3", "transfus")
+
+
+@query("forward_fill_cases", cases_cte(
+    "SELECT caseid, " + ", ".join(
+        f"last_value({c} IGNORE NULLS) OVER (ORDER BY caseid ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS {c}"
+        for c in _FF_CASE_COLS) + " FROM cases"))
+def q_ffill_cases(spark, d):
+    c = build_cases(spark, d).select("caseid", *_FF_CASE_COLS)
+    return ordered.forward_fill(c, list(_FF_CASE_COLS), "caseid")
+
+
+def _bin_labels_oracle() -> str:
+    cols = ("quality", "toxic", "flag")
+    src = ("SELECT doc_id, CAST(quality AS VARCHAR) AS quality, CAST(toxic AS VARCHAR) AS toxic, "
+           "CASE WHEN doc_id % 5 = 0 THEN 'T' WHEN doc_id % 5 = 1 THEN 'f' WHEN doc_id % 5 = 2 THEN NULL "
+           "ELSE CAST(quality + toxic AS VARCHAR) END AS flag FROM labels")
+    q = ", ".join(
+        f"coalesce(bool_and(lower(trim({c})) IN ({_WORDS}) OR coalesce({isnum_sql(c)} AND "
+        f"try_cast(trim({c}) AS DOUBLE) IN (0.0, 1.0, -99.0, -1.0), false)) FILTER (WHERE {c} IS NOT NULL), true) AS q_{c}"
+        for c in cols)
+    parts = []
+    for c in cols:
+        enc = (f"CASE WHEN {c} IS NULL THEN 0.0 WHEN lower(trim({c})) IN ({_sql_list(config.BINARY_TRUE)}) THEN 1.0 "
+               f"WHEN lower(trim({c})) IN ({_sql_list(config.BINARY_FALSE)}) THEN 0.0 "
+               f"WHEN {isnum_sql(c)} AND try_cast(trim({c}) AS DOUBLE) = 1.0 THEN 1.0 ELSE 0.0 END")
+        parts.append(f"SELECT doc_id, '{c}' AS column_name, CASE WHEN q_{c} THEN CAST({enc} AS VARCHAR) ELSE {c} END AS value FROM v, q")
+    return f"WITH v AS ({src}), q AS (SELECT {q} FROM v)\n" + " UNION ALL ".join(parts)
+
+
+@query("binary_encode_labels", _bin_labels_oracle())
+def q_binary_labels(spark, d):
+    lb = table(spark, d, "labels")
+    k = F.col("doc_id")
+    src = lb.select("doc_id", F.col("quality").cast("string").alias("quality"), F.col("toxic").cast("string").alias("toxic"),
+                    F.when(k % 5 == 0, F.lit("T")).when(k % 5 == 1, F.lit("f")).when(k % 5 == 2, F.lit(None))
+                     .otherwise((F.col("quality") + F.col("toxic")).cast("string")).alias("flag"))
+    cols = ["quality", "toxic", "flag"]
+    out = encoders.BinaryEncoder(cols).fit(src).transform(src)
+    out = out.select("doc_id", *[F.col(c).cast("string").alias(c) for c in cols])
+    return out.unpivot(["doc_id"], cols, "column_name", "value")

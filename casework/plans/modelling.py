@@ -122,3 +122,20 @@ def q_boruta(spark, d):
     t, feats = _labelled(spark, d)
     res = boruta(t, feats, "label", max_iter=12, num_trees=50)
     return res.to_frame(spark)
+
+
+@query("training_table_lexical")
+def q_training_lexical(spark, d):
+    """X4 in the compatible mode: numeric-looking text (the target too) becomes label codes of
+    the sorted strings, as in the reference."""
+    return training_table(spark, d, BuildConfig(target=TARGET, numeric_mode="lexical"))
+
+
+@query("rf_regression_shap")
+def q_rf_regression_shap(spark, d):
+    """M10 attribution: Tree SHAP of the random-forest regressor on the test rows, top 40 features."""
+    t = training_table(spark, d)
+    feats = feature_columns(t, TARGET)
+    model, _, test = search.rf_regression(t, feats, TARGET, num_trees=100)
+    sh = treeshap.explain(test, model)
+    return treeshap.shap_summary(sh, feats).limit(40)
