@@ -20,7 +20,7 @@ from casework.functions.clinical import bmi, bmi_flag, drug_canonical, in_range,
 from casework.functions.text import col, is_number_text, strip, to_number
 from casework.operators.clean import NUMERIC_TYPES, columns_of_type
 from casework.operators.ordered import dense_codes
-from casework.operators.profile import profile_text_columns
+from casework.operators.profile import CategoricalProfile, profile_text_columns
 
 log = logging.getLogger(__name__)
 
@@ -52,24 +52,34 @@ class BinaryEncoderModel:
 @dataclass
 class BinaryEncoder:
     """encode listed columns to 0/1 when every distinct non-NULL value is a yes/no word or one
-    of the numbers 0, 1, -99, -1; other columns stay untouched. The fit is one aggregation."""
+    of the numbers 0, 1, -99, -1; other columns stay untouched. The fit is one aggregation, whose
+    expressions (``stats``) can also ride along in a larger aggregation (``from_stats``)."""
 
     columns: Sequence[str] = config.POTENTIAL_BINARY
     null_as_zero: bool = True
 
-    def fit(self, df: DataFrame) -> BinaryEncoderModel:
-        present = [c.lower() for c in self.columns if c.lower() in df.columns]
-        if not present:
-            return BinaryEncoderModel([], self.null_as_zero)
+    def present(self, df: DataFrame) -> list[str]:
+        return [c.lower() for c in self.columns if c.lower() in df.columns]
+
+    def stats(self, df: DataFrame, prefix: str = "bin") -> list[F.Column]:
         words = list(config.BINARY_TRUE + config.BINARY_FALSE)
-        aggs = []
-        for i, c in enumerate(present):
+        out = []
+        for i, c in enumerate(self.present(df)):
             s = F.lower(strip(col(c).cast("string")))
             ok = s.isin(words) | _allowed_number(col(c).cast("string"))
-            aggs.append(F.coalesce(F.bool_and(F.when(col(c).isNotNull(), F.coalesce(ok, F.lit(False)))),
-                                   F.lit(True)).alias(f"b{i}"))
-        row = df.agg(*aggs).first()
-        return BinaryEncoderModel([c for i, c in enumerate(present) if row[f"b{i}"]], self.null_as_zero)
+            out.append(F.coalesce(F.bool_and(F.when(col(c).isNotNull(), F.coalesce(ok, F.lit(False)))),
+                                  F.lit(True)).alias(f"{prefix}{i}"))
+        return out
+
+    def from_stats(self, row, df: DataFrame, prefix: str = "bin") -> BinaryEncoderModel:
+        present = self.present(df)
+        return BinaryEncoderModel([c for i, c in enumerate(present) if row[f"{prefix}{i}"]], self.null_as_zero)
+
+    def fit(self, df: DataFrame) -> BinaryEncoderModel:
+        exprs = self.stats(df)
+        if not exprs:
+            return BinaryEncoderModel([], self.null_as_zero)
+        return self.from_stats(df.agg(*exprs).first(), df)
 
 
 # ------------------------------------------------------- F15/F16 one-hot (+A1/A2)
@@ -116,9 +126,10 @@ class CategoricalEncoder:
     numeric_threshold: float = config.NUMERIC_THRESHOLD
     numeric_mode: str = "numeric"
 
-    def fit(self, df: DataFrame) -> CategoricalModel:
+    def fit(self, df: DataFrame, profile: CategoricalProfile | None = None) -> CategoricalModel:
+        """``profile``: text statistics already computed on these values (saves the first job)."""
         text = columns_of_type(df, (T.StringType,))
-        prof = profile_text_columns(df, text, self.max_categories)
+        prof = profile_text_columns(df, text, self.max_categories, stats=profile)
         model = CategoricalModel()
         if self.numeric_mode == "numeric":
             model.to_double = [c for c in text if prof.numeric_share.get(c, 0.0) >= self.numeric_threshold]
@@ -226,10 +237,15 @@ class ComboEncoder:
     """one 0/1 column per distinct drug combination. The vocabulary has at most
     2^(number of drugs) entries, so collecting it is bounded."""
 
-    def fit(self, df: DataFrame) -> ComboModel:
+    def stats(self, df: DataFrame, prefix: str = "combo") -> list[F.Column]:
         used = [c for c in df.columns if c.startswith("used_")]
-        rows = df.select(regimen_name(used).alias("k")).distinct().collect()
-        return ComboModel(sorted(r["k"] for r in rows))
+        return [F.collect_set(regimen_name(used)).alias(prefix)]
+
+    def from_stats(self, row, prefix: str = "combo") -> ComboModel:
+        return ComboModel(sorted(row[prefix]))
+
+    def fit(self, df: DataFrame) -> ComboModel:
+        return self.from_stats(df.agg(*self.stats(df)).first())
 
 
 # ---------------------------------------------------------------- F6-F9 BMI
@@ -320,22 +336,33 @@ class CompatibleEncoder:
     # vocabularies up to this estimated size are joined by broadcast (the estimate is the check)
     broadcast_limit: int = 2_000_000
 
-    def fit(self, df: DataFrame) -> CompatibleModel:
+    def stats(self, df: DataFrame, prefix: str = "cmp", exprs: dict[str, F.Column] | None = None) -> list[F.Column]:
+        """Per-column NULL flags, means of numeric columns, distinct estimates of text columns.
+        ``exprs`` maps a column to the expression whose statistics are wanted (e.g. its clipped form)."""
+        exprs = exprs or {}
+        num = [f.name for f in df.schema.fields if isinstance(f.dataType, NUMERIC_TYPES)]
+        txt = columns_of_type(df, (T.StringType,))
+        e = lambda c: exprs.get(c, col(c))
+        out = [F.max(e(c).isNull().cast("int")).alias(f"{prefix}n{i}") for i, c in enumerate(df.columns)]
+        out += [F.avg(e(c)).alias(f"{prefix}m{i}") for i, c in enumerate(num)]
+        out += [F.approx_count_distinct(F.coalesce(e(c), F.lit("Unknown")), 0.05).alias(f"{prefix}d{i}")
+                for i, c in enumerate(txt)]
+        return out
+
+    def from_stats(self, row, df: DataFrame, prefix: str = "cmp", only: set[str] | None = None) -> CompatibleModel:
+        """Model from a row of ``stats(df)``; ``only`` limits the vocabulary jobs to surviving columns."""
         num = [f.name for f in df.schema.fields if isinstance(f.dataType, NUMERIC_TYPES)]
         boo = columns_of_type(df, (T.BooleanType,))
         txt = columns_of_type(df, (T.StringType,))
         other = [c for c in df.columns if c not in set(num) | set(boo) | set(txt)]
-        aggs = [F.max(col(c).isNull().cast("int")).alias(f"n{i}") for i, c in enumerate(df.columns)]
-        aggs += [F.avg(col(c)).alias(f"m{i}") for i, c in enumerate(num)]
-        aggs += [F.approx_count_distinct(F.coalesce(col(c), F.lit("Unknown")), 0.05).alias(f"d{i}")
-                 for i, c in enumerate(txt)]
-        row = df.agg(*aggs).first() if df.columns else None
-        has_null = {c: bool(row[f"n{i}"]) for i, c in enumerate(df.columns)} if row else {}
-        means = {c: row[f"m{i}"] for i, c in enumerate(num) if has_null.get(c) and row[f"m{i}"] is not None}
+        has_null = {c: bool(row[f"{prefix}n{i}"]) for i, c in enumerate(df.columns)}
+        means = {c: row[f"{prefix}m{i}"] for i, c in enumerate(num) if has_null.get(c) and row[f"{prefix}m{i}"] is not None}
         small, large, est = [], [], {}
         for i, c in enumerate(txt):
-            est[c] = row[f"d{i}"]
-            (small if row[f"d{i}"] <= self.map_limit else large).append(c)
+            est[c] = row[f"{prefix}d{i}"]
+            if only is not None and c not in only:
+                continue
+            (small if est[c] <= self.map_limit else large).append(c)
         small_vocab: dict[str, list[str]] = {}
         if small:
             filled = df.select(*[F.coalesce(col(c), F.lit("Unknown")).alias(c) for c in small])
@@ -349,3 +376,8 @@ class CompatibleEncoder:
             large_codes[c] = F.broadcast(codes) if est[c] * 1.1 <= self.broadcast_limit else codes
         return CompatibleModel(means, [c for c in boo if has_null.get(c)],
                                [c for c in other if has_null.get(c)], small_vocab, large_codes)
+
+    def fit(self, df: DataFrame) -> CompatibleModel:
+        if not df.columns:
+            return CompatibleModel({}, [], [], {}, {})
+        return self.from_stats(df.agg(*self.stats(df)).first(), df)

@@ -30,16 +30,22 @@ def _stack(row: DataFrame, names: Sequence[str], fields: Sequence[str], out: Seq
     return row.select(F.expr(f"stack({len(names)}, {', '.join(parts)}) AS (column_name, {', '.join(out)})"))
 
 
-def numeric_profile(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
-    """A3/A4: per numeric column n, non-NULL count, distinct count, min, max, mean, sample variance."""
+def numeric_profile(df: DataFrame, columns: Sequence[str] | None = None, exact_distinct: bool = True) -> DataFrame:
+    """A3/A4: per numeric column n, non-NULL count, distinct count, min, max, mean, sample variance.
+
+    ``exact_distinct=False`` takes the distinct count from the aggregation's HyperLogLog
+    estimate instead of the unpivot + distinct shuffle (which moves every distinct value)."""
     cols = list(columns) if columns is not None else columns_of_type(df, NUMERIC_TYPES)
     aggs = []
     for i, c in enumerate(cols):
         x = col(c).cast("double")
         aggs += [F.count(F.lit(1)).alias(f"n{i}"), F.count(x).alias(f"nn{i}"), F.min(x).alias(f"mn{i}"), F.max(x).alias(f"mx{i}"),
-                 F.avg(x).alias(f"av{i}"), F.var_samp(x).alias(f"vr{i}")]
+                 F.avg(x).alias(f"av{i}"), F.var_samp(x).alias(f"vr{i}"), F.approx_count_distinct(x).alias(f"ad{i}")]
     wide = df.agg(*aggs)
-    stats = _stack(wide, cols, ["n", "nn", "mn", "mx", "av", "vr"], ["n", "n_nonnull", "min", "max", "mean", "var_samp"])
+    stats = _stack(wide, cols, ["n", "nn", "mn", "mx", "av", "vr", "ad"], ["n", "n_nonnull", "min", "max", "mean", "var_samp", "approx_distinct"])
+    if not exact_distinct:
+        return stats.select("column_name", F.col("n").cast("bigint").alias("n"), F.col("n_nonnull").cast("bigint").alias("n_nonnull"),
+                            F.col("approx_distinct").cast("bigint").alias("n_distinct"), "min", "max", "mean", "var_samp")
     # Exact distinct counts: one unpivot, partial aggregation before the shuffle.
     long = df.select(*[col(c).cast("double").alias(c) for c in cols]) \
         .unpivot([], cols, "column_name", "value").filter(F.col("value").isNotNull())
@@ -63,45 +69,59 @@ class CategoricalProfile:
 
     counts: dict[str, dict[str, int]] = field(default_factory=dict)
     has_null: dict[str, bool] = field(default_factory=dict)
+    approx_distinct: dict[str, int] = field(default_factory=dict)
     numeric_share: dict[str, float] = field(default_factory=dict)
     categorical: list[str] = field(default_factory=list)
 
 
+def text_stats(columns: Sequence[str], prefix: str = "tx") -> list[F.Column]:
+    """Job-1 expressions of the text profile: NULL presence, distinct estimate, numeric share."""
+    out = []
+    for i, c in enumerate(columns):
+        out += [F.max(col(c).isNull().cast("int")).alias(f"{prefix}hn{i}"),
+                F.approx_count_distinct(col(c), 0.05).alias(f"{prefix}ad{i}"),
+                F.avg(F.when(col(c).isNotNull(), is_number_text(c).cast("double"))).alias(f"{prefix}ns{i}")]
+    return out
+
+
+def text_stats_from_row(row, columns: Sequence[str], prefix: str = "tx") -> CategoricalProfile:
+    prof = CategoricalProfile()
+    for i, c in enumerate(columns):
+        prof.has_null[c] = bool(row[f"{prefix}hn{i}"])
+        ns = row[f"{prefix}ns{i}"]
+        prof.numeric_share[c] = ns if ns is not None else float("nan")
+        prof.approx_distinct[c] = int(row[f"{prefix}ad{i}"])
+    return prof
+
+
 def profile_text_columns(df: DataFrame, columns: Sequence[str] | None = None, max_unique: int = config.MAX_CATEGORIES,
-                         bool_like=config.BOOL_LIKE_VALUES, vocab_cap: int | None = None) -> CategoricalProfile:
+                         bool_like=config.BOOL_LIKE_VALUES, vocab_cap: int | None = None,
+                         stats: CategoricalProfile | None = None) -> CategoricalProfile:
     """A1 (+A2, A5 inputs): find categorical text columns and their value counts in two jobs.
 
-    Job 1 (one aggregation): NULL presence, HyperLogLog distinct estimate and numeric share per
-    column. Only columns whose estimate is below ``4 * max_unique`` (so the estimate's error
-    cannot decide the result) enter job 2: one unpivot + group-by of (column, value) counts,
-    whose result is bounded by that cut and is the only thing brought to the driver.
+    Job 1 (one aggregation, ``text_stats``): NULL presence, HyperLogLog distinct estimate and
+    numeric share per column; it may be supplied precomputed as ``stats``. Only columns whose
+    estimate is below ``4 * max_unique`` (so the estimate's error cannot decide the result) enter
+    job 2: one unpivot + group-by of (column, value) counts, whose result is bounded by that cut
+    and is the only thing brought to the driver.
     """
     cols = list(columns) if columns is not None else columns_of_type(df, (T.StringType,))
-    prof = CategoricalProfile()
     if not cols:
-        return prof
+        return CategoricalProfile()
     cap = vocab_cap or 4 * max_unique
-    aggs = []
-    for i, c in enumerate(cols):
-        aggs += [F.max(col(c).isNull().cast("int")).alias(f"hn{i}"),
-                 F.approx_count_distinct(col(c), 0.05).alias(f"ad{i}"),
-                 F.avg(F.when(col(c).isNotNull(), is_number_text(c).cast("double"))).alias(f"ns{i}")]
-    row = df.agg(*aggs).first()
-    bounded = []
-    for i, c in enumerate(cols):
-        prof.has_null[c] = bool(row[f"hn{i}"])
-        prof.numeric_share[c] = row[f"ns{i}"] if row[f"ns{i}"] is not None else float("nan")
-        if row[f"ad{i}"] <= cap:
-            bounded.append(c)
+    if stats is None or any(c not in stats.approx_distinct for c in cols):
+        stats = text_stats_from_row(df.agg(*text_stats(cols)).first(), cols)
+    prof = CategoricalProfile(has_null={c: stats.has_null[c] for c in cols},
+                              numeric_share={c: stats.numeric_share[c] for c in cols},
+                              approx_distinct={c: stats.approx_distinct[c] for c in cols})
+    bounded = [c for c in cols if prof.approx_distinct[c] <= cap]
     if bounded:
         long = df.select(*[col(c) for c in bounded]).unpivot([], bounded, "column_name", "value") \
             .filter(F.col("value").isNotNull())
         for r in long.groupBy("column_name", "value").count().collect():
             prof.counts.setdefault(r["column_name"], {})[r["value"]] = r["count"]
     bl = set(bool_like)
-    for c in cols:
-        if c not in bounded:
-            continue
+    for c in bounded:
         vals = prof.counts.get(c, {})
         n_unique = len(vals) + (1 if prof.has_null[c] else 0)
         if n_unique < max_unique and not {v.strip().lower() for v in vals} <= bl:
@@ -135,22 +155,39 @@ def flag_distribution(df: DataFrame, flag: str) -> DataFrame:
     return g.withColumn("pct", F.round(F.col("n") * 100.0 / F.sum("n").over(Window.partitionBy()), 6))
 
 
-def low_variance_report(df: DataFrame, threshold: float = config.LOW_VARIANCE_THRESHOLD,
-                        always_drop: Sequence[str] = config.ALWAYS_DROP) -> DataFrame:
-    """P10 fit as one aggregation: per column, constant (NULL counted as a value) and, for numeric
-    non-boolean columns, sample variance over non-NULL values; ``dropped`` marks what P10 removes."""
+def low_variance_stats(df: DataFrame, prefix: str = "lv") -> list[F.Column]:
+    """P10 expressions: per column, constant (NULL counted as a value) and, for numeric
+    non-boolean columns, the sample variance over non-NULL values."""
     numeric = set(columns_of_type(df, NUMERIC_TYPES))
-    aggs = [F.count(F.lit(1)).alias("_n")]
+    out = []
     for i, c in enumerate(df.columns):
         x = col(c)
         nn = F.count(x)
-        aggs.append(((nn == 0) | ((nn == F.count(F.lit(1))) & (F.min(x) == F.max(x)))).alias(f"k{i}"))
+        out.append(((nn == 0) | ((nn == F.count(F.lit(1))) & (F.min(x) == F.max(x)))).alias(f"{prefix}k{i}"))
         if c in numeric:
-            aggs.append(F.coalesce(F.var_samp(x.cast("double")), F.lit(0.0)).alias(f"v{i}"))
-        else:
-            aggs.append(F.lit(None).cast("double").alias(f"v{i}"))
-    wide = df.agg(*aggs)
-    parts = ", ".join(f"{_q(c)}, k{i}, v{i}" for i, c in enumerate(df.columns))
+            out.append(F.coalesce(F.var_samp(x.cast("double")), F.lit(0.0)).alias(f"{prefix}v{i}"))
+    return out
+
+
+def low_variance_from_row(row, df: DataFrame, threshold: float = config.LOW_VARIANCE_THRESHOLD,
+                          always_drop: Sequence[str] = config.ALWAYS_DROP, prefix: str = "lv") -> list[str]:
+    """Columns P10 removes, from a row holding ``low_variance_stats``."""
+    numeric = set(columns_of_type(df, NUMERIC_TYPES))
+    drop = []
+    for i, c in enumerate(df.columns):
+        low = c in numeric and row[f"{prefix}v{i}"] < threshold
+        if row[f"{prefix}k{i}"] or low or c in always_drop:
+            drop.append(c)
+    return drop
+
+
+def low_variance_report(df: DataFrame, threshold: float = config.LOW_VARIANCE_THRESHOLD,
+                        always_drop: Sequence[str] = config.ALWAYS_DROP) -> DataFrame:
+    """P10 fit as one aggregation, one row per column: is_constant, variance, dropped."""
+    numeric = set(columns_of_type(df, NUMERIC_TYPES))
+    wide = df.agg(*low_variance_stats(df))
+    parts = ", ".join(f"{_q(c)}, lvk{i}, " + (f"lvv{i}" if c in numeric else "CAST(NULL AS DOUBLE)")
+                      for i, c in enumerate(df.columns))
     rep = wide.select(F.expr(f"stack({len(df.columns)}, {parts}) AS (column_name, is_constant, variance)"))
     drop = F.col("is_constant") | F.coalesce(F.col("variance") < threshold, F.lit(False)) \
         | F.col("column_name").isin(list(always_drop))

@@ -7,7 +7,6 @@ exact aggregations of ``operators.metrics``.
 
 from __future__ import annotations
 
-import itertools
 import logging
 from dataclasses import dataclass, field
 
@@ -90,21 +89,26 @@ def _prob1(col: str = "probability"):
 
 def evaluate(model, test: DataFrame, feature_names: list[str], best_params: dict, name: str,
              cv_auc: float) -> DataFrame:
-    """M8/M9 + A9-A11: one metrics row for a fitted classifier on the test rows."""
+    """M8/M9 + A9-A11: one metrics row for a fitted classifier on the test rows.
+
+    Predictions are persisted for the two metric jobs, then released; the result is a one-row
+    DataFrame of literals (no lineage back to the test rows).
+    """
+    spark = test.sparkSession
     pred = model.transform(test).select("label", "prediction", _prob1().alias("score"))
     pred = pred.persist(StorageLevel.MEMORY_AND_DISK)
-    cm = metrics.confusion_metrics(pred)
-    auc = metrics.roc_auc(pred)
+    cm = metrics.confusion_metrics(pred).first()
+    auc_v = metrics.roc_auc(pred).first()["auc"]
+    pred.unpersist()
     imp = getattr(model, "featureImportances", None)
-    imps = F.array(*[F.struct(F.lit(n).alias("feature"), F.lit(float(v)).alias("importance"))
-                     for n, v in zip(feature_names, imp.toArray())]) if imp is not None else \
-        F.lit(None).cast("array<struct<feature:string,importance:double>>")
-    params = F.create_map(*itertools.chain.from_iterable((F.lit(k), F.lit(str(v))) for k, v in best_params.items())) \
-        if best_params else F.create_map().cast("map<string,string>")
-    auc_v = auc.first()["auc"]
-    return cm.select(F.lit(name).alias("model"), F.lit(auc_v).alias("auc"), "accuracy", "precision", "recall", "f1",
-                     F.struct("tn", "fp", "fn", "tp").alias("confusion_matrix"), params.alias("best_params"),
-                     imps.alias("feature_importances"), F.lit(cv_auc).alias("cv_auc"))
+    imps = [(n, float(v)) for n, v in zip(feature_names, imp.toArray())] if imp is not None else None
+    schema = ("model string, auc double, accuracy double, precision double, recall double, f1 double, "
+              "confusion_matrix struct<tn:bigint,fp:bigint,fn:bigint,tp:bigint>, best_params map<string,string>, "
+              "feature_importances array<struct<feature:string,importance:double>>, cv_auc double")
+    row = (name, float(auc_v) if auc_v is not None else None, cm["accuracy"], cm["precision"], cm["recall"], cm["f1"],
+           (cm["tn"], cm["fp"], cm["fn"], cm["tp"]), {k: str(v) for k, v in best_params.items()}, imps,
+           float(cv_auc))
+    return spark.createDataFrame([row], schema)
 
 
 def grid_search(df: DataFrame, feature_cols: list[str], specs: list[ModelSpec] | None = None, row_id: str = "row_id",
@@ -145,6 +149,7 @@ def grid_search(df: DataFrame, feature_cols: list[str], specs: list[ModelSpec] |
         m = evaluate(cvm.bestModel, test, feature_cols, best_params, spec.name, cvm.avgMetrics[best_i])
         results.append(SearchResult(spec.name, cvm.bestModel, m, test, cvm.avgMetrics[best_i], best_params, feature_cols))
         log.info("%s: cv auc %.4f params %s", spec.name, cvm.avgMetrics[best_i], best_params)
+    train.unpersist()
     key = (lambda r: r.metrics.first()["auc"]) if select_by == "test" else (lambda r: r.cv_auc)
     best = max(results, key=key)
     return best, results

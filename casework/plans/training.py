@@ -15,8 +15,10 @@ from dataclasses import dataclass, field
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from casework.config import BuildConfig
+from casework.functions.clinical import clip
 from casework.operators import clean, encoders, names, ordered, profile
 from casework.session import shared_dir
 
@@ -70,36 +72,48 @@ def build_training_table(raw: DataFrame, cfg: BuildConfig | None = None, row_id:
         df = df.checkpoint(eager=True)
     if cached is not None:
         cached.unpersist()
-    # F1 binary columns.
-    bm = encoders.BinaryEncoder(cfg.binary_candidates, cfg.binary_null_as_zero).fit(df)
-    rep.binary = bm.columns
-    df = bm.transform(df)
-    # F10/F11 on raw slots (default) comes before one-hot; the compatible order reads dummies after.
+    # Fit pass A (one aggregation over the checkpoint): F1 decisions, text statistics for A1/A2,
+    # and the set of drug regimens for F12 (drug flags read the raw slots, so they are known here).
     drugs = encoders.DrugMultiHot(cfg.drug_patterns, after_drop_first=cfg.drugs_after_drop_first)
+    staged = df if cfg.drugs_after_drop_first else drugs.transform(df)
+    binenc = encoders.BinaryEncoder(cfg.binary_candidates, cfg.binary_null_as_zero)
+    text_cols = [c for c in profile.columns_of_type(staged, (T.StringType,)) if c != row_id]
+    combo = encoders.ComboEncoder()
+    exprs = binenc.stats(staged) + profile.text_stats(text_cols)
     if not cfg.drugs_after_drop_first:
-        df = drugs.transform(df)
-    # A1/A2 + F15/F16.
+        exprs += combo.stats(staged)
+    row = staged.agg(*exprs).first()
+    bm = binenc.from_stats(row, staged)
+    rep.binary = bm.columns
+    df = bm.transform(staged)
+    # Fit pass B: value counts of bounded text columns → one-hot vocabularies (A1 + F15/F16).
     cm = encoders.CategoricalEncoder(None, cfg.max_categories, cfg.numeric_threshold, cfg.numeric_mode) \
-        .fit(df.drop(row_id))
+        .fit(df.drop(row_id), profile=profile.text_stats_from_row(row, text_cols))
     rep.one_hot = {c: v for c, v in cm.vocab.items()}
     rep.to_double = list(cm.to_double)
     df = cm.transform(df)
     if cfg.drugs_after_drop_first:
         df = drugs.transform(df)
-    # F12 combinations, F6-F9 BMI.
-    combo = encoders.ComboEncoder().fit(df)
-    rep.combos = combo.names
-    df = combo.transform(df)
+        cmodel = combo.fit(df)
+    else:
+        cmodel = combo.from_stats(row)
+    rep.combos = cmodel.names
+    df = cmodel.transform(df)
     df = encoders.add_bmi(df)
-    # P10 constant / low-variance columns (target and row id are never dropped), P11 clip.
-    lv = profile.low_variance_report(df.drop(row_id), cfg.variance_threshold)
-    drop = [r["column_name"] for r in lv.filter("dropped").collect() if r["column_name"] != target]
+    # Fit pass C (one aggregation): P10 constants/variances and F14 statistics of the clipped values.
+    feat = df.drop(row_id)
+    floats = set(clean.columns_of_type(feat, clean.FLOAT_TYPES))
+    compat = encoders.CompatibleEncoder()
+    row = feat.agg(*profile.low_variance_stats(feat, prefix="lv"),
+                   *compat.stats(feat, exprs={c: clip(c) for c in floats})).first()
+    drop = [c for c in profile.low_variance_from_row(row, feat, cfg.variance_threshold) if c != target]
+    drop += [c for c in cfg.extra_drop if c in df.columns]
     rep.dropped_low_variance = drop
-    df = df.drop(*drop, *[c for c in cfg.extra_drop if c in df.columns])
-    df = clean.clip_float32(df)
-    # F14/F13 impute and label-encode, P3 names.
-    compat = encoders.CompatibleEncoder().fit(df.drop(row_id))
-    df = compat.transform(df)
+    keep = set(feat.columns) - set(drop)
+    # Pass D (inside): vocabularies of the remaining text columns for F13.
+    cmodel2 = compat.from_stats(row, feat, only=keep)
+    df = clean.clip_float32(df.drop(*drop))
+    df = cmodel2.transform(df)
     df = names.sanitize_columns(df)
     return df, rep
 
