@@ -119,6 +119,8 @@ class BuildConfig:
     binary_null_as_zero: bool = True
     # Read the drug slots after drop-first one-hot encoding (reproduces the lost first category).
     drugs_after_drop_first: bool = False
+    # P9b (extension, off by default): drop numeric columns with |corr(column, target)| >= this
+    correlation_threshold: float | None = None
     order_by: str | None = "row_id"
     forward_fill: bool = True
     extra_drop: tuple[str, ...] = field(default_factory=tuple)

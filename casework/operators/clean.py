@@ -71,7 +71,7 @@ def drop_leak_columns(df: DataFrame, target: str, leak_columns: Sequence[str] =
 def correlated_columns(df: DataFrame, target: str, threshold: float = 0.95) -> DataFrame:
     """One row per numeric column with its Pearson correlation to the target, and whether
     abs(corr) >= threshold. All correlations come from one aggregation job."""
-    nums = [c for c in columns_of_type(df, NUMERIC_TYPES) if c != target]
+    nums = [c for c in columns_of_type(df, NUMERIC_TYPES) if c != target and c != "row_id"]
     row = df.agg(*[F.corr(col(c).cast("double"), col(target).cast("double")).alias(f"c{i}")
                    for i, c in enumerate(nums)])
     stack = ", ".join(f"'{c.replace(chr(39), chr(39) * 2)}', c{i}" for i, c in enumerate(nums))

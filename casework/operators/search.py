@@ -120,6 +120,8 @@ def grid_search(df: DataFrame, feature_cols: list[str], specs: list[ModelSpec] |
 
     M12: ``use_boruta`` selects features on the training rows only (100 trees, two-step, alpha
     0.1) and applies the selection to both sides; if nothing is confirmed all features stay."""
+    if specs is not None and not specs:
+        raise ValueError("You must provide at least one model specification.")
     specs = specs or default_specs(seed)
     if use_boruta:
         from casework.operators.boruta import boruta

@@ -114,6 +114,9 @@ def build_training_table(raw: DataFrame, cfg: BuildConfig | None = None, row_id:
     cmodel2 = compat.from_stats(row, feat, only=keep)
     df = clean.clip_float32(df.drop(*drop))
     df = cmodel2.transform(df)
+    if cfg.correlation_threshold is not None:
+        feat_cols = [c for c in df.columns if c != row_id]
+        df = clean.drop_correlated(df.select(row_id, *feat_cols), target, cfg.correlation_threshold)
     df = names.sanitize_columns(df)
     return df, rep
 

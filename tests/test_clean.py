@@ -91,3 +91,27 @@ def test_correlated_columns(spark):
     df = spark.createDataFrame([(float(i), 2.0 * i + 1, math.sin(i), float(i)) for i in range(20)], "a double, b double, c double, t double")
     got = {r["column_name"]: r["dropped"] for r in clean.correlated_columns(df, "t", 0.95).collect()}
     assert got == {"a": True, "b": True, "c": False}
+
+
+def _jobs(spark, fn):
+    sc = spark.sparkContext
+    import uuid
+    g = uuid.uuid4().hex
+    sc.setJobGroup(g, "count jobs")
+    try:
+        fn()
+    finally:
+        sc.setLocalProperty("spark.jobGroup.id", None)
+    return len(sc.statusTracker().getJobIdsForGroup(g))
+
+
+def test_profiles_use_constant_job_count(spark):
+    """A1 and P10 cost the same number of jobs for 4 or 40 columns."""
+    base = spark.range(200).select(*[(F.col("id") % (i + 2)).cast("string").alias(f"c{i}") for i in range(40)])
+    narrow = base.select(*[f"c{i}" for i in range(4)]).checkpoint()
+    wide = base.checkpoint()
+    a = _jobs(spark, lambda: profile.profile_text_columns(narrow))
+    b = _jobs(spark, lambda: profile.profile_text_columns(wide))
+    c = _jobs(spark, lambda: profile.low_variance_report(narrow).collect())
+    d = _jobs(spark, lambda: profile.low_variance_report(wide).collect())
+    assert a == b and c == d and b <= 4 and d <= 2
