@@ -6,7 +6,6 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.utils import AnalysisException
 
 from casework import config
 from casework.functions.text import col, strip, to_number
@@ -80,8 +79,3 @@ def clip(c: str | Column, lo: float = config.FLOAT32_MIN, hi: float = config.FLO
     x = col(c)
     return F.when(x > F.lit(hi), F.lit(hi)).when(x < F.lit(lo), F.lit(lo)).otherwise(x)
 
-
-__all__ = [
-    "AnalysisException", "complication_flag", "threshold_label", "unit_convert", "in_range",
-    "bmi", "bmi_flag", "drug_canonical", "clip",
-]

@@ -12,7 +12,6 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from casework import config
-from casework.functions.clinical import threshold_label
 from casework.operators import clean, encoders, metrics, names, ordered, profile, split
 from casework.sources.fixtures import build_cases, build_messy_events, cases_cte, messy_cte
 from casework.sources.tables import table
@@ -537,7 +536,7 @@ def q_mean_abs(spark, d):
     return s.select("feature", r6("mean_abs_shap").alias("mean_abs_shap"))
 
 
-__all__ = ["QUERIES", "ORACLES", "threshold_label"]
+__all__ = ["QUERIES", "ORACLES", "query"]
 
 
 # --------------------------------------------------------- F6 report, wide W1, F1 on labels

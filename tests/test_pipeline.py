@@ -4,11 +4,10 @@ import os
 import tempfile
 
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 import __spark_entry__ as entry
 from casework.operators import search
-from casework.plans.training import build_training_table, feature_columns, with_label
+from casework.plans.training import build_training_table
 from casework.sources import materialize
 from casework.sources.tables import read_cases
 from casework.streaming.apply import apply_stages, stream_cases, write_scored
