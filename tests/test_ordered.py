@@ -86,3 +86,26 @@ def test_quantile_bucket_path(spark):
     ref = ev.withColumn("v", F.last("v", True).over(w))
     got = ordered.forward_fill(ev, ["v"], "h", rows_per_bucket=100)
     assert got.exceptAll(ref).count() == 0
+
+
+def test_hot_group_is_split_across_buckets(spark):
+    """One user holding a third of all rows: per-user forward fill still windows bounded buckets."""
+    n = 3000
+    df = spark.range(n).select(F.col("id").alias("event_id"),
+                               F.when(F.col("id") % 3 == 0, F.lit(0)).otherwise(F.col("id") % 97 + 1).alias("user_id"),
+                               F.when(F.col("id") % 11 == 0, F.col("id").cast("double")).alias("v"))
+    b = ordered.add_order_buckets(df, "event_id", rows_per_bucket=100)
+    hot = b.filter("user_id = 0").groupBy("_bucket").count().agg(F.max("count")).first()[0]
+    assert hot <= 100
+    w = Window.partitionBy("user_id").orderBy("event_id").rowsBetween(Window.unboundedPreceding, 0)
+    ref = df.withColumn("v", F.last("v", True).over(w))
+    got = ordered.forward_fill(df, ["v"], "event_id", ["user_id"], rows_per_bucket=100)
+    assert got.exceptAll(ref).count() == 0
+
+
+def test_dedupe_combines_before_shuffle(spark):
+    from casework.operators import clean
+    docs = spark.read.parquet(f"{SF_SMALL}/documents.parquet")
+    plan = clean.dedupe_keep_first(docs, "doc_id")._jdf.queryExecution().executedPlan().toString()
+    # partial aggregate sits below the exchange: copies collapse inside each map task
+    assert plan.index("partial_min") > plan.index("Exchange")
