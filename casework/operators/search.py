@@ -87,8 +87,34 @@ def _prob1(col: str = "probability"):
     return vector_to_array(F.col(col)).getItem(1)
 
 
+def cv_fold_metrics(cvm, train: DataFrame, n_points: int, folds: int, fold_col: str = "fold") -> list[dict]:
+    """M3: mean accuracy, precision, recall and F1 over the folds for every grid point, from the
+    fold models' predictions on their validation rows. All (fold, point) predictions are scored
+    by one aggregation job."""
+    from functools import reduce
+    parts = []
+    for i in range(folds):
+        val = train.filter(F.col(fold_col) == i)
+        for j in range(n_points):
+            parts.append(cvm.subModels[i][j].transform(val)
+                         .select(F.lit(j).alias("point"), F.lit(i).alias("fold"), "label", "prediction"))
+    allp = reduce(lambda a, b: a.unionByName(b), parts)
+    y, p = F.col("label") == 1, F.col("prediction") == 1
+    per = allp.groupBy("point", "fold").agg(F.count_if(~y & ~p).alias("tn"), F.count_if(~y & p).alias("fp"),
+                                            F.count_if(y & ~p).alias("fn"), F.count_if(y & p).alias("tp")).collect()
+    out = [{"accuracy": 0.0, "precision": 0.0, "recall": 0.0, "f1": 0.0} for _ in range(n_points)]
+    for r in per:
+        tn, fp, fn, tp = (float(r[k]) for k in ("tn", "fp", "fn", "tp"))
+        m = out[r["point"]]
+        m["accuracy"] += (tp + tn) / max(tp + tn + fp + fn, 1.0) / folds
+        m["precision"] += (tp / (tp + fp) if tp + fp else 0.0) / folds
+        m["recall"] += (tp / (tp + fn) if tp + fn else 0.0) / folds
+        m["f1"] += (2 * tp / (2 * tp + fp + fn) if tp else 0.0) / folds
+    return out
+
+
 def evaluate(model, test: DataFrame, feature_names: list[str], best_params: dict, name: str,
-             cv_auc: float) -> DataFrame:
+             cv_auc: float, cv_other: dict | None = None) -> DataFrame:
     """M8/M9 + A9-A11: one metrics row for a fitted classifier on the test rows.
 
     Predictions are persisted for the two metric jobs, then released; the result is a one-row
@@ -104,19 +130,21 @@ def evaluate(model, test: DataFrame, feature_names: list[str], best_params: dict
     imps = [(n, float(v)) for n, v in zip(feature_names, imp.toArray())] if imp is not None else None
     schema = ("model string, auc double, accuracy double, precision double, recall double, f1 double, "
               "confusion_matrix struct<tn:bigint,fp:bigint,fn:bigint,tp:bigint>, best_params map<string,string>, "
-              "feature_importances array<struct<feature:string,importance:double>>, cv_auc double")
+              "feature_importances array<struct<feature:string,importance:double>>, cv_auc double, "
+              "cv_metrics map<string,double>")
     row = (name, float(auc_v) if auc_v is not None else None, cm["accuracy"], cm["precision"], cm["recall"], cm["f1"],
            (cm["tn"], cm["fp"], cm["fn"], cm["tp"]), {k: str(v) for k, v in best_params.items()}, imps,
-           float(cv_auc))
+           float(cv_auc), {k: float(v) for k, v in (cv_other or {}).items()})
     return spark.createDataFrame([row], schema)
 
 
 def grid_search(df: DataFrame, feature_cols: list[str], specs: list[ModelSpec] | None = None, row_id: str = "row_id",
                 test_size: float = 0.2, seed: int = 42, folds: int = 5, parallelism: int = 4,
                 select_by: str = "test", use_boruta: bool = False,
-                boruta_iter: int = 100) -> tuple[SearchResult, list[SearchResult]]:
+                boruta_iter: int = 100, cv_metrics: bool = True) -> tuple[SearchResult, list[SearchResult]]:
     """M1-M4: split by id hash, stratified folds, CV per spec (AUC, exact), winner by test AUC
-    (``select_by='test'``, the compatible choice) or by CV AUC (``'cv'``).
+    (``select_by='test'``, the compatible choice) or by CV AUC (``'cv'``). ``cv_metrics`` also
+    scores accuracy, precision, recall and F1 per grid point over the folds (M3).
 
     M12: ``use_boruta`` selects features on the training rows only (100 trees, two-step, alpha
     0.1) and applies the selection to both sides; if nothing is confirmed all features stay."""
@@ -144,11 +172,12 @@ def grid_search(df: DataFrame, feature_cols: list[str], specs: list[ModelSpec] |
             est.set(est.getParam("weightCol"), "_class_weight")
         maps = spec.param_maps()
         cv = CrossValidator(estimator=est, estimatorParamMaps=maps, evaluator=evaluator, foldCol="fold", numFolds=folds,
-                            parallelism=parallelism, seed=seed)
+                            parallelism=parallelism, seed=seed, collectSubModels=cv_metrics)
         cvm = cv.fit(train)
         best_i = max(range(len(cvm.avgMetrics)), key=lambda i: cvm.avgMetrics[i])
         best_params = {p.name: v for p, v in maps[best_i].items()} if maps else {}
-        m = evaluate(cvm.bestModel, test, feature_cols, best_params, spec.name, cvm.avgMetrics[best_i])
+        other = cv_fold_metrics(cvm, train, len(maps), folds)[best_i] if cv_metrics else None
+        m = evaluate(cvm.bestModel, test, feature_cols, best_params, spec.name, cvm.avgMetrics[best_i], other)
         results.append(SearchResult(spec.name, cvm.bestModel, m, test, cvm.avgMetrics[best_i], best_params, feature_cols))
         log.info("%s: cv auc %.4f params %s", spec.name, cvm.avgMetrics[best_i], best_params)
     train.unpersist()
