@@ -35,8 +35,10 @@ POTENTIAL_BINARY = (
 )
 
 # Binary text map (values are compared after trim + lower).
-BINARY_TRUE = ("yes", "y", "true", "t", "1", "male")
-BINARY_FALSE = ("no", "n", "false", "f", "0", "female")
+BINARY_MAP = {
+    "yes": 1, "y": 1, "true": 1, "t": 1, "1": 1, "male": 1, "Yes": 1,
+    "no": 0, "n": 0, "false": 0, "f": 0, "0": 0, "female": 0, "No": 0,
+}
 # Numbers a binary column may also hold.
 BINARY_ALLOWED_NUMBERS = (0.0, 1.0, -99.0, -1.0)
 
@@ -99,6 +101,10 @@ NUMERIC_THRESHOLD = 0.9
 LOW_VARIANCE_THRESHOLD = 0.001
 # ------------------------------------------------------------ END FIXED VALUES
 
+# Lower-cased keys of the binary map by value (derived, for expressions).
+BINARY_TRUE = tuple(dict.fromkeys(k.lower() for k, v in BINARY_MAP.items() if v == 1))
+BINARY_FALSE = tuple(dict.fromkeys(k.lower() for k, v in BINARY_MAP.items() if v == 0))
+
 
 @dataclass
 class BuildConfig:
