@@ -138,7 +138,7 @@ class CategoricalEncoder:
         for c in cats:
             if prof.numeric_share.get(c, 0.0) >= self.numeric_threshold:
                 continue
-            if c not in prof.counts and prof.has_null.get(c) is not None and c in text:
+            if prof.approx_distinct.get(c, 0) > 4 * self.max_categories:  # vocabulary not collected
                 long_tail.append(c)
                 continue
             counts = prof.counts.get(c, {})
