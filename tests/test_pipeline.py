@@ -94,3 +94,30 @@ def test_run_dataset_end_to_end(spark):
     assert top["feature"] in out.best.feature_names
     assert out.attribution.count() > 0
     assert materialize.compare_runs(spark, res).count() == 1
+
+
+def test_cohort_folder_datasets(spark):
+    from casework.sources.tables import list_datasets, read_cohort_folder
+    d = tempfile.mkdtemp(prefix="casework-folder-")
+    os.makedirs(os.path.join(d, "sub"))
+    for name, rows in (("alpha.csv", ["a,b", "1,x", "2,y"]), (os.path.join("sub", "beta.csv"), ["a,b", "3,z"])):
+        with open(os.path.join(d, name), "w") as f:
+            f.write("\n".join(rows) + "\n")
+    df = read_cohort_folder(spark, d)
+    assert list_datasets(df) == ["alpha", "beta"]
+    got = sorted((r["dataset"], r["a"]) for r in df.select("dataset", "a").collect())
+    assert got == [("alpha", "1"), ("alpha", "2"), ("beta", "3")]
+
+
+def test_search_with_boruta_selection(spark):
+    from pyspark.ml.classification import RandomForestClassifier
+    li = spark.read.parquet(f"{SF_SMALL}/lineitem.parquet")
+    df = li.select(F.monotonically_increasing_id().alias("row_id"), "l_quantity", "l_tax",
+                   (F.rand(3) * 10).alias("noise"), (F.col("l_quantity") > 25).cast("double").alias("label"))
+    specs = [search.ModelSpec("RF", RandomForestClassifier(seed=1, numTrees=10), {"maxDepth": [3]}, balanced=True)]
+    best, _ = search.grid_search(df, ["l_quantity", "l_tax", "noise"], specs, use_boruta=True, boruta_iter=6,
+                                 cv_metrics=False)
+    assert "l_quantity" in best.feature_names and "noise" not in best.feature_names
+    import pytest
+    with pytest.raises(ValueError):
+        search.grid_search(df, ["l_quantity"], [])
