@@ -121,3 +121,15 @@ def test_search_with_boruta_selection(spark):
     import pytest
     with pytest.raises(ValueError):
         search.grid_search(df, ["l_quantity"], [])
+
+
+def test_optional_logistic_spec(spark):
+    li = spark.read.parquet(f"{SF_SMALL}/lineitem.parquet")
+    df = li.select(F.monotonically_increasing_id().alias("row_id"), "l_quantity", "l_tax",
+                   (F.col("l_quantity") > 25).cast("double").alias("label"))
+    lr = search.optional_specs()[0]
+    assert len(lr.param_maps()) == 8
+    lr.grid = {"regParam": [0.01], "elasticNetParam": [0.0]}
+    best, _ = search.grid_search(df, ["l_quantity", "l_tax"], [lr], cv_metrics=True)
+    m = best.metrics.first()
+    assert m["auc"] > 0.9 and m["feature_importances"] is None and set(m["cv_metrics"]) == {"accuracy", "precision", "recall", "f1"}
