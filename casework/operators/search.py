@@ -89,27 +89,36 @@ def _prob1(col: str = "probability"):
 
 def cv_fold_metrics(cvm, train: DataFrame, n_points: int, folds: int, fold_col: str = "fold") -> list[dict]:
     """M3: mean accuracy, precision, recall and F1 over the folds for every grid point, from the
-    fold models' predictions on their validation rows. All (fold, point) predictions are scored
-    by one aggregation job."""
+    fold models' predictions on their validation rows. Per fold, the grid points' models are
+    chained over one scan of the validation rows; one aggregation job scores everything."""
     from functools import reduce
+    y = F.col("label") == 1
     parts = []
     for i in range(folds):
-        val = train.filter(F.col(fold_col) == i)
+        cur = train.filter(F.col(fold_col) == i).select("features", "label")
         for j in range(n_points):
-            parts.append(cvm.subModels[i][j].transform(val)
-                         .select(F.lit(j).alias("point"), F.lit(i).alias("fold"), "label", "prediction"))
-    allp = reduce(lambda a, b: a.unionByName(b), parts)
-    y, p = F.col("label") == 1, F.col("prediction") == 1
-    per = allp.groupBy("point", "fold").agg(F.count_if(~y & ~p).alias("tn"), F.count_if(~y & p).alias("fp"),
-                                            F.count_if(y & ~p).alias("fn"), F.count_if(y & p).alias("tp")).collect()
+            m = cvm.subModels[i][j].copy()
+            outs = {"predictionCol": f"_p{j}", "rawPredictionCol": f"_r{j}", "probabilityCol": f"_q{j}"}
+            for k, v in outs.items():
+                if m.hasParam(k):
+                    m.set(m.getParam(k), v)
+            cur = m.transform(cur).drop(*[v for k, v in outs.items() if k != "predictionCol"])
+        aggs = []
+        for j in range(n_points):
+            p = F.col(f"_p{j}") == 1
+            aggs += [F.count_if(~y & ~p).alias(f"tn{j}"), F.count_if(~y & p).alias(f"fp{j}"),
+                     F.count_if(y & ~p).alias(f"fn{j}"), F.count_if(y & p).alias(f"tp{j}")]
+        parts.append(cur.agg(*aggs).withColumn("fold", F.lit(i)))
+    per = reduce(lambda a, b: a.unionByName(b), parts).collect()
     out = [{"accuracy": 0.0, "precision": 0.0, "recall": 0.0, "f1": 0.0} for _ in range(n_points)]
     for r in per:
-        tn, fp, fn, tp = (float(r[k]) for k in ("tn", "fp", "fn", "tp"))
-        m = out[r["point"]]
-        m["accuracy"] += (tp + tn) / max(tp + tn + fp + fn, 1.0) / folds
-        m["precision"] += (tp / (tp + fp) if tp + fp else 0.0) / folds
-        m["recall"] += (tp / (tp + fn) if tp + fn else 0.0) / folds
-        m["f1"] += (2 * tp / (2 * tp + fp + fn) if tp else 0.0) / folds
+        for j in range(n_points):
+            tn, fp, fn, tp = (float(r[f"{k}{j}"]) for k in ("tn", "fp", "fn", "tp"))
+            m = out[j]
+            m["accuracy"] += (tp + tn) / max(tp + tn + fp + fn, 1.0) / folds
+            m["precision"] += (tp / (tp + fp) if tp + fp else 0.0) / folds
+            m["recall"] += (tp / (tp + fn) if tp + fn else 0.0) / folds
+            m["f1"] += (2 * tp / (2 * tp + fp + fn) if tp else 0.0) / folds
     return out
 
 
