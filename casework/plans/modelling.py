@@ -72,8 +72,7 @@ def _fit_forest(spark, d, num_trees=50, depth=5):
 @query("tree_shap")
 def q_tree_shap(spark, d):
     model, test, feats = _fit_forest(spark, d)
-    sh = treeshap.explain(test, model)
-    return treeshap.shap_summary(sh, feats)
+    return treeshap.explain_summary(test, model, feats)
 
 
 @query("attribution_bins")
@@ -137,5 +136,4 @@ def q_rf_regression_shap(spark, d):
     t = training_table(spark, d)
     feats = feature_columns(t, TARGET)
     model, _, test = search.rf_regression(t, feats, TARGET, num_trees=100)
-    sh = treeshap.explain(test, model)
-    return treeshap.shap_summary(sh, feats).limit(40)
+    return treeshap.explain_summary(test, model, feats).limit(40)
