@@ -19,12 +19,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def read_cases(spark: SparkSession, path: str, fmt: str = "csv", schema: T.StructType | None = None,
-               infer_schema: bool = False, multiline: bool = False, row_id: str | None = "row_id") -> DataFrame:
+               infer_schema: bool = False, multiline: bool = True, row_id: str | None = "row_id") -> DataFrame:
     """Read a case file (CSV with header, or parquet); a missing path gives an empty table.
 
     CSV is read as text unless ``schema`` is given (``infer_schema`` costs a full extra pass, so it
-    is off by default: typing happens later from the values). ``row_id`` is a unique id taken at
-    the scan, increasing in file order within one file; pass ``row_id=None`` to skip it.
+    is off by default: typing happens later from the values). Quoted fields may hold commas,
+    doubled quotes and line breaks (``multiline``, on by default for correct parsing; each file is
+    then one split, so parallelism comes from the number of files — turn it off for single huge
+    files without embedded line breaks). ``row_id`` is a unique id taken at the scan, increasing in
+    file order within one file; pass ``row_id=None`` to skip it.
     """
     try:
         if fmt == "csv":

@@ -133,3 +133,12 @@ def test_optional_logistic_spec(spark):
     best, _ = search.grid_search(df, ["l_quantity", "l_tax"], [lr], cv_metrics=True)
     m = best.metrics.first()
     assert m["auc"] > 0.9 and m["feature_importances"] is None and set(m["cv_metrics"]) == {"accuracy", "precision", "recall", "f1"}
+
+
+def test_csv_quoted_fields(spark):
+    d = tempfile.mkdtemp(prefix="casework-quoted-")
+    path = os.path.join(d, "q.csv")
+    with open(path, "w") as f:
+        f.write('caseid,note,drug\n1,"line one\nline two","CeFAZoLin, 1g"\n2,"say ""hi""",x\n')
+    rows = read_cases(spark, path).orderBy("caseid").collect()
+    assert [r["note"] for r in rows] == ["line one\nline two", 'say "hi"'] and rows[0]["drug"] == "CeFAZoLin, 1g"
