@@ -317,8 +317,8 @@ class CompatibleModel:
                 x = F.element_at(lookup, F.coalesce(x, F.lit("Unknown")))
             out.append(x.alias(c) if c not in self.large_codes else x)
         res = df.select(*out)
-        for c, codes in self.large_codes.items():
-            tmp = f"_code_{abs(hash(c))}"
+        for k, (c, codes) in enumerate(self.large_codes.items()):
+            tmp = f"_code_{k}"
             res = res.withColumn(c, F.coalesce(col(c), F.lit("Unknown"))) \
                 .join(codes.withColumnRenamed("code", tmp), c, "left") \
                 .withColumn(c, F.col(tmp)).drop(tmp)
