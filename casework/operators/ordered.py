@@ -61,6 +61,19 @@ def add_order_buckets(df: DataFrame, order_by: str, rows_per_bucket: int = ROWS_
     return out.withColumn(BUCKET, F.col(BUCKET + "_d").cast("long")).drop(tmp, BUCKET + "_d")
 
 
+def _group_keys(b: DataFrame, parts: Sequence[str]) -> tuple[DataFrame, list[str]]:
+    """Non-NULL key columns for (group, bucket): each group column becomes (value or a typed
+    default, is-NULL flag). Windows, summaries and the carry join all use these same columns with
+    plain equality, so the join needs no exchange on the (large) row side."""
+    types = dict(b.dtypes)
+    extra, keys = [], []
+    for j, p in enumerate(parts):
+        default = F.lit("") if types[p] == "string" else F.lit(0).cast(types[p])
+        extra += [F.coalesce(col(p), default).alias(f"_pk{j}"), col(p).isNull().alias(f"_pn{j}")]
+        keys += [f"_pk{j}", f"_pn{j}"]
+    return (b.select("*", *extra) if extra else b), keys + [BUCKET]
+
+
 def forward_fill(df: DataFrame, columns: Sequence[str], order_by: str, partition_by: Sequence[str] = (),
                  rows_per_bucket: int = ROWS_PER_BUCKET) -> DataFrame:
     """Replace NULLs by the last non-NULL value earlier in ``order_by`` order (within ``partition_by``).
@@ -72,23 +85,23 @@ def forward_fill(df: DataFrame, columns: Sequence[str], order_by: str, partition
     if not columns:
         return df
     parts = list(partition_by)
-    b = add_order_buckets(df, order_by, rows_per_bucket)
-    keys = parts + [BUCKET]
+    b, keys = _group_keys(add_order_buckets(df, order_by, rows_per_bucket), parts)
+    gkeys = keys[:-1]
     w_local = Window.partitionBy(*[col(k) for k in keys]).orderBy(col(order_by)) \
         .rowsBetween(Window.unboundedPreceding, Window.currentRow)
     local = b.select(*[col(c) for c in b.columns if c not in columns],
                      *[F.last(col(c), ignorenulls=True).over(w_local).alias(c) for c in columns])
-    # One row per (group, bucket): the bucket's last non-NULL value of each column.
-    summary = b.groupBy(*[col(k) for k in keys]).agg(
+    # One row per (group, bucket): the bucket's last non-NULL value of each column. Aggregated
+    # from the rows with a partial aggregate, so only one row per bucket per task is shuffled
+    # (reading the window output instead would shuffle the rows a second time).
+    summary = b.groupBy(*keys).agg(
         *[F.max_by(col(c), F.when(col(c).isNotNull(), col(order_by))).alias(f"_last_{i}")
           for i, c in enumerate(columns)])
-    w_carry = (Window.partitionBy(*[col(p) for p in parts]) if parts else Window.partitionBy(F.lit(0))) \
+    w_carry = (Window.partitionBy(*gkeys) if gkeys else Window.partitionBy(F.lit(0))) \
         .orderBy(BUCKET).rowsBetween(Window.unboundedPreceding, -1)
-    carry = summary.select(*[col(k).alias(f"_k{j}") for j, k in enumerate(keys)],
-                           *[F.last(f"_last_{i}", ignorenulls=True).over(w_carry).alias(f"_carry_{i}")
-                             for i in range(len(columns))])
-    cond = [col(k).eqNullSafe(F.col(f"_k{j}")) for j, k in enumerate(keys)]
-    joined = local.join(carry, cond, "left")
+    carry = summary.select(*keys, *[F.last(f"_last_{i}", ignorenulls=True).over(w_carry).alias(f"_carry_{i}")
+                                    for i in range(len(columns))])
+    joined = local.join(carry, keys, "left")
     out_cols = []
     for c in df.columns:
         if c in columns:
@@ -105,17 +118,15 @@ def rank_within(df: DataFrame, order_by: str, partition_by: Sequence[str] = (),
 
     Buckets follow ``order_by`` only; ties on it share a bucket, where ``tiebreak`` orders them."""
     parts = list(partition_by)
-    b = add_order_buckets(df, order_by, rows_per_bucket)
-    keys = parts + [BUCKET]
+    b, keys = _group_keys(add_order_buckets(df, order_by, rows_per_bucket), parts)
+    gkeys = keys[:-1]
     w_local = Window.partitionBy(*[col(k) for k in keys]).orderBy(col(order_by), *[col(t) for t in tiebreak])
     local = b.withColumn("_local", F.row_number().over(w_local) - 1)
-    counts = b.groupBy(*[col(k) for k in keys]).agg(F.count(F.lit(1)).alias("_n"))
-    w_off = (Window.partitionBy(*[col(p) for p in parts]) if parts else Window.partitionBy(F.lit(0))) \
+    counts = b.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
+    w_off = (Window.partitionBy(*gkeys) if gkeys else Window.partitionBy(F.lit(0))) \
         .orderBy(BUCKET).rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.select(*[col(k).alias(f"_k{j}") for j, k in enumerate(keys)],
-                            F.coalesce(F.sum("_n").over(w_off), F.lit(0)).alias("_offset"))
-    cond = [col(k).eqNullSafe(F.col(f"_k{j}")) for j, k in enumerate(keys)]
-    j = local.join(offsets, cond, "left")
+    offsets = counts.select(*keys, F.coalesce(F.sum("_n").over(w_off), F.lit(0)).alias("_offset"))
+    j = local.join(offsets, keys, "left")
     return j.select(*[col(c) for c in df.columns], (F.col("_local") + F.col("_offset")).alias(out))
 
 
@@ -124,21 +135,19 @@ def running_sums(df: DataFrame, order_by: str, value_cols: Sequence[str], partit
     """Running sums of ``value_cols`` in ``order_by`` order (``exclusive``: rows strictly before)."""
     parts = list(partition_by)
     vals = list(value_cols)
-    b = add_order_buckets(df, order_by, rows_per_bucket)
-    keys = parts + [BUCKET]
+    b, keys = _group_keys(add_order_buckets(df, order_by, rows_per_bucket), parts)
+    gkeys = keys[:-1]
     end = -1 if exclusive else Window.currentRow
     w_local = Window.partitionBy(*[col(k) for k in keys]).orderBy(col(order_by)) \
         .rowsBetween(Window.unboundedPreceding, end)
     local = b.select("*", *[F.coalesce(F.sum(col(v)).over(w_local), F.lit(0)).alias(f"_loc_{i}")
                             for i, v in enumerate(vals)])
-    totals = b.groupBy(*[col(k) for k in keys]).agg(*[F.sum(col(v)).alias(f"_tot_{i}") for i, v in enumerate(vals)])
-    w_off = (Window.partitionBy(*[col(p) for p in parts]) if parts else Window.partitionBy(F.lit(0))) \
+    totals = b.groupBy(*keys).agg(*[F.sum(col(v)).alias(f"_tot_{i}") for i, v in enumerate(vals)])
+    w_off = (Window.partitionBy(*gkeys) if gkeys else Window.partitionBy(F.lit(0))) \
         .orderBy(BUCKET).rowsBetween(Window.unboundedPreceding, -1)
-    offsets = totals.select(*[col(k).alias(f"_k{j}") for j, k in enumerate(keys)],
-                            *[F.coalesce(F.sum(f"_tot_{i}").over(w_off), F.lit(0)).alias(f"_off_{i}")
-                              for i in range(len(vals))])
-    cond = [col(k).eqNullSafe(F.col(f"_k{j}")) for j, k in enumerate(keys)]
-    j = local.join(offsets, cond, "left")
+    offsets = totals.select(*keys, *[F.coalesce(F.sum(f"_tot_{i}").over(w_off), F.lit(0)).alias(f"_off_{i}")
+                                     for i in range(len(vals))])
+    j = local.join(offsets, keys, "left")
     return j.select(*[col(c) for c in df.columns],
                     *[(F.col(f"_loc_{i}") + F.col(f"_off_{i}")).alias(f"cum_{v}") for i, v in enumerate(vals)])
 
