@@ -199,3 +199,16 @@ def drop_low_variance(df: DataFrame, threshold: float = config.LOW_VARIANCE_THRE
     """P10: drop constant and low-variance columns (the decision list is bounded by the column count)."""
     drop = [r["column_name"] for r in low_variance_report(df, threshold, always_drop).filter("dropped").collect()]
     return df.drop(*drop)
+
+
+def columns_with_nulls(df: DataFrame) -> list[str]:
+    """F14 check: columns that still hold NULL (or NaN) values, from one aggregation."""
+    if not df.columns:
+        return []
+    floats = set(columns_of_type(df, (T.FloatType, T.DoubleType)))
+    aggs = []
+    for i, c in enumerate(df.columns):
+        miss = col(c).isNull() | F.isnan(col(c)) if c in floats else col(c).isNull()
+        aggs.append(F.max(miss.cast("int")).alias(f"m{i}"))
+    row = df.agg(*aggs).first()
+    return [c for i, c in enumerate(df.columns) if row[f"m{i}"]]

@@ -142,3 +142,12 @@ def test_csv_quoted_fields(spark):
         f.write('caseid,note,drug\n1,"line one\nline two","CeFAZoLin, 1g"\n2,"say ""hi""",x\n')
     rows = read_cases(spark, path).orderBy("caseid").collect()
     assert [r["note"] for r in rows] == ["line one\nline two", 'say "hi"'] and rows[0]["drug"] == "CeFAZoLin, 1g"
+
+
+def test_training_table_has_no_missing_values(spark):
+    from casework.operators.profile import columns_with_nulls
+    from casework.plans.modelling import training_table
+    t = training_table(spark, SF_SMALL)
+    assert columns_with_nulls(t) == []
+    bad = spark.createDataFrame([(1.0, None), (float("nan"), "a")], "x double, y string")
+    assert columns_with_nulls(bad) == ["x", "y"]
