@@ -151,3 +151,16 @@ def test_training_table_has_no_missing_values(spark):
     assert columns_with_nulls(t) == []
     bad = spark.createDataFrame([(1.0, None), (float("nan"), "a")], "x double, y string")
     assert columns_with_nulls(bad) == ["x", "y"]
+
+
+def test_lexical_mode_codes_sorted_strings(spark):
+    from casework.config import BuildConfig
+    from casework.sources.fixtures import build_cases
+    raw = build_cases(spark, SF_SMALL).withColumn("row_id", F.col("caseid"))
+    table, rep = build_training_table(raw, BuildConfig(target="tothlos", numeric_mode="lexical"))
+    assert rep.to_double == []
+    got = {r["row_id"]: r["tothlos"] for r in table.select("row_id", "tothlos").collect()}
+    texts = sorted({str(r["tothlos"]) for r in raw.select("tothlos").collect()})
+    code = {t: i for i, t in enumerate(texts)}
+    exp = {r["row_id"]: code[str(r["tothlos"])] for r in raw.select("row_id", "tothlos").collect()}
+    assert got == {k: exp[k] for k in got}
