@@ -121,6 +121,9 @@ class BuildConfig:
     variance_threshold: float = LOW_VARIANCE_THRESHOLD
     # "numeric": numeric-looking text becomes double; "lexical": reproduce label codes of sorted strings.
     numeric_mode: str = "numeric"
+    # Text that cells still missing at P7 become ("nan" reproduces the reference, where such cells
+    # form categories such as ``<slot>_nan``); None keeps them NULL.
+    missing_as_text: str | None = None
     # True reproduces "missing becomes 0" in binary columns.
     binary_null_as_zero: bool = True
     # Read the drug slots after drop-first one-hot encoding (reproduces the lost first category).

@@ -66,7 +66,7 @@ def build_training_table(raw: DataFrame, cfg: BuildConfig | None = None, row_id:
     df = clean.drop_leak_columns(df, target, cfg.leak_columns)
     df = clean.drop_blank_rows(df, cfg.blank_check_columns)
     # Everything to trimmed text, missing tokens to NULL.
-    df = clean.normalize_nulls(df, cfg.missing_tokens, keep=[row_id])
+    df = clean.normalize_nulls(df, cfg.missing_tokens, keep=[row_id], null_text=cfg.missing_as_text)
     if checkpoint:
         shared_dir(spark)
         df = df.checkpoint(eager=True)

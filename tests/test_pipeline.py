@@ -164,3 +164,11 @@ def test_lexical_mode_codes_sorted_strings(spark):
     code = {t: i for i, t in enumerate(texts)}
     exp = {r["row_id"]: code[str(r["tothlos"])] for r in raw.select("row_id", "tothlos").collect()}
     assert got == {k: exp[k] for k in got}
+
+
+def test_missing_as_text_makes_nan_category(spark):
+    from casework.config import BuildConfig
+    from casework.sources.fixtures import build_cases
+    raw = build_cases(spark, SF_SMALL).withColumn("row_id", F.col("caseid"))
+    _, rep = build_training_table(raw, BuildConfig(target="tothlos", missing_as_text="nan", forward_fill=False))
+    assert "nan" in rep.one_hot.get("ped_sap_name2", [])
