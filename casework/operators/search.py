@@ -20,6 +20,7 @@ from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from casework.functions.text import col
 from casework.operators import metrics
 from casework.operators.split import is_test_row, stratified_folds, train_test_split
 
@@ -66,10 +67,16 @@ def optional_specs(seed: int = 42) -> list[ModelSpec]:
 
 
 def assemble(df: DataFrame, feature_cols: list[str], out: str = "features") -> DataFrame:
-    """One vector column (names kept in the column metadata); booleans enter as 0/1."""
-    cast = df.select(*[F.col(f"`{c}`").cast("double").alias(c) if c in feature_cols else F.col(f"`{c}`")
-                       for c in df.columns])
-    return VectorAssembler(inputCols=feature_cols, outputCol=out, handleInvalid="error").transform(cast)
+    """One vector column of ``feature_cols`` in order; booleans enter as 0/1.
+
+    The assembler resolves names as paths (``a.b`` would mean a struct field), so columns are fed
+    under positional aliases; the real names stay with the caller, in the same order.
+    """
+    feats = set(feature_cols)
+    tmp = [f"_f{i}" for i in range(len(feature_cols))]
+    cast = df.select(*[F.col(f"`{c}`") for c in df.columns if c not in feats],
+                     *[F.col(f"`{c}`").cast("double").alias(t) for c, t in zip(feature_cols, tmp)])
+    return VectorAssembler(inputCols=tmp, outputCol=out, handleInvalid="error").transform(cast).drop(*tmp)
 
 
 @dataclass
@@ -165,7 +172,7 @@ def grid_search(df: DataFrame, feature_cols: list[str], specs: list[ModelSpec] |
         train_rows = df.filter(~is_test_row(row_id, test_size, seed))
         sel = boruta(train_rows, feature_cols, "label", row_id, max_iter=boruta_iter, num_trees=100, seed=seed).selected
         feature_cols = sel or feature_cols
-    data = assemble(df.select(row_id, "label", *feature_cols), feature_cols)
+    data = assemble(df.select(row_id, "label", *[col(c) for c in feature_cols]), feature_cols)
     train, test = train_test_split(data, row_id, test_size, seed)
     train = metrics.with_class_weight(train, "label", "_class_weight")
     train = stratified_folds(train, "label", row_id, folds, seed).select(row_id, "features", "label", "_class_weight", "fold")
@@ -200,7 +207,7 @@ def rf_regression(df: DataFrame, feature_cols: list[str], target: str, row_id: s
     """F5 binary cast, split, random-forest regression; returns (model, metrics, test)."""
     from casework.operators.clean import binary_target_cast
     df = binary_target_cast(df, target)
-    data = assemble(df.select(row_id, F.col(target).cast("double").alias("label"), *feature_cols), feature_cols)
+    data = assemble(df.select(row_id, col(target).cast("double").alias("label"), *[col(c) for c in feature_cols]), feature_cols)
     train, test = train_test_split(data, row_id, test_size, seed)
     model = RandomForestRegressor(numTrees=num_trees, seed=seed).fit(train)
     pred = model.transform(test)

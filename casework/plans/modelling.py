@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from casework.config import BuildConfig
+from casework.functions.text import col
 from casework.operators import search, treeshap
 from casework.plans.catalogue import query, r6
 from casework.plans.training import build_training_table, feature_columns, with_label
@@ -62,7 +63,7 @@ def q_grid_search(spark, d):
 
 def _fit_forest(spark, d, num_trees=50, depth=5):
     t, feats = _labelled(spark, d)
-    data = search.assemble(t.select("row_id", "label", *feats), feats)
+    data = search.assemble(t.select("row_id", "label", *[col(c) for c in feats]), feats)
     from casework.operators.split import train_test_split
     train, test = train_test_split(data, "row_id")
     model = RandomForestClassifier(numTrees=num_trees, maxDepth=depth, seed=42).fit(train)

@@ -19,6 +19,7 @@ from pyspark.sql import types as T
 
 from casework.config import BuildConfig
 from casework.functions.clinical import clip
+from casework.functions.text import col
 from casework.operators import clean, encoders, names, ordered, profile
 from casework.session import shared_dir
 
@@ -116,7 +117,7 @@ def build_training_table(raw: DataFrame, cfg: BuildConfig | None = None, row_id:
     df = cmodel2.transform(df)
     if cfg.correlation_threshold is not None:
         feat_cols = [c for c in df.columns if c != row_id]
-        df = clean.drop_correlated(df.select(row_id, *feat_cols), target, cfg.correlation_threshold)
+        df = clean.drop_correlated(df.select(row_id, *[col(c) for c in feat_cols]), target, cfg.correlation_threshold)
     df = names.sanitize_columns(df)
     return df, rep
 

@@ -172,3 +172,23 @@ def test_missing_as_text_makes_nan_category(spark):
     raw = build_cases(spark, SF_SMALL).withColumn("row_id", F.col("caseid"))
     _, rep = build_training_table(raw, BuildConfig(target="tothlos", missing_as_text="nan", forward_fill=False))
     assert "nan" in rep.one_hot.get("ped_sap_name2", [])
+
+
+def test_search_with_dotted_and_spaced_names(spark):
+    from pyspark.ml.classification import RandomForestClassifier
+    li = spark.read.parquet(f"{SF_SMALL}/lineitem.parquet")
+    df = li.select(F.monotonically_increasing_id().alias("row_id"), F.col("l_quantity").alias("qty.1"),
+                   F.col("l_tax").alias("tax rate"), (F.col("l_quantity") > 25).alias("flag (x)"),
+                   (F.col("l_quantity") > 25).cast("double").alias("label"))
+    specs = [search.ModelSpec("RF", RandomForestClassifier(seed=1, numTrees=5), {"maxDepth": [2]})]
+    best, _ = search.grid_search(df, ["qty.1", "tax rate", "flag (x)"], specs, cv_metrics=False)
+    assert best.metrics.first()["auc"] > 0.9
+
+
+def test_builder_correlation_option(spark):
+    from casework.config import BuildConfig
+    from casework.sources.fixtures import build_cases
+    raw = build_cases(spark, SF_SMALL).withColumn("row_id", F.col("caseid"))
+    table, _ = build_training_table(raw, BuildConfig(target="tothlos", correlation_threshold=0.8))
+    # optime (sum of quantities) tracks the line count closely and is dropped
+    assert "optime" not in table.columns and "tothlos" in table.columns
