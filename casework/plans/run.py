@@ -1,4 +1,4 @@
-"""The end-to-end run (the reference's driver script, R:59-111) and the review re-run.
+"""The end-to-end run over case files (the per-dataset driver loop) and the review re-run.
 
 For each dataset: build or load the training table (S4), label ``x > 5``, search the model
 specs under stratified CV (M1-M4), explain the winner on the test rows (X1-X2), save metrics

@@ -65,11 +65,11 @@ def read_cohort_folder(spark: SparkSession, folder: str, fmt: str = "csv", **kw)
     """
     reader = spark.read.option("recursiveFileLookup", True)
     if fmt == "csv":
-        reader = reader.option("header", True).option("escape", '"').option("inferSchema", kw.get("infer_schema", False))
+        reader = reader.option("header", True).option("escape", '"').option("multiLine", kw.get("multiline", True)) \
+            .option("inferSchema", kw.get("infer_schema", False))
     df = reader.format(fmt).load(folder)
-    name = F.col("_metadata.file_name")
-    return df.withColumn("dataset", F.expr("substring(_metadata.file_name, 1, length(_metadata.file_name) - 4)")) \
-             .withColumn("row_id", F.monotonically_increasing_id()).withColumn("_file", name)
+    stem = F.expr("substring(_metadata.file_name, 1, length(_metadata.file_name) - 4)")
+    return df.withColumn("dataset", stem).withColumn("row_id", F.monotonically_increasing_id())
 
 
 def list_datasets(df: DataFrame) -> list[str]:
