@@ -135,5 +135,5 @@ def with_label(df: DataFrame, target: str, statement: str | None, label: str = "
     if statement:
         df = clean.label_by_threshold(df, target, statement, out=label)
     else:
-        df = df.withColumn(label, F.col(target))
+        df = df.withColumn(label, col(target))
     return df.withColumn(label, F.col(label).cast("double"))
