@@ -1,12 +1,13 @@
 """Order-dependent operators without a single-partition window (W1, M2 ranks, A11 running sums).
 
-Two-level prefix: rows are cut into buckets along the order key at approximate
-quantiles (one aggregation job, bounded result), so every bucket holds about
-``rows / n_buckets`` rows whatever the key distribution. Inside a bucket a window
-partitioned by (group, bucket) does the local work; a summary of one row per
-(group, bucket) carries values across bucket borders through a window over the
-summary only. No step puts all rows of the table (or of one hot group) in one task.
-The order key must be non-null and unique within a group for a deterministic result.
+Two-level prefix: rows are cut into buckets along the order key — equal key ranges for dense
+integer keys, approximate quantiles otherwise (one or two aggregation jobs, bounded results) —
+so every bucket holds a bounded number of rows whatever the key distribution. Inside a bucket a
+window partitioned by (group, bucket) does the local work; a summary of one row per
+(group, bucket), built by partial aggregation, carries values across bucket borders through a
+window over the summary only, and is joined back on the same non-NULL key columns the window
+used, so the rows are shuffled once. No step puts all rows of the table (or of one hot group)
+in one task. The order key must be non-null and unique within a group for a deterministic result.
 """
 
 from __future__ import annotations
