@@ -157,7 +157,8 @@ def evaluate(model, test: DataFrame, feature_names: list[str], best_params: dict
 def grid_search(df: DataFrame, feature_cols: list[str], specs: list[ModelSpec] | None = None, row_id: str = "row_id",
                 test_size: float = 0.2, seed: int = 42, folds: int = 5, parallelism: int = 4,
                 select_by: str = "test", use_boruta: bool = False,
-                boruta_iter: int = 100, cv_metrics: bool = True) -> tuple[SearchResult, list[SearchResult]]:
+                boruta_iter: int = 100, cv_metrics: bool = True,
+                spec_parallelism: int = 4) -> tuple[SearchResult, list[SearchResult]]:
     """M1-M4: split by id hash, stratified folds, CV per spec (AUC, exact), winner by test AUC
     (``select_by='test'``, the compatible choice) or by CV AUC (``'cv'``). ``cv_metrics`` also
     scores accuracy, precision, recall and F1 per grid point over the folds (M3).
@@ -180,8 +181,8 @@ def grid_search(df: DataFrame, feature_cols: list[str], specs: list[ModelSpec] |
     test = test.select(row_id, "features", "label").persist(StorageLevel.MEMORY_AND_DISK)
     evaluator = BinaryClassificationEvaluator(metricName="areaUnderROC", rawPredictionCol="rawPrediction",
                                               numBins=0)
-    results = []
-    for spec in specs:
+
+    def fit_spec(spec: ModelSpec):
         est = spec.estimator.copy()
         est.setFeaturesCol("features").setLabelCol("label")
         if spec.balanced and est.hasParam("weightCol"):
@@ -189,7 +190,15 @@ def grid_search(df: DataFrame, feature_cols: list[str], specs: list[ModelSpec] |
         maps = spec.param_maps()
         cv = CrossValidator(estimator=est, estimatorParamMaps=maps, evaluator=evaluator, foldCol="fold", numFolds=folds,
                             parallelism=parallelism, seed=seed, collectSubModels=cv_metrics)
-        cvm = cv.fit(train)
+        return maps, cv.fit(train)
+
+    # CrossValidator runs its folds one after another and only parallelises grid points, so the
+    # specs' searches are submitted from concurrent driver threads to keep the executors busy.
+    from concurrent.futures import ThreadPoolExecutor
+    with ThreadPoolExecutor(max_workers=max(1, min(len(specs), spec_parallelism))) as pool:
+        fitted = list(pool.map(fit_spec, specs))
+    results = []
+    for spec, (maps, cvm) in zip(specs, fitted):
         best_i = max(range(len(cvm.avgMetrics)), key=lambda i: cvm.avgMetrics[i])
         best_params = {p.name: v for p, v in maps[best_i].items()} if maps else {}
         other = cv_fold_metrics(cvm, train, len(maps), folds)[best_i] if cv_metrics else None
