@@ -31,31 +31,45 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8, app: str
     return spark
 
 
+_LOCAL_DIRS: dict[str, str] = {}
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster-wide folder for lineage cuts and model exports.
+    """The cluster-wide folder for lineage cuts, intermediate tables and model exports.
 
-    Taken from ``spark.checkpoint.dir`` (or the context's checkpoint dir). Only a
-    local session without one gets a fresh folder under /tmp; a cluster session
-    without one is an error, since executor-local folders do not survive.
+    Taken from ``spark.checkpoint.dir``, or from a checkpoint folder already set on the context.
+    Only a local session without either gets a fresh folder of its own (once per application);
+    a cluster session without one is an error, since executor-local folders do not survive.
+    ``spark.checkpoint.dir`` is a static setting, so it is only read here, never written.
     """
     sc = spark.sparkContext
-    d = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
-    if d:
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if named:
         if sc.getCheckpointDir() is None:
-            sc.setCheckpointDir(d)
-        return d.rstrip("/")
+            sc.setCheckpointDir(named)
+        return named.rstrip("/")
+    if sc.getCheckpointDir():
+        return sc.getCheckpointDir().rstrip("/")
     if not sc.master.startswith("local"):
         raise RuntimeError("set spark.checkpoint.dir to a shared folder before running casework jobs")
-    d = tempfile.mkdtemp(prefix="casework-ckpt-")
-    spark.conf.set("spark.checkpoint.dir", d)
+    d = _LOCAL_DIRS.get(sc.applicationId)
+    if d is None:
+        d = _LOCAL_DIRS[sc.applicationId] = tempfile.mkdtemp(prefix="casework-ckpt-")
     sc.setCheckpointDir(d)
     return d
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A new, unique path inside the shared folder."""
-    base = shared_dir(spark)
-    return os.path.join(base, f"{name}-{uuid.uuid4().hex[:12]}") if "://" not in base else f"{base}/{name}-{uuid.uuid4().hex[:12]}"
+    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex[:12]}"
+
+
+def materialize(df, name: str):
+    """Write ``df`` as a Parquet table in the shared folder and read it back: cuts the lineage, keeps
+    column pruning for later readers, and survives the loss of executors."""
+    path = scratch_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 _SHIPPED: set[str] = set()
