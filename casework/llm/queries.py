@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from casework.llm import exact_dedup, mixing
+from casework.llm import exact_dedup, mixing, orc_ids
 from casework.llm.common import table
 
 QUERIES, ORACLES = {}, {}
@@ -54,3 +54,13 @@ SELECT doc_id, size, source_size, target, (passes * size + greatest(0, least(siz
 def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     m = mixing.mixture(table(spark, sf_dir, "documents"))
     return m.select("doc_id", "size", "source_size", "target", "taken")
+
+
+def tokenizer_file(name: str) -> str:
+    import public_tokenizers
+    return public_tokenizers.path(name)
+
+
+@query("op5_orc_ids")
+def op5_orc_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return orc_ids.round_trip(table(spark, sf_dir, "documents"), tokenizer_file("byte_bpe_50k.json"))
