@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from casework.llm import exact_dedup, mixing, orc_ids
+from casework.llm import exact_dedup, mixing, orc_ids, packing
 from casework.llm.common import table
 
 QUERIES, ORACLES = {}, {}
@@ -64,3 +64,8 @@ def tokenizer_file(name: str) -> str:
 @query("op5_orc_ids")
 def op5_orc_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return orc_ids.round_trip(table(spark, sf_dir, "documents"), tokenizer_file("byte_bpe_50k.json"))
+
+
+@query("op6_packing")
+def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.packed(table(spark, sf_dir, "documents"), tokenizer_file("word_bpe_49k.json"))
