@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from casework.llm import exact_dedup, mixing, orc_ids, packing
+from casework.llm import exact_dedup, mixing, near_dedup, orc_ids, packing
 from casework.llm.common import table
 
 QUERIES, ORACLES = {}, {}
@@ -69,3 +69,9 @@ def op5_orc_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op6_packing")
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.packed(table(spark, sf_dir, "documents"), tokenizer_file("word_bpe_49k.json"))
+
+
+@query("op8_near_dedup")
+def op8_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    n = near_dedup.near_duplicates(table(spark, sf_dir, "documents"))
+    return n.select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
