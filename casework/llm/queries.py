@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from casework.llm import exact_dedup, mixing, near_dedup, orc_ids, packing
+from casework.llm import exact_dedup, lang_id, mixing, near_dedup, orc_ids, packing
 from casework.llm.common import table
 
 QUERIES, ORACLES = {}, {}
@@ -75,3 +75,8 @@ def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     n = near_dedup.near_duplicates(table(spark, sf_dir, "documents"))
     return n.select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
+
+
+@query("op4_language_id")
+def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lang_id.languages(table(spark, sf_dir, "documents"))
