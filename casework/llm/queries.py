@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from casework.llm import exact_dedup, lang_id, mixing, near_dedup, orc_ids, packing
+from casework.llm import exact_dedup, lang_id, mixing, near_dedup, orc_ids, packing, pii
 from casework.llm.common import table
 
 QUERIES, ORACLES = {}, {}
@@ -80,3 +80,8 @@ def op8_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op4_language_id")
 def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lang_id.languages(table(spark, sf_dir, "documents"))
+
+
+@query("op1_pii")
+def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.personal_data(table(spark, sf_dir, "documents"))
