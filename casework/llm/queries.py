@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from casework.llm import exact_dedup, lang_id, mixing, near_dedup, orc_ids, packing, pii, topk
+from casework.llm import exact_dedup, lang_id, mixing, near_dedup, orc_ids, packing, pii, resampling, sharding, topk
 from casework.llm.common import table
 
 QUERIES, ORACLES = {}, {}
@@ -97,3 +97,23 @@ r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, ve
 SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5""")
 def op7_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(table(spark, sf_dir, "embeddings"), F.col("id") % 50 == 0)
+
+
+@query("op3_sharding", """
+WITH d AS (SELECT doc_id, coalesce(octet_length(encode(text)), 0)::BIGINT AS n_bytes,
+                  ('0x' || substr(md5(coalesce(doc_id::VARCHAR, '') || ':' || coalesce(text, '')), 1, 15))::BIGINT AS key
+           FROM documents),
+p AS (SELECT d.*, depth, CASE WHEN depth = 0 THEN 0 ELSE key >> (60 - depth) END AS bucket
+      FROM d, (SELECT unnest(range(0, 61))::INT AS depth)),
+b AS (SELECT depth, bucket, sum(n_bytes)::BIGINT AS shard_bytes, min(key) = max(key) AS single FROM p GROUP BY depth, bucket),
+f AS (SELECT p.doc_id, p.key, min(p.depth) AS depth FROM p JOIN b USING (depth, bucket)
+      WHERE shard_bytes <= 1048576 OR single GROUP BY p.doc_id, p.key)
+SELECT p.doc_id, CASE WHEN p.depth = 0 THEN '' ELSE right(lpad(bin(p.bucket), 64, '0'), p.depth) END AS shard, p.depth, p.n_bytes, b.shard_bytes
+FROM p JOIN f USING (doc_id, key, depth) JOIN b USING (depth, bucket)""")
+def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.shards(table(spark, sf_dir, "documents"))
+
+
+@query("op9_resampling")
+def op9_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resampling.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
