@@ -85,9 +85,8 @@ def with_shards(rows: DataFrame, found: list[tuple[int, DataFrame]], limit: int)
     w = Window.partitionBy("key", "part").orderBy("bytes")
     page = F.floor((F.row_number().over(w) - 1) / F.greatest(F.lit(1), F.floor(F.lit(limit) / F.greatest(F.lit(1), F.col("bytes")))))
     pages = done.filter(crowded).withColumn("page", F.concat_ws("-", F.col("shard"), F.col("part"), page))
-    per = pages.groupBy("page").agg(F.sum("bytes").alias("page_bytes"))
-    paged = pages.join(per, "page").withColumn("shard", F.col("page")).withColumn("shard_bytes", F.col("page_bytes"))
-    return done.filter(~crowded).drop("single").unionByName(paged.drop("single", "page", "page_bytes"))
+    paged = pages.withColumn("shard", F.col("page")).withColumn("shard_bytes", F.sum("bytes").over(Window.partitionBy("page")))
+    return done.filter(~crowded).drop("single").unionByName(paged.drop("single", "page"))
 
 
 def sized(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:

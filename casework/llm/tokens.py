@@ -52,6 +52,7 @@ class Encoder:
 
     def _piece(self, piece: str, first: bool) -> tuple[bytes, bool]:
         """Ids of one pre-token, and whether it was known."""
+        key = piece
         young, old = (self.known, self.old[0]) if first else (self.inner, self.old[1])
         ids = young.get(piece)
         if ids is not None:
@@ -59,6 +60,8 @@ class Encoder:
         ids = old.get(piece)
         seen = ids is not None
         if ids is None:
+            if not self.spaced:
+                piece = piece.lower()  # Latin-1 letters only
             if piece.isascii() and piece != "\n":
                 s = ("Ġ" + piece if first else piece) if self.spaced else piece
             elif self.spaced or piece != "\n":
@@ -66,7 +69,7 @@ class Encoder:
             else:
                 s = ""  # white space has no ids in word files
             ids = b"".join([self.packed[t.id] for t in self.model.tokenize(s)]) if s else b""
-        young[piece] = ids
+        young[key] = ids
         return ids, seen
 
     def _unit(self, unit: str) -> bytes:
