@@ -66,13 +66,19 @@ def write_ids(docs: DataFrame, out: str, tokenizer: str, spaced: bool = True, en
     return out
 
 
+def _placed(rows: DataFrame, path: str) -> DataFrame:
+    """``rows`` with ``start``: the ids of all files before, and of the rows before in the own file."""
+    files = rows.sparkSession.read.schema(T.StructType.fromDDL(SCHEMA)).orc(path).groupBy("part").agg(F.sum("n_tokens").alias("n"))
+    w = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    files = files.select("part", F.coalesce(F.sum("n").over(w), F.lit(0)).alias("before"))
+    # one row of two numbers per written file, so the rows need not move
+    return rows.join(F.broadcast(files), "part").withColumn("start", F.col("before") + F.col("ids_before")).drop("part", "before", "ids_before")
+
+
 def read_ids(spark: SparkSession, path: str) -> DataFrame:
     """The written rows with ``start``, the number of ids in all rows before them."""
     rows = spark.read.schema(T.StructType.fromDDL(SCHEMA)).orc(path)
-    w = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # one row per file
-    files = rows.groupBy("part").agg(F.sum("n_tokens").alias("n")) \
-        .select("part", F.coalesce(F.sum("n").over(w), F.lit(0)).alias("before"))
-    return rows.join(files, "part").select("doc_id", (F.col("before") + F.col("ids_before")).alias("start"), "n_tokens", "ids")
+    return _placed(rows, path).select("doc_id", "start", "n_tokens", "ids")
 
 
 def lookup(spark: SparkSession, path: str, doc_ids: Sequence[int]) -> DataFrame:
@@ -82,17 +88,18 @@ def lookup(spark: SparkSession, path: str, doc_ids: Sequence[int]) -> DataFrame:
 
 
 def crc_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """CRC-32 of each row's ids as little-endian unsigned 32-bit integers."""
+    """CRC-32 of each row's ids as little-endian unsigned 32-bit integers, in place of the ids."""
     for b in batches:
         ids = b.column("ids")
-        flat, ends = ids.values.to_numpy().astype("<i4", copy=False), ids.offsets.to_numpy()
-        crc = [zlib.crc32(flat[i:j].tobytes()) for i, j in zip(ends[:-1].tolist(), ends[1:].tolist())]
-        yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("start"), b.column("n_tokens"), pa.array(crc, pa.int64())],
-                                         names=["doc_id", "start", "n_tokens", "ids_crc32"])
+        flat, ends = ids.values.to_numpy().astype("<i4", copy=False), ids.offsets.to_numpy().tolist()
+        crc = [zlib.crc32(flat[i:j]) for i, j in zip(ends[:-1], ends[1:])]
+        yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(crc, pa.int64())], names=[*b.schema.names[:-1], "ids_crc32"])
 
 
 def id_digests(spark: SparkSession, path: str) -> DataFrame:
-    return map_arrow(read_ids(spark, path), crc_rows, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    rows = spark.read.schema(T.StructType.fromDDL(SCHEMA)).orc(path).select("doc_id", "part", "ids_before", "n_tokens", "ids")
+    crc = map_arrow(rows, crc_rows, "doc_id long, part int, ids_before long, n_tokens long, ids_crc32 long")
+    return _placed(crc, path).select("doc_id", "start", "n_tokens", "ids_crc32")
 
 
 def round_trip(docs: DataFrame, tokenizer: str) -> DataFrame:
