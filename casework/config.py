@@ -106,6 +106,10 @@ BINARY_TRUE = tuple(dict.fromkeys(k.lower() for k, v in BINARY_MAP.items() if v
 BINARY_FALSE = tuple(dict.fromkeys(k.lower() for k, v in BINARY_MAP.items() if v == 0))
 
 
+# Cells that a CSV scan reads as missing (whole cell, as written).
+SCAN_MISSING = ("", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan", "1.#IND", "1.#QNAN", "<NA>", "N/A",
+                "NA", "NULL", "NaN", "None", "n/a", "nan", "null")
+
 @dataclass
 class BuildConfig:
     """Options for the training-table builder."""

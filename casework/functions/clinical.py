@@ -25,14 +25,14 @@ def threshold_label(name: str, statement: str, floating: bool = False) -> Column
     ``ValueError`` when the DataFrame is analysed (see ``operators.clean.label_by_threshold``).
     """
     if ";" in statement:
-        raise ValueError(f"Error evaluating the statement '{statement}': one expression only")
+        raise ValueError(f"one predicate over x is wanted, not {statement!r}")
     ref = "`" + name.replace("`", "``") + "`"
     if floating:  # NaN compares false in the reference; in Spark NaN > anything is true
         ref = f"CASE WHEN isnan({ref}) THEN NULL ELSE {ref} END"
     try:
         cond = F.expr(f"element_at(transform(array({ref}), x -> ({statement})), 1)")
     except Exception as e:  # parse errors are raised eagerly
-        raise ValueError(f"Error evaluating the statement '{statement}': {e}") from e
+        raise ValueError(f"not a predicate over x: {statement!r} ({e})") from e
     return F.when(F.coalesce(cond, F.lit(False)), F.lit(1)).otherwise(F.lit(0))
 
 

@@ -72,7 +72,7 @@ def null_tokens(c: str | Column, tokens: Iterable[str] = MISSING_TOKENS, null_te
 def nan_to_null(c: str | Column) -> Column:
     """NaN → NULL for floating columns (Spark orders NaN above every number)."""
     x = col(c)
-    return F.when(F.isnan(x), F.lit(None).cast("double")).otherwise(x)
+    return F.when(~F.isnan(x), x)
 
 
 def parse_timestamp(c: str | Column) -> Column:

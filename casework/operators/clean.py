@@ -13,7 +13,7 @@ from pyspark.sql.utils import AnalysisException
 
 from casework import config
 from casework.functions.clinical import clip, complication_flag, threshold_label
-from casework.functions.text import col, is_blank, null_tokens, parse_timestamp
+from casework.functions.text import col, is_blank, nan_to_null, null_tokens, parse_timestamp, to_number
 
 log = logging.getLogger(__name__)
 
@@ -62,12 +62,26 @@ def drop_blank_rows(df: DataFrame, columns: Sequence[str]) -> DataFrame:
 
 
 def drop_leak_columns(df: DataFrame, target: str, leak_columns: Sequence[str] = config.LEAK_COLUMNS) -> DataFrame:
-    """The target must be numeric; drop the fixed leak list (absent names ignored)."""
-    if target not in df.columns or not isinstance(df.schema[target].dataType, NUMERIC_TYPES):
-        raise ValueError(f"Target column '{target}' must be numeric for correlation analysis.")
+    """The target must be numeric, or text (as a CSV scan gives) whose values, missing tokens aside, all
+    read as numbers; drop the fixed leak list (absent names ignored)."""
+    if target not in df.columns:
+        raise ValueError(f"no column for the target '{target}'")
+    if isinstance(df.schema[target].dataType, T.StringType):
+        value = null_tokens(target, config.MISSING_TOKENS)
+        odd = df.filter(value.isNotNull() & to_number(value).isNull()).select(value.alias("v")).first()
+        if odd:
+            raise ValueError(f"the target '{target}' holds text that is not a number, such as {odd['v']!r}")
+    elif not isinstance(df.schema[target].dataType, NUMERIC_TYPES):
+        raise ValueError(f"the target '{target}' is of type {df.schema[target].dataType.simpleString()}, not a number")
     return df.drop(*[c for c in leak_columns if c in df.columns])
 
 
+def nan_as_missing(df: DataFrame) -> DataFrame:
+    """NaN in floating columns becomes NULL, the only missing value of the later stages."""
+    floats = set(columns_of_type(df, FLOAT_TYPES))
+    return df.select(*[nan_to_null(c).alias(c) if c in floats else col(c) for c in df.columns]) if floats else df
+
+
 def correlated_columns(df: DataFrame, target: str, threshold: float = 0.95) -> DataFrame:
     """One row per numeric column with its Pearson correlation to the target, and whether
     abs(corr) >= threshold. All correlations come from one aggregation job."""
@@ -124,7 +138,7 @@ def label_by_threshold(df: DataFrame, target: str, statement: str, out: str | No
         res.schema  # force analysis so a bad predicate fails here
         return res
     except AnalysisException as e:
-        raise ValueError(f"Error evaluating the statement '{statement}': {e}") from e
+        raise ValueError(f"not a predicate over x: {statement!r} ({e})") from e
 
 
 def binary_target_cast(df: DataFrame, target: str) -> DataFrame:

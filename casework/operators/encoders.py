@@ -8,6 +8,7 @@ whose fitted constants enter the plan as literals, so it also runs on a stream.
 from __future__ import annotations
 
 import logging
+import re
 from collections.abc import Sequence
 from dataclasses import dataclass, field
 
@@ -19,6 +20,7 @@ from casework import config
 from casework.functions.clinical import bmi, bmi_flag, drug_canonical, in_range, unit_convert
 from casework.functions.text import col, strip, to_number
 from casework.operators.clean import NUMERIC_TYPES, columns_of_type
+from casework.operators.names import unique_names
 from casework.operators.ordered import dense_codes
 from casework.operators.profile import CategoricalProfile, profile_text_columns
 
@@ -92,22 +94,23 @@ class CategoricalModel:
     # numeric-looking text columns converted to double (numeric mode)
     to_double: list[str] = field(default_factory=list)
 
-    def dummy_names(self) -> list[str]:
-        return [f"{c}_{v}" for c, vs in self.vocab.items() for v in vs[1:]]
+    def dummy_names(self, others: Sequence[str] = ()) -> list[str]:
+        """Names of the dummies, unique next to the ``others`` that the table keeps (values may differ in
+        case only, or repeat an existing name)."""
+        names = [f"{c}_{v}" for c, vs in self.vocab.items() for v in vs[1:]]
+        return unique_names([*others, *names])[len(others):]
 
     def transform(self, df: DataFrame) -> DataFrame:
         keep = [col(c) if c not in self.to_double else to_number(c).alias(c)
                 for c in df.columns if c not in self.vocab]
         dummies = []
         for c, vs in self.vocab.items():
-            if c not in df.columns:
-                continue
-            x = col(c)
+            x = col(c) if c in df.columns else F.lit(None).cast("string")
             if c in self.top:
                 x = F.when(x.isin(self.top[c]), x).otherwise(F.lit("Other"))
-            for v in vs[1:]:
-                dummies.append(F.coalesce(x == F.lit(v), F.lit(False)).alias(f"{c}_{v}"))
-        return df.select(*keep, *dummies)
+            dummies += [(c, F.coalesce(x == F.lit(v), F.lit(False))) for v in vs[1:]]
+        names = self.dummy_names([c for c in df.columns if c not in self.vocab])
+        return df.select(*keep, *[e.alias(n) for n, (c, e) in zip(names, dummies) if c in df.columns])
 
 
 @dataclass
@@ -182,40 +185,34 @@ class DrugMultiHot:
     prefix: str = config.DRUG_SLOT_PREFIX
     after_drop_first: bool = False
 
+    def named_drugs(self, df: DataFrame) -> list[F.Column]:
+        """Per slot, or per one-hot column of a slot, the canonical name of the drug it holds (NULL: none)."""
+        slot = re.compile(rf"{self.prefix}\d+(?:_(?P<value>.*))?", re.IGNORECASE | re.DOTALL)
+        held = []
+        for c in df.columns:
+            m = slot.fullmatch(c)
+            if m and self.after_drop_first and m["value"] is not None:
+                held.append(F.when(col(c).cast("boolean"), F.lit(m["value"])))
+            elif m and not self.after_drop_first and m["value"] is None:
+                held.append(col(c))
+        return [drug_canonical(h, self.patterns, self.prefix) for h in held]
+
     def transform(self, df: DataFrame) -> DataFrame:
-        import re
         drugs = sorted({d for _, d in self.patterns})
-        hits: dict[str, list[F.Column]] = {d: [] for d in drugs}
-        if self.after_drop_first:
-            for c in df.columns:
-                if not c.lower().startswith(self.prefix):
-                    continue
-                raw = re.sub(rf"^{self.prefix}\d+_", "", c, flags=re.IGNORECASE).lower()
-                for pat, d in self.patterns:
-                    if pat in raw:
-                        hits[d].append(F.coalesce(col(c).cast("boolean"), F.lit(False)))
-                        break
-        else:
-            # Canonical names of all slots, computed once per row in its own projection.
-            slots = [c for c in df.columns if re.fullmatch(rf"{self.prefix}\d+", c.lower())]
-            arr = F.array(*[drug_canonical(c, self.patterns, self.prefix) for c in slots]) if slots \
-                else F.array().cast("array<string>")
-            base = df.select(*[col(c) for c in df.columns if not c.startswith("used_")], arr.alias("_drugs"))
-            flags = [F.coalesce(F.array_contains("_drugs", F.lit(d)), F.lit(False)).alias(f"used_{d}") for d in drugs]
-            return base.select(*[col(c) for c in base.columns if c != "_drugs"], *flags)
-        flags = []
-        for d in drugs:
-            e = F.lit(False)
-            for h in hits[d]:
-                e = e | h
-            flags.append(e.alias(f"used_{d}"))
-        return df.select(*[col(c) for c in df.columns if not c.startswith("used_")], *flags)
+        flags = {f"used_{d}": F.coalesce(F.array_contains("_drugs", F.lit(d)), F.lit(False)) for d in drugs}
+        # the names of all slots are worked out once per row, in a projection of their own; only columns
+        # that the flags replace are left out
+        rest = [c for c in df.columns if c.lower() not in flags]
+        held = self.named_drugs(df)
+        arr = F.array(*held) if held else F.array().cast("array<string>")
+        return df.select(*[col(c) for c in rest], arr.alias("_drugs")) \
+            .select(*[col(c) for c in rest], *[e.alias(n) for n, e in flags.items()])
 
 
 # ----------------------------------------------------------- F12 combinations
 def regimen_name(used_cols: Sequence[str]) -> F.Column:
     """The combination key of a row: sorted used names joined by '_' (or the empty-regimen name)."""
-    names = F.array(*[F.when(col(c).cast("boolean"), F.lit(c[len("used_"):])) for c in used_cols]) \
+    names = F.array(*[F.when(col(c).try_cast("boolean"), F.lit(c[len("used_"):])) for c in used_cols]) \
         if used_cols else F.array().cast("array<string>")
     key = F.array_join(F.array_sort(F.filter(names, lambda x: x.isNotNull())), "_")
     return F.when(key == "", F.lit("single_abx_regimen_")).otherwise(F.concat(F.lit("combo_abx_regimen_"), key))
@@ -313,7 +310,7 @@ class CompatibleModel:
                 x = F.coalesce(x, F.lit(0))
             elif c in self.small_vocab:
                 vs = self.small_vocab[c]
-                lookup = F.map_from_arrays(F.array(*[F.lit(v) for v in vs]), F.array(*[F.lit(i) for i in range(len(vs))]))
+                lookup = F.map_from_arrays(F.array(*[F.lit(v) for v in vs]), F.array(*[F.lit(i).cast("long") for i in range(len(vs))]))
                 x = F.element_at(lookup, F.coalesce(x, F.lit("Unknown")))
             out.append(x.alias(c) if c not in self.large_codes else x)
         res = df.select(*out)
@@ -332,9 +329,7 @@ class CompatibleEncoder:
     ``map_limit`` values become literal maps; larger ones use the distributed ``dense_codes``
     join, so no vocabulary of unbounded size passes through the driver."""
 
-    map_limit: int = 10_000
-    # vocabularies up to this estimated size are joined by broadcast (the estimate is the check)
-    broadcast_limit: int = 2_000_000
+    map_limit: int = 200
 
     def stats(self, df: DataFrame, prefix: str = "cmp", exprs: dict[str, F.Column] | None = None) -> list[F.Column]:
         """Per-column NULL flags, means of numeric columns, distinct estimates of text columns.
@@ -372,8 +367,7 @@ class CompatibleEncoder:
         large_codes = {}
         for c in large:
             codes = dense_codes(df.select(F.coalesce(col(c), F.lit("Unknown")).alias(c)), c)
-            # HLL error is ~2 %, so 1.1 × the estimate bounds the true size of what is broadcast
-            large_codes[c] = F.broadcast(codes) if est[c] * 1.1 <= self.broadcast_limit else codes
+            large_codes[c] = codes  # joined without a hint: the planner knows the size of the written codes
         return CompatibleModel(means, [c for c in boo if has_null.get(c)],
                                [c for c in other if has_null.get(c)], small_vocab, large_codes)
 

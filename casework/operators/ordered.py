@@ -19,6 +19,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from casework.functions.text import col
+from casework.session import shared_dir
 
 # Default target rows per bucket. Dense integer keys get exact ``key div width`` buckets (any
 # number of them); other keys get approximate-quantile buckets, at most MAX_QUANTILE_BUCKETS.
@@ -161,6 +162,7 @@ def dense_codes(df: DataFrame, column: str, out: str = "code") -> DataFrame:
     across retries), then each partition's local position plus the row count of all earlier
     partitions (a table with one row per partition) gives the rank.
     """
+    shared_dir(df.sparkSession)
     d = df.select(col(column).alias("value")).filter(F.col("value").isNotNull()).distinct() \
         .orderBy("value").checkpoint()
     d = d.select("value", F.spark_partition_id().alias("_pid"), F.monotonically_increasing_id().alias("_mid"))

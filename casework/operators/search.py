@@ -1,7 +1,7 @@
 """Model search (M1-M11): MLlib estimators under stratified k-fold cross-validation.
 
-The search is a driver loop over model specifications; each ``CrossValidator`` fits its grid
-points in parallel (``parallelism``) on the persisted training vectors. Test metrics use the
+The search is a driver loop over model specifications; the fits of all folds and grid points of a
+specification run concurrently (``parallelism``) on the persisted training vectors. Test metrics use the
 exact aggregations of ``operators.metrics``.
 """
 
@@ -16,7 +16,7 @@ from pyspark.ml.evaluation import BinaryClassificationEvaluator
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import RandomForestRegressor
-from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
+from pyspark.ml.tuning import ParamGridBuilder
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -35,11 +35,13 @@ class ModelSpec:
     estimator: object
     grid: dict[str, list] = field(default_factory=dict)
     balanced: bool = False
+    #: parameters whose grid values hold for a loss summed over the rows; MLlib's loss is their mean
+    per_row: tuple[str, ...] = ()
 
-    def param_maps(self):
+    def param_maps(self, n_rows: int = 1):
         b = ParamGridBuilder()
         for k, vs in self.grid.items():
-            b = b.addGrid(self.estimator.getParam(k), vs)
+            b = b.addGrid(self.estimator.getParam(k), [v / max(1, n_rows) for v in vs] if k in self.per_row else vs)
         return b.build()
 
 
@@ -60,7 +62,7 @@ def optional_specs(seed: int = 42) -> list[ModelSpec]:
     """Specs present but switched off in the reference catalogue (M7)."""
     return [
         ModelSpec("LogisticRegression", LogisticRegression(maxIter=1000), {
-            "regParam": [100.0, 10.0, 1.0, 0.1], "elasticNetParam": [1.0, 0.0]}, balanced=True),
+            "regParam": [100.0, 10.0, 1.0, 0.1], "elasticNetParam": [1.0, 0.0]}, balanced=True, per_row=("regParam",)),
         ModelSpec("GBTClassifierWeighted", GBTClassifier(seed=seed), {
             "maxIter": [100, 200], "maxDepth": [3, 6], "stepSize": [0.01, 0.1]}, balanced=True),
     ]
@@ -94,41 +96,46 @@ def _prob1(col: str = "probability"):
     return vector_to_array(F.col(col)).getItem(1)
 
 
-def cv_fold_metrics(cvm, train: DataFrame, n_points: int, folds: int, fold_col: str = "fold") -> list[dict]:
-    """M3: mean accuracy, precision, recall and F1 over the folds for every grid point, from the
-    fold models' predictions on their validation rows. Per fold, the grid points' models are
-    chained over one scan of the validation rows; one aggregation job scores everything."""
+def fold_metrics(models: list, train: DataFrame, fold_col: str = "fold") -> dict[str, float]:
+    """M3: mean accuracy, precision, recall and F1 over the folds, from one grid point's fold models and their
+    validation rows."""
     from functools import reduce
-    y = F.col("label") == 1
-    parts = []
-    for i in range(folds):
-        cur = train.filter(F.col(fold_col) == i).select("features", "label")
-        for j in range(n_points):
-            m = cvm.subModels[i][j].copy()
-            outs = {"predictionCol": f"_p{j}", "rawPredictionCol": f"_r{j}", "probabilityCol": f"_q{j}"}
-            for k, v in outs.items():
-                if m.hasParam(k):
-                    m.set(m.getParam(k), v)
-            cur = m.transform(cur).drop(*[v for k, v in outs.items() if k != "predictionCol"])
-        aggs = []
-        for j in range(n_points):
-            p = F.col(f"_p{j}") == 1
-            aggs += [F.count_if(~y & ~p).alias(f"tn{j}"), F.count_if(~y & p).alias(f"fp{j}"),
-                     F.count_if(y & ~p).alias(f"fn{j}"), F.count_if(y & p).alias(f"tp{j}")]
-        parts.append(cur.agg(*aggs).withColumn("fold", F.lit(i)))
-    per = reduce(lambda a, b: a.unionByName(b), parts).collect()
-    out = [{"accuracy": 0.0, "precision": 0.0, "recall": 0.0, "f1": 0.0} for _ in range(n_points)]
-    for r in per:
-        for j in range(n_points):
-            tn, fp, fn, tp = (float(r[f"{k}{j}"]) for k in ("tn", "fp", "fn", "tp"))
-            m = out[j]
-            m["accuracy"] += (tp + tn) / max(tp + tn + fp + fn, 1.0) / folds
-            m["precision"] += (tp / (tp + fp) if tp + fp else 0.0) / folds
-            m["recall"] += (tp / (tp + fn) if tp + fn else 0.0) / folds
-            m["f1"] += (2 * tp / (2 * tp + fp + fn) if tp else 0.0) / folds
+    parts = [m.transform(train.filter(F.col(fold_col) == i).select("features", "label"))
+             .select("label", "prediction", F.lit(i).alias("fold")) for i, m in enumerate(models)]
+    y, p = F.col("label") == 1, F.col("prediction") == 1
+    per = reduce(lambda a, b: a.unionByName(b), parts).groupBy("fold") \
+        .agg(F.count_if(~y & ~p).alias("tn"), F.count_if(~y & p).alias("fp"), F.count_if(y & ~p).alias("fn"), F.count_if(y & p).alias("tp"))
+    out = {"accuracy": 0.0, "precision": 0.0, "recall": 0.0, "f1": 0.0}
+    for r in per.collect():
+        got = {"accuracy": (r.tp + r.tn) / max(r.tp + r.tn + r.fp + r.fn, 1), "precision": r.tp / (r.tp + r.fp) if r.tp else 0.0,
+               "recall": r.tp / (r.tp + r.fn) if r.tp else 0.0, "f1": 2 * r.tp / (2 * r.tp + r.fp + r.fn) if r.tp else 0.0}
+        out = {k: v + got[k] / len(models) for k, v in out.items()}
     return out
 
 
+def cross_validate(est, maps: list[dict], train: DataFrame, evaluator, folds: int, parallelism: int,
+                   fold_col: str = "fold") -> tuple[int, float, list]:
+    """M3: index and mean AUC of the best grid point, and its fold models. Fits of all folds and points are
+    submitted from ``parallelism`` driver threads; a point's models are dropped as soon as another is better."""
+    from concurrent.futures import ThreadPoolExecutor
+    sides = [(train.filter(F.col(fold_col) != i), train.filter(F.col(fold_col) == i)) for i in range(folds)]
+
+    def fit(point: dict, fold: int):
+        model = est.copy().fit(sides[fold][0], point)
+        return model, evaluator.evaluate(model.transform(sides[fold][1]))
+
+    best = (-1, float("-inf"), [])
+    with ThreadPoolExecutor(max_workers=max(1, parallelism)) as pool:
+        running = [[pool.submit(fit, m, i) for i in range(folds)] for m in maps]
+        for j in range(len(running)):
+            done = [f.result() for f in running[j]]
+            running[j] = []
+            auc = sum(v for _, v in done) / folds
+            if auc > best[1]:
+                best = (j, auc, [m for m, _ in done])
+    return best
+
+
 def evaluate(model, test: DataFrame, feature_names: list[str], best_params: dict, name: str,
              cv_auc: float, cv_other: dict | None = None) -> DataFrame:
     """M8/M9 + A9-A11: one metrics row for a fitted classifier on the test rows.
@@ -179,6 +186,7 @@ def grid_search(df: DataFrame, feature_cols: list[str], specs: list[ModelSpec] |
     train = stratified_folds(train, "label", row_id, folds, seed).select(row_id, "features", "label", "_class_weight", "fold")
     train = train.persist(StorageLevel.MEMORY_AND_DISK)
     test = test.select(row_id, "features", "label").persist(StorageLevel.MEMORY_AND_DISK)
+    n_train = train.count()
     evaluator = BinaryClassificationEvaluator(metricName="areaUnderROC", rawPredictionCol="rawPrediction",
                                               numBins=0)
 
@@ -187,24 +195,21 @@ def grid_search(df: DataFrame, feature_cols: list[str], specs: list[ModelSpec] |
         est.setFeaturesCol("features").setLabelCol("label")
         if spec.balanced and est.hasParam("weightCol"):
             est.set(est.getParam("weightCol"), "_class_weight")
-        maps = spec.param_maps()
-        cv = CrossValidator(estimator=est, estimatorParamMaps=maps, evaluator=evaluator, foldCol="fold", numFolds=folds,
-                            parallelism=parallelism, seed=seed, collectSubModels=cv_metrics)
-        return maps, cv.fit(train)
+        maps = spec.param_maps(n_train)
+        best_i, auc, models = cross_validate(est, maps, train, evaluator, folds, parallelism)
+        other = fold_metrics(models, train) if cv_metrics else None
+        return maps[best_i], auc, other, est.copy().fit(train, maps[best_i])
 
-    # CrossValidator runs its folds one after another and only parallelises grid points, so the
-    # specs' searches are submitted from concurrent driver threads to keep the executors busy.
+    # the specs' searches, too, are submitted from concurrent driver threads to keep the executors busy
     from concurrent.futures import ThreadPoolExecutor
     with ThreadPoolExecutor(max_workers=max(1, min(len(specs), spec_parallelism))) as pool:
         fitted = list(pool.map(fit_spec, specs))
     results = []
-    for spec, (maps, cvm) in zip(specs, fitted):
-        best_i = max(range(len(cvm.avgMetrics)), key=lambda i: cvm.avgMetrics[i])
-        best_params = {p.name: v for p, v in maps[best_i].items()} if maps else {}
-        other = cv_fold_metrics(cvm, train, len(maps), folds)[best_i] if cv_metrics else None
-        m = evaluate(cvm.bestModel, test, feature_cols, best_params, spec.name, cvm.avgMetrics[best_i], other)
-        results.append(SearchResult(spec.name, cvm.bestModel, m, test, cvm.avgMetrics[best_i], best_params, feature_cols))
-        log.info("%s: cv auc %.4f params %s", spec.name, cvm.avgMetrics[best_i], best_params)
+    for spec, (point, auc, other, model) in zip(specs, fitted):
+        best_params = {p.name: v for p, v in point.items()}
+        m = evaluate(model, test, feature_cols, best_params, spec.name, auc, other)
+        results.append(SearchResult(spec.name, model, m, test, auc, best_params, feature_cols))
+        log.info("%s: cv auc %.4f params %s", spec.name, auc, best_params)
     train.unpersist()
     key = (lambda r: r.metrics.first()["auc"]) if select_by == "test" else (lambda r: r.cv_auc)
     best = max(results, key=key)
@@ -212,12 +217,16 @@ def grid_search(df: DataFrame, feature_cols: list[str], specs: list[ModelSpec] |
 
 
 def rf_regression(df: DataFrame, feature_cols: list[str], target: str, row_id: str = "row_id",
-                  test_size: float = 0.2, seed: int = 42, num_trees: int = 100):
-    """F5 binary cast, split, random-forest regression; returns (model, metrics, test)."""
+                  test_size: float = 0.2, seed: int = 42, num_trees: int = 100, max_depth: int = 8):
+    """F5 binary cast, split, random-forest regression over all features at each split; returns
+    (model, metrics, test). ``max_depth`` bounds the trees (MLlib allows up to 30; deeper trees fit closer and
+    make attribution dearer)."""
     from casework.operators.clean import binary_target_cast
     df = binary_target_cast(df, target)
     data = assemble(df.select(row_id, col(target).cast("double").alias("label"), *[col(c) for c in feature_cols]), feature_cols)
     train, test = train_test_split(data, row_id, test_size, seed)
-    model = RandomForestRegressor(numTrees=num_trees, seed=seed).fit(train)
+    train = train.persist(StorageLevel.MEMORY_AND_DISK)  # the fit reads it several times
+    model = RandomForestRegressor(numTrees=num_trees, seed=seed, maxDepth=max_depth, featureSubsetStrategy="all").fit(train)
+    train.unpersist()
     pred = model.transform(test)
     return model, metrics.regression_metrics(pred), test

@@ -10,12 +10,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from casework.config import BuildConfig
-from casework.functions.text import col
+from casework.functions.text import col, to_number
 from casework.operators import search, treeshap
+from casework.operators.metrics import with_class_weight
 from casework.plans.catalogue import query, r6
 from casework.plans.training import build_training_table, feature_columns, with_label
+from casework.session import materialize, scratch_path
 from casework.sources.fixtures import build_cases
-from casework.sources.tables import table
+from casework.sources.tables import read_cases, table
 
 TARGET = "tothlos"
 BIN = "x > 5"
@@ -66,7 +68,9 @@ def _fit_forest(spark, d, num_trees=50, depth=5):
     data = search.assemble(t.select("row_id", "label", *[col(c) for c in feats]), feats)
     from casework.operators.split import train_test_split
     train, test = train_test_split(data, "row_id")
-    model = RandomForestClassifier(numTrees=num_trees, maxDepth=depth, seed=42).fit(train)
+    train = with_class_weight(train, "label", "_w").persist()  # the fit reads it several times
+    model = RandomForestClassifier(numTrees=num_trees, maxDepth=depth, seed=42, weightCol="_w").fit(train)
+    train.unpersist()
     return model, test, feats
 
 
@@ -79,7 +83,7 @@ def q_tree_shap(spark, d):
 @query("attribution_bins")
 def q_attr_bins(spark, d):
     model, test, feats = _fit_forest(spark, d)
-    sh = treeshap.explain(test, model, keep_values=True)
+    sh = materialize(treeshap.explain(test, model, keep_values=True), "shap")  # read by the summary, the edges and the bins
     return treeshap.attribution_bins(sh, None, feats, top_k=25)
 
 
@@ -138,3 +142,33 @@ def q_rf_regression_shap(spark, d):
     feats = feature_columns(t, TARGET)
     model, _, test = search.rf_regression(t, feats, TARGET, num_trees=100)
     return treeshap.explain_summary(test, model, feats).limit(40)
+
+
+@query("csv_cases",
+       "SELECT o_orderkey, CASE WHEN o_orderkey % 7 = 0 THEN NULL ELSE o_orderstatus END AS o_orderstatus, "
+       "CASE WHEN o_orderkey % 5 = 0 THEN NULL ELSE o_totalprice END AS o_totalprice, o_custkey || ', \"' || o_orderpriority || '\"' AS note "
+       "FROM orders")
+def q_csv_cases(spark, d):
+    """The orders as a CSV case file in the shared folder, with missing tokens and quoted fields, read back."""
+    o = table(spark, d, "orders")
+    path = scratch_path(spark, "csv cases")
+    o.select("o_orderkey", F.when(F.col("o_orderkey") % 7 == 0, "NA").otherwise(F.col("o_orderstatus")).alias("o_orderstatus"),
+             F.when(F.col("o_orderkey") % 5 == 0, "NaN").otherwise(F.col("o_totalprice").cast("string")).alias("o_totalprice"),
+             F.concat(F.col("o_custkey").cast("string"), F.lit(', "'), "o_orderpriority", F.lit('"')).alias("note")) \
+        .write.option("header", True).option("escape", '"').csv(path)
+    c = read_cases(spark, path)
+    return c.select(F.col("o_orderkey").cast("long").alias("o_orderkey"), "o_orderstatus", to_number("o_totalprice").alias("o_totalprice"), "note")
+
+
+@query("name_collisions",
+       "WITH f AS (SELECT l_orderkey, l_linenumber, l_quantity AS flag_r, "
+       "CASE WHEN l_linenumber % 2 = 0 THEN lower(l_returnflag) ELSE l_returnflag END AS flag FROM lineitem) "
+       "SELECT l_orderkey, l_linenumber, flag_r, flag = 'N' AS \"flag_N\", flag = 'R' AS \"flag_R.1\", flag = 'a' AS flag_a, "
+       "flag = 'n' AS \"flag_n.1\", flag = 'r' AS \"flag_r.2\" FROM f")
+def q_name_collisions(spark, d):
+    """Dummies of values that differ in case only, next to a column that has one of their names."""
+    from casework.operators.encoders import CategoricalEncoder
+    li = table(spark, d, "lineitem")
+    f = li.select("l_orderkey", "l_linenumber", F.col("l_quantity").alias("flag_r"),
+                  F.when(F.col("l_linenumber") % 2 == 0, F.lower("l_returnflag")).otherwise(F.col("l_returnflag")).alias("flag"))
+    return CategoricalEncoder(columns=["flag"]).fit(f).transform(f)

@@ -12,11 +12,12 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 
+from casework import session
 from casework.config import BuildConfig
 from casework.operators import search, treeshap
 from casework.plans.training import build_training_table, feature_columns, with_label
 from casework.sources import materialize
-from casework.sources.tables import is_empty, read_cases
+from casework.sources.tables import input_paths, is_empty, read_cases, read_cohort_folder
 
 log = logging.getLogger(__name__)
 
@@ -35,7 +36,7 @@ def run_dataset(spark: SparkSession, raw: DataFrame, dataset: str, results: str,
                 use_boruta: bool = False, parallelism: int = 4) -> RunOutput | None:
     """Run one dataset; ``exclude`` drops reviewed columns before modelling."""
     cfg = cfg or BuildConfig(target=target)
-    path = materialize.training_table_path(results, dataset, target)
+    path = materialize.training_table_path(results, dataset, target, cfg)
     table = materialize.read_or_build(spark, path, lambda: build_training_table(raw, cfg)[0])
     if is_empty(table):
         log.warning("dataset %s: empty training table, skipped", dataset)
@@ -47,6 +48,10 @@ def run_dataset(spark: SparkSession, raw: DataFrame, dataset: str, results: str,
     sh = treeshap.explain(best.test, best.model, keep_values=True).persist()
     summary = treeshap.shap_summary(sh, feats)
     attribution = treeshap.attribution_bins(sh, None, feats)
+    summary = session.materialize(summary, "shap-summary")
+    attribution = session.materialize(attribution, "attribution")
+    sh.unpersist()
+    best.test.unpersist()
     ts = materialize.save_results(best.metrics, summary, results, dataset, best.name, target) if save else None
     return RunOutput(best, summary, attribution, ts)
 
@@ -54,10 +59,8 @@ def run_dataset(spark: SparkSession, raw: DataFrame, dataset: str, results: str,
 def run_folder(spark: SparkSession, folder: str, results: str, **kw) -> dict[str, RunOutput | None]:
     """The driver loop over every file under ``folder`` (S2), in file-name order. Files are listed
     through Spark (any file system); each file is its own dataset, read and fitted on its own."""
-    from casework.sources.tables import read_cohort_folder
-    paths = sorted(read_cohort_folder(spark, folder).inputFiles(), key=lambda p: p.rsplit("/", 1)[-1])
     out = {}
-    for p in paths:
+    for p in input_paths(read_cohort_folder(spark, folder)):
         name = p.rsplit("/", 1)[-1][:-4]
         out[name] = run_dataset(spark, read_cases(spark, p), name, results, **kw)
     return out

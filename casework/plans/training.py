@@ -51,7 +51,7 @@ def build_training_table(raw: DataFrame, cfg: BuildConfig | None = None, row_id:
     if not raw.columns:
         return raw, rep
     # S1 is the caller's scan; P4 keep-first, W1 forward fill in row order, P1/P2 names, P6 dates.
-    df = clean.dedupe_keep_first(raw, row_id)
+    df = clean.dedupe_keep_first(clean.nan_as_missing(raw), row_id)
     cached = None
     if cfg.forward_fill:
         # the fill reads its input three times (quantiles, local windows, bucket summary): keep it

@@ -3,31 +3,37 @@
 from __future__ import annotations
 
 import datetime as _dt
+import hashlib
 import os
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.utils import AnalysisException
+
+from casework.config import BuildConfig
 
 
 def read_or_build(spark: SparkSession, path: str, build: Callable[[], DataFrame]) -> DataFrame:
-    """Read the Parquet table at ``path`` if present, else build, write (errorifexists) and read back.
+    """Read the Parquet table at ``path`` if it was written to the end, else build, write and read back.
 
+    A job that commits leaves ``_SUCCESS``; a folder without it is an unfinished write and is built anew.
     Reading back also cuts the lineage, so later jobs start from the written files.
     """
-    try:
-        return spark.read.parquet(path)
-    except AnalysisException as e:
-        if "PATH_NOT_FOUND" not in str(e) and "Path does not exist" not in str(e):
-            raise
-    build().write.mode("errorifexists").parquet(path)
+    if not committed(spark, path):
+        build().write.mode("overwrite").parquet(path)
     return spark.read.parquet(path)
 
 
-def training_table_path(results: str, dataset: str, target: str) -> str:
-    """Where S4 keeps the training table of one dataset and target."""
-    return os.path.join(results, f"training_{dataset}_{target}")
+def committed(spark: SparkSession, path: str) -> bool:
+    """Whether a finished write left its mark in ``path``."""
+    mark = spark._jvm.org.apache.hadoop.fs.Path(path, "_SUCCESS")
+    return mark.getFileSystem(spark._jsc.hadoopConfiguration()).exists(mark)
+
+
+def training_table_path(results: str, dataset: str, target: str, cfg: BuildConfig | None = None) -> str:
+    """Where S4 keeps the training table of one dataset and target, built in one way (a digest of ``cfg``)."""
+    way = "" if cfg is None else "_" + hashlib.sha256(repr(cfg).encode()).hexdigest()[:10]
+    return os.path.join(results, f"training_{dataset}_{target}{way}")
 
 
 def save_results(metrics: DataFrame, shap_summary: DataFrame, results: str, dataset: str, model_name: str,

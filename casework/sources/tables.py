@@ -3,12 +3,17 @@
 from __future__ import annotations
 
 import os
+from collections.abc import Sequence
+from urllib.parse import unquote
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.utils import AnalysisException
 
+from casework.config import SCAN_MISSING
+from casework.functions.text import col
+
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events",
           "documents", "embeddings", "pages", "benchmark", "labels", "conversations")
 
@@ -26,7 +31,7 @@ def read_cases(spark: SparkSession, path: str, fmt: str = "csv", schema: T.Struc
     is off by default: typing happens later from the values). Quoted fields may hold commas,
     doubled quotes and line breaks (``multiline``, on by default for correct parsing; each file is
     then one split, so parallelism comes from the number of files — turn it off for single huge
-    files without embedded line breaks). ``row_id`` is a unique id taken at the scan, increasing in
+    files without embedded line breaks). Cells holding one of the default missing tokens are NULL. ``row_id`` is a unique id taken at the scan, increasing in
     file order within one file; pass ``row_id=None`` to skip it.
     """
     try:
@@ -43,11 +48,19 @@ def read_cases(spark: SparkSession, path: str, fmt: str = "csv", schema: T.Struc
         if "PATH_NOT_FOUND" in str(e) or "Path does not exist" in str(e):
             return empty_frame(spark)
         raise
+    if fmt == "csv":
+        df = missing_to_null(df)
     if row_id:
         df = df.withColumn(row_id, F.monotonically_increasing_id())
     return df
 
 
+def missing_to_null(df: DataFrame, tokens: Sequence[str] = SCAN_MISSING) -> DataFrame:
+    """Text cells that are one of the scan's missing tokens become NULL."""
+    text = {f.name for f in df.schema.fields if isinstance(f.dataType, T.StringType)}
+    return df.select(*[F.when(~col(c).isin(list(tokens)), col(c)).alias(c) if c in text else col(c) for c in df.columns])
+
+
 def empty_frame(spark: SparkSession) -> DataFrame:
     """The empty table the builder returns early on."""
     return spark.createDataFrame([], T.StructType([]))
@@ -69,10 +82,16 @@ def read_cohort_folder(spark: SparkSession, folder: str, fmt: str = "csv", **kw)
             .option("inferSchema", kw.get("infer_schema", False))
     df = reader.format(fmt).load(folder)
     stem = F.expr("substring(_metadata.file_name, 1, length(_metadata.file_name) - 4)")
-    return df.withColumn("dataset", stem).withColumn("row_id", F.monotonically_increasing_id())
+    df = df.select("*", stem.alias("dataset"), F.monotonically_increasing_id().alias("row_id"))
+    return missing_to_null(df) if fmt == "csv" else df
+
+
+def input_paths(df: DataFrame) -> list[str]:
+    """The files of a scan as paths that a reader takes (Spark lists them as encoded URIs), in file-name order."""
+    return sorted((unquote(p) for p in df.inputFiles()), key=lambda p: p.rsplit("/", 1)[-1])
 
 
 def list_datasets(df: DataFrame) -> list[str]:
     """Dataset stems from the file listing (driver-side metadata, bounded by the number of files)."""
-    names = sorted({os.path.basename(p) for p in df.inputFiles()})
+    names = sorted({os.path.basename(p) for p in input_paths(df)})
     return [n[:-4] for n in names]

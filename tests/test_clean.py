@@ -80,9 +80,12 @@ def test_binary_target_cast(spark):
 
 
 def test_leak_drop_requires_numeric_target(spark):
-    df = spark.createDataFrame([("1", "x")], "t string, dehis string")
-    with pytest.raises(ValueError):
-        clean.drop_leak_columns(df, "t")
+    for bad in (spark.createDataFrame([("1", "x"), ("soon", "y")], "t string, dehis string"),
+                spark.createDataFrame([(True, "x")], "t boolean, dehis string"), spark.createDataFrame([("x",)], "dehis string")):
+        with pytest.raises(ValueError):
+            clean.drop_leak_columns(bad, "t")
+    text = spark.createDataFrame([("1", "x"), (" 2.5", "y"), ("-99", "y"), (None, "y")], "t string, dehis string")
+    assert clean.drop_leak_columns(text, "t").columns == ["t"]
     df2 = spark.createDataFrame([(1, "x", 2)], "t int, dehis string, keep int")
     assert clean.drop_leak_columns(df2, "t").columns == ["t", "keep"]
 
