@@ -1,7 +1,7 @@
 """Order-dependent operators without a single-partition window (W1, M2 ranks, A11 running sums).
 
 Two-level prefix: rows are cut into buckets along the order key — equal key ranges for dense
-integer keys, approximate quantiles otherwise (one or two aggregation jobs, bounded results) —
+integer keys, written range partitions for keys of any other kind (dates, text, sparse numbers) —
 so every bucket holds a bounded number of rows whatever the key distribution. Inside a bucket a
 window partitioned by (group, bucket) does the local work; a summary of one row per
 (group, bucket), built by partial aggregation, carries values across bucket borders through a
@@ -14,17 +14,14 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.ml.feature import Bucketizer
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from casework.functions.text import col
-from casework.session import shared_dir
+from casework.session import materialize, shared_dir
 
-# Default target rows per bucket. Dense integer keys get exact ``key div width`` buckets (any
-# number of them); other keys get approximate-quantile buckets, at most MAX_QUANTILE_BUCKETS.
+# Default target rows per bucket; there may be any number of buckets.
 ROWS_PER_BUCKET = 1 << 20
-MAX_QUANTILE_BUCKETS = 1 << 16
 BUCKET = "_bucket"
 _INTEGRAL = ("tinyint", "smallint", "int", "bigint")
 
@@ -35,7 +32,9 @@ def add_order_buckets(df: DataFrame, order_by: str, rows_per_bucket: int = ROWS_
 
     One aggregation job gives count, min and max. An integral key that is dense (range at most
     4 × count) is cut into equal key ranges of ``width`` values, so no bucket holds more than
-    ``width`` distinct keys. Any other key is cut at approximate quantiles (a second job).
+    ``width`` distinct keys. By any other key, of any type that sorts, the rows are range-partitioned
+    and written once to the shared folder, so that a bucket is one partition and stays the same for
+    every later reader; equal keys share a bucket.
     There are at least ``min_buckets`` buckets (default: the default parallelism) so the
     per-bucket windows, and everything downstream of them, use every core.
     """
@@ -52,15 +51,8 @@ def add_order_buckets(df: DataFrame, order_by: str, rows_per_bucket: int = ROWS_
         span = st["hi"] - st["lo"] + 1
         width = max(1, min(-(-span // want), (rows_per_bucket * span) // n))
         return df.withColumn(BUCKET, F.floor((key - F.lit(st["lo"])) / F.lit(width)).cast("long"))
-    n_buckets = int(min(MAX_QUANTILE_BUCKETS, want))
-    probes = [i / n_buckets for i in range(1, n_buckets)]
-    q = df.agg(F.percentile_approx(key.cast("double"), probes, max(10_000, 100 * n_buckets)).alias("q")).first()["q"] or []
-    edges = sorted({float(v) for v in q})
-    splits = [float("-inf")] + edges + [float("inf")]
-    tmp = "_order_key_double"
-    out = Bucketizer(splits=splits, inputCol=tmp, outputCol=BUCKET + "_d", handleInvalid="keep") \
-        .transform(df.withColumn(tmp, key.cast("double")))
-    return out.withColumn(BUCKET, F.col(BUCKET + "_d").cast("long")).drop(tmp, BUCKET + "_d")
+    ranged = df.repartitionByRange(int(want), key).withColumn(BUCKET, F.spark_partition_id().cast("long"))
+    return materialize(ranged, "order-buckets")
 
 
 def _group_keys(b: DataFrame, parts: Sequence[str]) -> tuple[DataFrame, list[str]]:

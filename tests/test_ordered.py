@@ -1,5 +1,6 @@
 """Two-level ordered operators: equality with single windows, stratification, plan shape."""
 
+import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -109,3 +110,20 @@ def test_dedupe_combines_before_shuffle(spark):
     plan = clean.dedupe_keep_first(docs, "doc_id")._jdf.queryExecution().executedPlan().toString()
     # partial aggregate sits below the exchange: copies collapse inside each map task
     assert plan.index("partial_min") > plan.index("Exchange")
+
+
+@pytest.mark.parametrize("kind", ["date", "string", "timestamp_ntz", "double"])
+def test_order_keys_of_any_type(spark, kind):
+    rows = [(i, i * 37 % 1000, None if i % 3 else i) for i in range(800)]
+    df = spark.createDataFrame(rows, "id long, k long, v long")
+    key = {"date": F.date_add(F.lit("2020-01-01").cast("date"), F.col("k").cast("int")), "string": F.format_string("k%05d", "k"),
+           "timestamp_ntz": F.expr("timestamp_ntz'2020-01-01' + make_interval(0,0,0,0,CAST(k AS INT))"), "double": F.col("k") / 7}[kind]
+    df = df.withColumn("k", key)
+    got = {r.id: r.v for r in ordered.forward_fill(df, ["v"], "k", rows_per_bucket=50).collect()}
+    want, last = {}, None
+    for i, k, v in sorted(rows, key=lambda r: r[1]):
+        last = v if v is not None else last
+        want[i] = last
+    assert got == want
+    ranks = {r.id: r["rank"] for r in ordered.rank_within(df, "k", rows_per_bucket=50).collect()}
+    assert ranks == {i: n for n, (i, _, _) in enumerate(sorted(rows, key=lambda r: r[1]))}
