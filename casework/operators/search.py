@@ -217,7 +217,8 @@ def grid_search(df: DataFrame, feature_cols: list[str], specs: list[ModelSpec] |
 
 
 def rf_regression(df: DataFrame, feature_cols: list[str], target: str, row_id: str = "row_id",
-                  test_size: float = 0.2, seed: int = 42, num_trees: int = 100, max_depth: int = 8):
+                  test_size: float = 0.2, seed: int = 42, num_trees: int = 100, max_depth: int = 8,
+                  bootstrap: bool = True):
     """F5 binary cast, split, random-forest regression over all features at each split; returns
     (model, metrics, test). ``max_depth`` bounds the trees (MLlib allows up to 30; deeper trees fit closer and
     make attribution dearer)."""
@@ -226,7 +227,8 @@ def rf_regression(df: DataFrame, feature_cols: list[str], target: str, row_id: s
     data = assemble(df.select(row_id, col(target).cast("double").alias("label"), *[col(c) for c in feature_cols]), feature_cols)
     train, test = train_test_split(data, row_id, test_size, seed)
     train = train.persist(StorageLevel.MEMORY_AND_DISK)  # the fit reads it several times
-    model = RandomForestRegressor(numTrees=num_trees, seed=seed, maxDepth=max_depth, featureSubsetStrategy="all").fit(train)
+    model = RandomForestRegressor(numTrees=num_trees, seed=seed, maxDepth=max_depth, featureSubsetStrategy="all",
+                                  bootstrap=bootstrap).fit(train)
     train.unpersist()
     pred = model.transform(test)
     return model, metrics.regression_metrics(pred), test

@@ -13,7 +13,7 @@ from casework.config import BuildConfig
 from casework.functions.text import col, to_number
 from casework.operators import search, treeshap
 from casework.operators.metrics import with_class_weight
-from casework.plans.catalogue import query, r6
+from casework.plans.catalogue import _HASH, query, r6
 from casework.plans.training import build_training_table, feature_columns, with_label
 from casework.session import materialize, scratch_path
 from casework.sources.fixtures import build_cases
@@ -172,3 +172,81 @@ def q_name_collisions(spark, d):
     f = li.select("l_orderkey", "l_linenumber", F.col("l_quantity").alias("flag_r"),
                   F.when(F.col("l_linenumber") % 2 == 0, F.lower("l_returnflag")).otherwise(F.col("l_returnflag")).alias("flag"))
     return CategoricalEncoder(columns=["flag"]).fit(f).transform(f)
+
+
+# One tree without bootstrap on one 0/1 feature: its leaves are the classes' shares (or the targets' means) by
+# feature value, which SQL can work out for every fold. This holds the search, the metrics, the regression path and
+# the exported trees to exact figures.
+_TREE_ROWS = ("SELECT o_orderkey AS row_id, CAST(o_totalprice > 250000 AS INT) AS x, "
+              "CAST(o_totalprice + 10000 * (o_custkey % 20) > 340000 AS INT) AS y, o_totalprice / 1000 + 10 * (o_custkey % 20) AS target FROM orders")
+_TREE_SPLIT = (f"WITH s AS (SELECT *, {_HASH.format(k='row_id')} AS h FROM ({_TREE_ROWS})), "
+               "t AS (SELECT *, (h % 10000) < 2000 AS is_test FROM s)")
+
+
+def _tree_rows(spark, d):
+    o, more = table(spark, d, "orders"), F.col("o_custkey") % 20
+    return o.select(F.col("o_orderkey").alias("row_id"), (F.col("o_totalprice") > 250000).cast("int").alias("x"),
+                    (F.col("o_totalprice") + 10000 * more > 340000).cast("double").alias("label"),
+                    (F.col("o_totalprice") / 1000 + 10 * more).alias("target"), F.lit(0).alias("z"))
+
+
+@query("search_one_tree", _TREE_SPLIT + """,
+f AS (SELECT x, y, 5 AS part FROM t WHERE is_test
+      UNION ALL SELECT x, y, (row_number() OVER (PARTITION BY y ORDER BY h, row_id) - 1) % 5 FROM t WHERE NOT is_test),
+c AS (SELECT part, x, y, count(*) AS n FROM f GROUP BY ALL), k AS (SELECT unnest(range(0, 6)) AS k),
+m AS (SELECT k, x, CAST(sum(n) FILTER (y = 1) AS DOUBLE) / sum(n) AS p FROM c, k WHERE part <> 5 AND part <> k GROUP BY k, x),
+v AS (SELECT k.k, c.x, m.p, coalesce(sum(n) FILTER (y = 1), 0) AS pos, coalesce(sum(n) FILTER (y = 0), 0) AS neg
+      FROM c JOIN k ON c.part = k.k JOIN m ON m.k = k.k AND m.x = c.x GROUP BY k.k, c.x, m.p),
+a AS (SELECT v.k, sum(v.pos * w.neg * CASE WHEN v.p > w.p THEN 1.0::DOUBLE WHEN v.p = w.p THEN 0.5 ELSE 0 END) / sum(v.pos * w.neg) AS auc
+      FROM v JOIN v AS w ON v.k = w.k GROUP BY v.k),
+q AS (SELECT k, coalesce(sum(pos) FILTER (p > 0.5), 0)::DOUBLE AS tp, coalesce(sum(neg) FILTER (p > 0.5), 0)::DOUBLE AS fp,
+             coalesce(sum(pos) FILTER (p <= 0.5), 0)::DOUBLE AS fn, coalesce(sum(neg) FILTER (p <= 0.5), 0)::DOUBLE AS tn FROM v GROUP BY k),
+r AS (SELECT k, auc, tn, fp, fn, tp, (tp + tn) / (tp + tn + fp + fn) AS accuracy, coalesce(tp / nullif(tp + fp, 0), 0) AS precision,
+             coalesce(tp / nullif(tp + fn, 0), 0) AS recall, coalesce(2 * tp / nullif(2 * tp + fp + fn, 0), 0) AS f1 FROM a JOIN q USING (k))
+SELECT round(max(auc) FILTER (k = 5), 6) AS auc, round(max(accuracy) FILTER (k = 5), 6) AS accuracy, round(max(precision) FILTER (k = 5), 6) AS precision,
+       round(max(recall) FILTER (k = 5), 6) AS recall, round(max(f1) FILTER (k = 5), 6) AS f1, max(tn) FILTER (k = 5)::BIGINT AS tn,
+       max(fp) FILTER (k = 5)::BIGINT AS fp, max(fn) FILTER (k = 5)::BIGINT AS fn, max(tp) FILTER (k = 5)::BIGINT AS tp,
+       round(avg(auc) FILTER (k < 5), 6) AS cv_auc, round(avg(accuracy) FILTER (k < 5), 6) AS cv_accuracy, round(avg(precision) FILTER (k < 5), 6) AS cv_precision,
+       round(avg(recall) FILTER (k < 5), 6) AS cv_recall, round(avg(f1) FILTER (k < 5), 6) AS cv_f1, 1.0::DOUBLE AS importance FROM r""")
+def q_search_one_tree(spark, d):
+    """M3, M8, M9 with A9-A11: the search over one point, its fold averages, test metrics and importance."""
+    spec = search.ModelSpec("tree", RandomForestClassifier(numTrees=1, maxDepth=1, featureSubsetStrategy="all", bootstrap=False, seed=1), {"maxDepth": [1]})
+    best, _ = search.grid_search(_tree_rows(spark, d).drop("target", "z"), ["x"], [spec])
+    cm, cv = F.col("confusion_matrix"), F.col("cv_metrics")
+    return best.metrics.select(*[r6(c).alias(c) for c in ("auc", "accuracy", "precision", "recall", "f1", "cv_auc")],
+                               *[cm[c].alias(c) for c in ("tn", "fp", "fn", "tp")],
+                               *[r6(cv[c]).alias(f"cv_{c}") for c in ("accuracy", "precision", "recall", "f1")],
+                               r6(F.col("feature_importances")[0]["importance"]).alias("importance"))
+
+
+_LEAVES = _TREE_SPLIT + ", m AS (SELECT x, avg(target) AS leaf, count(*) AS n FROM t WHERE NOT is_test GROUP BY x)"
+
+
+@query("regression_one_tree", _LEAVES + """,
+e AS (SELECT target, leaf FROM t JOIN m USING (x) WHERE is_test)
+SELECT round(avg(abs(target - leaf)), 6) AS mae, round(avg((target - leaf) * (target - leaf)), 6) AS mse,
+       round(1 - sum((target - leaf) * (target - leaf)) / (var_pop(target) * count(*)), 6) AS r2 FROM e""")
+def q_regression_one_tree(spark, d):
+    """Regression metrics of one tree on the test rows."""
+    _, m, _ = search.rf_regression(_tree_rows(spark, d).drop("label"), ["x", "z"], "target", num_trees=1, max_depth=1, bootstrap=False)
+    return m.select(*[r6(c).alias(c) for c in ("mae", "mse", "r2")])
+
+
+@query("shap_one_tree", _LEAVES + """,
+b AS (SELECT sum(leaf * n) / sum(n) AS base FROM m)
+SELECT 'x' AS feature, round(avg(abs(leaf - base)), 6) AS mean_abs_shap FROM t JOIN m USING (x), b WHERE is_test
+UNION ALL SELECT 'z', 0.0""")
+def q_shap_one_tree(spark, d):
+    """X1, X2 through the exported trees of a fitted model: mean absolute attribution on the test rows."""
+    model, _, test = search.rf_regression(_tree_rows(spark, d).drop("label"), ["x", "z"], "target", num_trees=1, max_depth=1, bootstrap=False)
+    return treeshap.explain_summary(test, model, ["x", "z"]).select("feature", r6("mean_abs_shap").alias("mean_abs_shap"))
+
+
+@query("binary_target_cast", "SELECT o_orderkey, CAST(CASE WHEN o_orderkey % 3 = 0 THEN 1 ELSE 2 END AS INT) AS two, "
+       "CAST(o_orderkey % 3 AS DOUBLE) AS three FROM orders")
+def q_binary_target(spark, d):
+    """a target of two values becomes int, one of three stays."""
+    from casework.operators.clean import binary_target_cast
+    o = table(spark, d, "orders").select("o_orderkey", F.when(F.col("o_orderkey") % 3 == 0, 1.0).otherwise(2.0).alias("two"),
+                                         (F.col("o_orderkey") % 3).cast("double").alias("three"))
+    return binary_target_cast(binary_target_cast(o, "two"), "three")
