@@ -330,8 +330,7 @@ def q_rare_long(spark, d):
 def q_label_encode(spark, d):
     p = table(spark, d, "part").select("p_partkey", "p_type", "p_brand", "p_name")
     model = encoders.CompatibleEncoder(map_limit=100).fit(p)
-    out = model.transform(p)
-    return out.select("p_partkey", *[F.col(c).cast("bigint").alias(c) for c in ("p_type", "p_brand", "p_name")])
+    return model.transform(p).select("p_partkey", "p_type", "p_brand", "p_name")
 
 
 @query("impute",
@@ -379,14 +378,18 @@ def _cases_text(spark, d):
     f"({_sql_list(config.BOOL_LIKE_VALUES)})) FILTER (WHERE {c} IS NOT NULL), true) AS is_categorical FROM t"
     for c in _CASE_COLS))
 def q_categorical(spark, d):
-    return profile.categorical_report(_cases_text(spark, d))
+    t = _cases_text(spark, d)
+    found = profile.profile_text_columns(t, t.columns).categorical  # the builder's own decision
+    return profile.categorical_report(t).withColumn("is_categorical", F.col("column_name").isin(found))
 
 
 @query("numeric_share", f"WITH t AS ({_CASES_TEXT}) " + " UNION ALL ".join(
     f"SELECT '{c}' AS column_name, round(avg(CASE WHEN {isnum_sql(c)} THEN 1.0 ELSE 0.0 END) FILTER (WHERE {c} IS NOT NULL), 6) + 0.0 AS share FROM t"
     for c in _CASE_COLS))
 def q_numeric_share(spark, d):
-    s = profile.numeric_share(_cases_text(spark, d))
+    t = _cases_text(spark, d)
+    stats = profile.text_stats_from_row(t.agg(*profile.text_stats(t.columns)).first(), t.columns)  # as the builder reads them
+    s = spark.createDataFrame(list(stats.numeric_share.items()), "column_name string, share double")
     return s.select("column_name", r6("share").alias("share"))
 
 

@@ -3,8 +3,9 @@
 S1-P4-W1-P1-P6 → F3 → P9 → P8 → P7 → F1 → A1 → F15/F16 → F11 → F12 → F6-F9 → P10 → P11 → F14/F13 → P3
 
 Every stage is one ``select``/``filter``; fitted stages run a bounded number of summary jobs.
-The cleaned text table (after P7) is cut from its lineage once with ``checkpoint()`` in the
-shared folder, so the ordered work (de-duplication, forward fill) runs once for all later fits.
+The de-duplicated table and the cleaned text table (after P7) are written as Parquet in the
+shared folder, so the ordered work (de-duplication, forward fill) runs once, and every later fit
+reads only the columns it needs.
 """
 
 from __future__ import annotations
@@ -12,7 +13,6 @@ from __future__ import annotations
 import logging
 from dataclasses import dataclass, field
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -21,7 +21,7 @@ from casework.config import BuildConfig
 from casework.functions.clinical import clip
 from casework.functions.text import col
 from casework.operators import clean, encoders, names, ordered, profile
-from casework.session import shared_dir
+from casework.session import materialize
 
 log = logging.getLogger(__name__)
 
@@ -47,15 +47,13 @@ def build_training_table(raw: DataFrame, cfg: BuildConfig | None = None, row_id:
     """
     cfg = cfg or BuildConfig()
     rep = BuildReport(numeric_mode=cfg.numeric_mode)
-    spark = raw.sparkSession
     if not raw.columns:
         return raw, rep
     # S1 is the caller's scan; P4 keep-first, W1 forward fill in row order, P1/P2 names, P6 dates.
     df = clean.dedupe_keep_first(clean.nan_as_missing(raw), row_id)
-    cached = None
     if cfg.forward_fill:
-        # the fill reads its input three times (quantiles, local windows, bucket summary): keep it
-        cached = df = df.persist(StorageLevel.MEMORY_AND_DISK)
+        if checkpoint:  # the fill reads its input three times (key range, local windows, bucket summary)
+            df = materialize(df, "cases")
         df = ordered.forward_fill(df, [c for c in df.columns if c != row_id], row_id)
     df = names.normalize_columns(df)
     df = clean.parse_dates(df)
@@ -69,10 +67,7 @@ def build_training_table(raw: DataFrame, cfg: BuildConfig | None = None, row_id:
     # Everything to trimmed text, missing tokens to NULL.
     df = clean.normalize_nulls(df, cfg.missing_tokens, keep=[row_id], null_text=cfg.missing_as_text)
     if checkpoint:
-        shared_dir(spark)
-        df = df.checkpoint(eager=True)
-    if cached is not None:
-        cached.unpersist()
+        df = materialize(df, "clean-cases")
     # Fit pass A (one aggregation over the checkpoint): F1 decisions, text statistics for A1/A2,
     # and the set of drug regimens for F12 (drug flags read the raw slots, so they are known here).
     drugs = encoders.DrugMultiHot(cfg.drug_patterns, after_drop_first=cfg.drugs_after_drop_first)
