@@ -250,3 +250,60 @@ def q_binary_target(spark, d):
     o = table(spark, d, "orders").select("o_orderkey", F.when(F.col("o_orderkey") % 3 == 0, 1.0).otherwise(2.0).alias("two"),
                                          (F.col("o_orderkey") % 3).cast("double").alias("three"))
     return binary_target_cast(binary_target_cast(o, "two"), "three")
+
+
+# X4 against SQL: a small case table of the orders (every tenth twice, as P4 must drop copies), as rows of
+# (caseid, feature, value). Vocabularies are known, so SQL can spell the features out.
+_SMALL = """WITH o AS (SELECT o_orderkey AS caseid, CAST(1 + o_custkey % 12 AS VARCHAR) AS tothlos,
+       CASE WHEN o_custkey % 3 = 0 THEN 'Male' ELSE ' female' END AS sex,
+       CASE WHEN o_orderkey % 9 <> 4 THEN CASE o_custkey % 3 WHEN 0 THEN 'white' WHEN 1 THEN 'black' ELSE 'asian' END END AS race,
+       CASE WHEN o_orderkey % 7 = 3 THEN '-99' WHEN o_orderkey % 7 <> 5 THEN CAST(o_custkey % 50 AS VARCHAR) END AS lab,
+       CASE o_custkey % 5 WHEN 0 THEN 'CeFAZoLin (Kefzol)' WHEN 1 THEN 'Vancomycin HCl' WHEN 2 THEN ' ' ELSE 'other' END AS drug FROM orders),
+f AS (SELECT caseid, tothlos, CASE WHEN trim(sex) = 'Male' THEN 1.0 ELSE 0.0 END AS sex, drug,
+       last_value(race IGNORE NULLS) OVER w AS race, nullif(last_value(lab IGNORE NULLS) OVER w, '-99') AS lab FROM o
+       WINDOW w AS (ORDER BY caseid ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)),
+k AS (SELECT * FROM f WHERE trim(drug) <> '') """
+_SMALL_DUMMIES = """SELECT caseid, unnest([{'f': 'sex', 'v': sex}, {'f': 'race_black', 'v': CAST(race = 'black' AS DOUBLE)},
+       {'f': 'race_white', 'v': CAST(race = 'white' AS DOUBLE)}, {'f': 'ped_sap_name1_Vancomycin HCl', 'v': CAST(drug LIKE 'Vanc%' AS DOUBLE)},
+       {'f': 'ped_sap_name1_other', 'v': CAST(drug = 'other' AS DOUBLE)}, {'f': 'used_vancomycin', 'v': CAST(drug LIKE 'Vanc%' AS DOUBLE)},
+       {'f': 'combo_abx_regimen_vancomycin', 'v': CAST(drug LIKE 'Vanc%' AS DOUBLE)}, """
+
+
+def _small_cases(spark, d):
+    o, key = table(spark, d, "orders"), F.col("o_orderkey")
+    cust = F.col("o_custkey")
+    race = F.when(cust % 3 == 0, "white").when(cust % 3 == 1, "black").otherwise("asian")
+    drug = F.when(cust % 5 == 0, "CeFAZoLin (Kefzol)").when(cust % 5 == 1, "Vancomycin HCl").when(cust % 5 == 2, " ").otherwise("other")
+    copies = F.explode(F.when(key % 10 == 0, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0))))
+    return o.select(key.alias("CaseID"), (1 + cust % 12).cast("string").alias("TotHLOS"),
+                    F.when(cust % 3 == 0, "Male").otherwise(" female").alias("Sex"), F.when(key % 9 != 4, race).alias("Race"),
+                    F.when(key % 7 == 3, "-99").when(key % 7 != 5, (cust % 50).cast("string")).alias("Lab"),
+                    drug.alias("ped_sap_name1"), copies.alias("c")) \
+        .select("*", (F.col("CaseID") * 2 + F.col("c")).alias("row_id")).drop("c")
+
+
+def _long(df: DataFrame, key: str = "row_id") -> DataFrame:
+    feats = [c for c in df.columns if c != key]
+    wide = df.select(F.floor(col(key) / 2).cast("long").alias("_case"), *[r6(col(c)).alias(c) for c in feats])
+    return wide.unpivot(["_case"], [col(c) for c in feats], "feature", "value").withColumnRenamed("_case", "caseid")
+
+
+@query("training_features", _SMALL + ", l AS (SELECT avg(CAST(lab AS DOUBLE)) AS m FROM k), x AS (" + _SMALL_DUMMIES +
+       """{'f': 'used_cefazolin', 'v': CAST(drug LIKE 'CeF%' AS DOUBLE)}, {'f': 'combo_abx_regimen_cefazolin', 'v': CAST(drug LIKE 'CeF%' AS DOUBLE)},
+       {'f': 'single_abx_regimen_', 'v': CAST(drug = 'other' AS DOUBLE)}, {'f': 'caseid', 'v': CAST(caseid AS DOUBLE)},
+       {'f': 'tothlos', 'v': CAST(tothlos AS DOUBLE)}, {'f': 'lab', 'v': coalesce(CAST(lab AS DOUBLE), m)}]) AS u FROM k, l)
+SELECT caseid, u.f AS feature, round(u.v, 6) + 0.0 AS value FROM x""")
+def q_training_features(spark, d):
+    """X4, numbers as numbers."""
+    return _long(build_training_table(_small_cases(spark, d), BuildConfig(target=TARGET))[0])
+
+
+@query("training_features_compatible", _SMALL + """, c AS (SELECT *, dense_rank() OVER (ORDER BY CAST(caseid AS VARCHAR)) - 1 AS case_code,
+       dense_rank() OVER (ORDER BY tothlos) - 1 AS los_code, dense_rank() OVER (ORDER BY coalesce(lab, 'Unknown')) - 1 AS lab_code FROM k), x AS (""" +
+       _SMALL_DUMMIES + """{'f': 'single_abx_regimen_', 'v': CAST(drug NOT LIKE 'Vanc%' AS DOUBLE)}, {'f': 'caseid', 'v': CAST(case_code AS DOUBLE)},
+       {'f': 'tothlos', 'v': CAST(los_code AS DOUBLE)}, {'f': 'lab', 'v': CAST(lab_code AS DOUBLE)}]) AS u FROM c)
+SELECT caseid, u.f AS feature, u.v + 0.0 AS value FROM x""")
+def q_training_compatible(spark, d):
+    """X4 in the full compatible mode: numbers as codes of sorted text, missing cells as text, drugs read after drop-first."""
+    cfg = BuildConfig(target=TARGET, numeric_mode="lexical", missing_as_text="nan", drugs_after_drop_first=True)
+    return _long(build_training_table(_small_cases(spark, d), cfg)[0])
