@@ -9,7 +9,10 @@
    members). Pairs whose sketches are far apart go; the rest are confirmed on the full sets. Confirmed links
    give components.
 4. Buckets that still hold several components are searched for links between them: sketches are compared in
-   blocks of bounded size, and only pairs that the sketches support are emitted and confirmed.
+   blocks of bounded size. A block reports which members the sketches tie together (as many rows as members, never
+   the pairs), and these ties join components into families.
+5. The members of a family meet once, in blocks that carry the full sets; a pair of components is tried on the full
+   sets until it is linked, and only the links go on.
 
 A link is missed only if no band agrees or the sketches err by five standard deviations: about 1 in 10^6 at the
 threshold, less above it. Components need not lose anything by it while another path joins the texts.
@@ -189,6 +192,16 @@ def full_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                                          names=["node", "set"])
 
 
+def similar(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
+    """100 * intersection >= percent * union, of sets in the order of unsigned numbers."""
+    small, large = (x.view(np.uint64), y.view(np.uint64)) if len(x) <= len(y) else (y.view(np.uint64), x.view(np.uint64))
+    if 100 * len(small) < percent * len(large):
+        return False
+    at = np.searchsorted(large, small)
+    both = int((large[np.minimum(at, len(large) - 1)] == small).sum())
+    return 100 * both >= percent * (len(x) + len(y) - both)
+
+
 def confirmed(percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in arrow_batches(batches, STEP):
@@ -196,40 +209,90 @@ def confirmed(percent: int):
             for c in ("left_set", "right_set"):
                 flat, ends = b.column(c).values.to_numpy(), b.column(c).offsets.to_numpy()
                 sides.append([flat[i:j] for i, j in zip(ends[:-1], ends[1:])])
-            keep = []
-            for x, y in zip(*sides):
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                keep.append(100 * both >= percent * (len(x) + len(y) - both))
+            keep = [similar(x, y, percent) for x, y in zip(*sides)]
             yield b.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
     return run
 
 
-def close_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pairs of different components in a block whose sketches are near; rows come sorted by block."""
-    def pairs(node, comp, right, odd):
-        l, r = np.flatnonzero(~right), np.flatnonzero(right)
-        for at in range(0, len(l), 32):
-            part = l[at:at + 32]
-            diff = np.bitwise_count(odd[part][:, None, :] ^ odd[r][None, :, :]).sum(axis=2, dtype=np.int64)
-            i, j = np.nonzero((diff <= FAR) & (comp[part][:, None] != comp[r][None, :]))
-            yield node[part[i]], node[r[j]]
-
-    def emit(groups):
-        found = [p for g in groups for p in pairs(*g)]
-        a, b = (np.concatenate([p[k] for p in found]) if found else np.empty(0, np.int64) for k in (0, 1))
-        return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
-
-    held = None
+def by_block(batches: Iterator[pa.RecordBatch], names: tuple[str, ...]) -> Iterator[dict]:
+    """The rows of each block (fam or band, k, r), which come sorted; list columns as numpy rows."""
+    held: dict | None = None
     for b in batches:
-        odd = b.column("odd").values.to_numpy().view(np.uint64).reshape(-1, BITS // 64) if b.num_rows else np.empty((0, BITS // 64), np.uint64)
-        now = [*(b.column(c).to_numpy(zero_copy_only=False) for c in ("band", "k", "r", "node", "comp", "right")), odd]
-        held = now if held is None else [np.concatenate([x, y]) for x, y in zip(held, now)]
-        cut = np.flatnonzero(np.any([x[1:] != x[:-1] for x in held[:3]], axis=0)) + 1
+        now = {}
+        for c in (*names, "k", "r", "node", "comp", "right"):
+            now[c] = b.column(c).to_numpy(zero_copy_only=False)
+        now["odd"] = b.column("odd").flatten().to_numpy().view(np.uint64).reshape(-1, BITS // 64)
+        if "set" in b.schema.names:
+            flat, ends = b.column("set").values.to_numpy(), b.column("set").offsets.to_numpy()
+            now["set"] = np.empty(b.num_rows, object)
+            now["set"][:] = [flat[i:j] for i, j in zip(ends[:-1], ends[1:])]
+        held = now if held is None else {c: np.concatenate([held[c], now[c]]) for c in now}
+        cut = np.flatnonzero(np.any([held[c][1:] != held[c][:-1] for c in (*names, "k", "r")], axis=0)) + 1
         ends = [0, *cut.tolist()]
-        yield emit([x[i:j] for x in held[3:]] for i, j in zip(ends[:-1], ends[1:]))
-        held = [x[ends[-1]:] for x in held]
-    if held is not None:
-        yield emit([held[3:]])
+        for i, j in zip(ends[:-1], ends[1:]):
+            yield {c: v[i:j] for c, v in held.items()}
+        held = {c: v[ends[-1]:] for c, v in held.items()}
+    if held is not None and len(held["node"]):
+        yield held
+
+
+def near_in_block(g: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Left and right rows of a block, and which pairs of different components have near sketches."""
+    left, right = np.flatnonzero(~g["right"]), np.flatnonzero(g["right"])
+    near = np.zeros((len(left), len(right)), bool)
+    for at in range(0, len(left), 32):
+        part = left[at:at + 32]
+        differ = np.bitwise_count(g["odd"][part][:, None, :] ^ g["odd"][right][None, :, :]).sum(axis=2, dtype=np.int64)
+        near[at:at + 32] = (differ <= FAR) & (g["comp"][part][:, None] != g["comp"][right][None, :])
+    return left, right, near
+
+
+def _pairs(found: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
+    a, b = (np.concatenate([np.asarray(p[k], np.int64) for p in found]) if found else np.empty(0, np.int64) for k in (0, 1))
+    return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
+
+
+def ties(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Per block, each member that has a near pair with the smallest left member it is connected to by such pairs."""
+    for g in by_block(batches, ("band",)):
+        left, right, near = near_in_block(g)
+        if not near.any():
+            continue
+        none = len(left)
+        low = np.where(near.any(axis=1), np.arange(none), none)
+        while True:
+            far = np.where(near, low[:, None], none).min(axis=0)
+            new = np.minimum(low, np.where(near, far[None, :], none).min(axis=1))
+            if (new == low).all():
+                break
+            low = new
+        node = g["node"]
+        on, off = np.flatnonzero(low < none), np.flatnonzero(far < none)
+        yield _pairs([(node[left[low[on]]], node[left[on]]), (node[left[far[off]]], node[right[off]])])
+
+
+def block_links(percent: int):
+    """Per block of a family, links on the full sets that join its components as far as any do."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for g in by_block(batches, ("fam",)):
+            left, right, near = near_in_block(g)
+            root: dict[int, int] = {}
+
+            def find(x: int) -> int:
+                while root.setdefault(x, x) != x:
+                    root[x] = x = root[root[x]]
+                return x
+
+            found, comp, sets, node = [], g["comp"].tolist(), g["set"], g["node"].tolist()
+            for i, j in zip(*(x.tolist() for x in np.nonzero(near))):
+                i, j = left[i], right[j]
+                x, y = find(comp[i]), find(comp[j])
+                if x != y and similar(sets[i], sets[j], percent):
+                    root[max(x, y)] = min(x, y)
+                    found.append((node[i], node[j]))
+            if found:
+                yield _pairs([tuple(np.array(found, np.int64).T)])
+    return run
 
 
 def near(pairs: DataFrame, classes: DataFrame) -> DataFrame:
@@ -241,13 +304,17 @@ def near(pairs: DataFrame, classes: DataFrame) -> DataFrame:
     return p.filter(bits <= FAR).select("a", "b")
 
 
-def links(pairs: DataFrame, classes: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a < b) that hold on the full sets, which are made again from the texts of the classes in question."""
-    pairs = materialize(pairs, "near-pairs")
-    nodes = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+def sets_of(nodes: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFrame:
+    """``node, set``: full sets of some classes, made again from their texts."""
     wanted = classes.select("node", "text_key").join(nodes, "node")
     sets = map_arrow(docs.join(wanted, "text_key").select("text_key", "node", "text"), full_sets, "node long, set array<long>")
-    sets = materialize(sets, "full-sets")
+    return materialize(sets, "full-sets")
+
+
+def links(pairs: DataFrame, classes: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a < b) that hold on the full sets."""
+    pairs = materialize(pairs, "near-pairs")
+    sets = sets_of(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), classes, docs)
     both = pairs.join(sets.select(F.col("node").alias("a"), F.col("set").alias("left_set")), "a") \
         .join(sets.select(F.col("node").alias("b"), F.col("set").alias("right_set")), "b")
     return materialize(map_arrow(both, confirmed(percent), "a long, b long").distinct(), "links")
@@ -277,26 +344,45 @@ def components(links: DataFrame) -> DataFrame:
     return nodes.unionAll(edges.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
 
 
-def between(buckets: DataFrame, classes: DataFrame, parts: DataFrame) -> DataFrame:
-    """Sketch-supported pairs of classes that share a bucket but not yet a component. In each bucket the members
-    outside the first member's component meet all others, in blocks of LEFT by RIGHT rows."""
-    m = buckets.join(parts, "node", "left").withColumn("comp", F.coalesce("component", "node"))
-    seen = m.groupBy("band").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("node", "comp"))["comp"].alias("first"),
-                                 F.min("comp").alias("c0"), F.max("comp").alias("c1")).filter("n > 2 AND c0 < c1")
-    m = m.join(seen.select("band", "n", "first"), "band").withColumn("stray", F.col("comp") != F.col("first"))
-    strays = m.filter("stray").groupBy("band").agg(F.count(F.lit(1)).alias("s"))
-    m = m.join(strays, "band").join(classes.select("node", "odd"), "node") \
-        .withColumn("left_blocks", F.ceil(F.col("n") / LEFT).cast("int")).withColumn("right_blocks", F.ceil(F.col("s") / RIGHT).cast("int"))
+def in_blocks(m: DataFrame, by: str, width: int) -> DataFrame:
+    """Members (by, node, comp, odd, ..., n members, s strays, stray) dealt into blocks ``by, k, r``: each block has up
+    to about LEFT members on the left and ``width`` strays on the right, and every member meets every stray."""
+    own = [c for c in m.columns if c not in ("n", "s", "stray")]
+    m = m.withColumn("left_blocks", F.ceil(F.col("n") / LEFT).cast("int")).withColumn("right_blocks", F.ceil(F.col("s") / width).cast("int"))
     spread = F.xxhash64("node")
-    cols = ["band", "node", "comp", "odd"]
-    left = m.select(*cols, F.pmod(spread, F.col("left_blocks")).cast("int").alias("k"),
+    left = m.select(*own, F.pmod(spread, F.col("left_blocks")).cast("int").alias("k"),
                     F.explode(F.sequence(F.lit(0), F.col("right_blocks") - 1)).alias("r"), F.lit(False).alias("right"))
-    right = m.filter("stray").select(*cols, F.explode(F.sequence(F.lit(0), F.col("left_blocks") - 1)).alias("k"),
+    right = m.filter("stray").select(*own, F.explode(F.sequence(F.lit(0), F.col("left_blocks") - 1)).alias("k"),
                                      F.pmod(spread, F.col("right_blocks")).cast("int").alias("r"), F.lit(True).alias("right"))
-    rows = left.select(*cols, "k", "r", "right").unionAll(right.select(*cols, "k", "r", "right"))
-    rows = rows.repartition("band", "k", "r").sortWithinPartitions("band", "k", "r") \
-        .select("band", "k", "r", "node", "comp", "right", "odd")
-    return map_arrow(rows, close_pairs, "a long, b long").filter("a <> b").distinct()
+    rows = left.unionByName(right)
+    return rows.repartition(by, "k", "r").sortWithinPartitions(by, "k", "r")
+
+
+def strays(m: DataFrame, by: str) -> DataFrame:
+    """Members of the groups that hold several components: ``n`` of them, ``s`` outside the largest component."""
+    sizes = m.groupBy(by, "comp").agg(F.count(F.lit(1)).alias("c")).groupBy(by) \
+        .agg(F.sum("c").alias("n"), F.max(F.struct("c", "comp")).alias("most"), F.count(F.lit(1)).alias("parts")).filter("parts > 1")
+    return m.join(sizes.select(by, "n", (F.col("n") - F.col("most.c")).alias("s"), F.col("most.comp").alias("large")), by) \
+        .withColumn("stray", F.col("comp") != F.col("large")).drop("large")
+
+
+def between(buckets: DataFrame, classes: DataFrame, parts: DataFrame) -> DataFrame:
+    """Ties (a, b) that connect all classes that share a bucket, not a component, and have near sketches."""
+    m = buckets.filter("n > 2").select("band", "node").join(parts, "node", "left") \
+        .select("band", "node", F.coalesce("component", "node").alias("comp"))
+    m = strays(m, "band").join(classes.select("node", "odd"), "node")
+    return map_arrow(in_blocks(m, "band", RIGHT), ties, "a long, b long").filter("a <> b").distinct()
+
+
+def within(tied: DataFrame, found: DataFrame, parts: DataFrame, classes: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
+    """Links between the components of each family, a family being what ties and links connect."""
+    families = materialize(components(tied.unionAll(found)), "families")
+    m = families.select("node", F.col("component").alias("fam")).join(parts, "node", "left") \
+        .select("fam", "node", F.coalesce("component", "node").alias("comp"))
+    m = materialize(strays(m, "fam"), "family-members")
+    sets = sets_of(m.select("node").distinct(), classes, docs)
+    m = m.join(classes.select("node", "odd"), "node").join(sets, "node")
+    return materialize(map_arrow(in_blocks(m, "fam", LEFT), block_links(percent), "a long, b long").distinct(), "family-links")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 75) -> DataFrame:
@@ -309,17 +395,15 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     keyed = d.select(F.unhex(F.md5(F.coalesce("text", F.lit("")).cast("binary"))).alias("text_key"), "text")
     bands = classes.select("node", F.explode("bands").alias("band"))
     stars = bands.groupBy("band").agg(F.min("node").alias("a"), F.count(F.lit(1)).alias("n")).filter("n > 1")
-    buckets = materialize(bands.join(stars.select("band", "a"), "band"), "buckets")
+    buckets = materialize(bands.join(stars, "band"), "buckets")
     tested = buckets.filter("node <> a").select("a", F.col("node").alias("b")).distinct()
     found = links(near(tested, classes), classes, keyed, percent)
-    parts = components(found)
-    more = between(buckets.select("band", "node"), classes, parts)
-    more = materialize(more, "between")
-    if not more.isEmpty():
-        more = more.join(tested, ["a", "b"], "left_anti")
-        found = found.unionAll(links(more, classes, keyed, percent))
-        parts = components(found)
-    whole = classes.join(materialize(parts, "components"), "node", "left").select("class", "low", F.coalesce("component", "node").alias("component"))
+    parts = materialize(components(found), "components")
+    tied = materialize(between(buckets, classes, parts), "ties")
+    if not tied.isEmpty():
+        found = found.unionAll(within(tied, found, parts, classes, keyed, percent))
+        parts = materialize(components(found), "components")
+    whole = classes.join(parts, "node", "left").select("class", "low", F.coalesce("component", "node").alias("component"))
     lows = whole.groupBy("component").agg(F.min("low").alias("component_id"))
     named = whole.join(lows, "component").select("class", "component", "component_id")
     out = f.select("doc_id", "text_key", "n_shingles", "class", "rid")
