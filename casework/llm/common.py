@@ -52,6 +52,12 @@ def positions(df: DataFrame, *order: Column, name: str) -> DataFrame:
                                        (F.col("_before") + F.col("_at")).alias("position"))
 
 
+def about(h: str, share: float) -> Column:
+    """Whether a row's 64-bit hash ``h`` lies below ``share``: ahead of a small ordered sample, it bounds what the
+    tasks send in together, however many they are."""
+    return F.lit(True) if share >= 1 else F.shiftrightunsigned(F.col(h), 11).cast("double") / float(1 << 53) < share
+
+
 def arrow_batches(batches: Iterator[pa.RecordBatch], rows: int) -> Iterator[pa.RecordBatch]:
     """The same rows in batches of at most ``rows``: bounds what a task holds as Python objects."""
     for b in batches:

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from casework.llm.common import arrow_batches, column, map_arrow, materialize, positions, texts_of
+from casework.llm.common import about, arrow_batches, column, map_arrow, materialize, positions, texts_of
 from casework.llm.near_dedup import document_words, mix
 
 BUCKETS = 10_000
@@ -64,7 +64,9 @@ def resample(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
         .filter("doc_id IS NOT NULL AND q IS NOT NULL").groupBy("doc_id").agg(F.max("q").alias("q"))
     named = materialize(named, "labels")
     known, fine = named.agg(F.count(F.lit(1)), F.count_if(F.col("q") == 1)).first()
-    good = named.filter("q = 1").orderBy(F.xxhash64(F.lit(seed), "doc_id"), "doc_id").limit(target_rows) \
+    good = named.filter("q = 1").withColumn("h", F.xxhash64(F.lit(seed), "doc_id")) \
+        .filter(about("h", 2 * target_rows / max(1, fine)) if fine > 4 * target_rows else F.lit(True)) \
+        .orderBy("h", "doc_id").limit(target_rows) \
         .select("doc_id", F.lit(True).alias("good"))
     text = column(docs, text_col)
     d = docs.select(column(docs, id_col).alias("doc_id"), text.alias("text"))

@@ -148,9 +148,9 @@ def top_k(embeddings: DataFrame, queries: Column, id_col: str = "vec_id", vector
     rows = vectors(embeddings, id_col, vector_col)
     norm = F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, c: a + c.cast("double") * c)).alias("norm")
     rows = rows.select("id", "v", norm).repartitionByRange(F.desc("norm")).sortWithinPartitions(F.desc("norm"), "id")
-    rows = materialize(rows, "vectors")
+    rows = materialize(rows.withColumn("part", F.spark_partition_id()), "vectors")
     out = "query_id long, vec_id long, score long"
-    dim = rows.agg(F.max(F.size("v"))).first()[0]
+    dim, longest = rows.agg(F.max(F.size("v")), F.min("part")).first()
     if dim is None:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
     dim = max(1, dim)
@@ -161,7 +161,8 @@ def top_k(embeddings: DataFrame, queries: Column, id_col: str = "vec_id", vector
         lists = t.column("v").combine_chunks()
         return t.column("id").to_numpy(), matrix(lists if isinstance(lists, pa.Array) else lists.chunk(0), dim) if t.num_rows else np.zeros((0, dim), np.int64)
 
-    long_id, long_v = local(rows.orderBy(F.desc("norm"), "id").limit(seeds))
+    # the longest vectors lie in the first partition alone
+    long_id, long_v = local(rows.filter(F.col("part") == longest).orderBy(F.desc("norm"), "id").limit(seeds))
     # query blocks of a known size: ids dealt by hash into as many blocks as the count asks for
     wanted = rows.filter(queries).select("id", "v")
     blocks = -(-wanted.count() // query_block)
