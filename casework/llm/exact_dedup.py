@@ -58,7 +58,7 @@ def copy_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     rows = rows.withColumn("h", F.xxhash64("digest"))
     # candidates: at most ``counters`` rows; a digest above rows/(counters+1) is in the summary of some partition
     hot = map_arrow(rows.select("h"), summaries(counters), "h long, n long") \
-        .groupBy("h").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "h").limit(counters).select("h")
+        .groupBy("h").agg(F.sum("n").alias("n")).filter("n > 1").orderBy(F.desc("n"), "h").limit(counters).select("h")
     best = F.max(F.struct("doc_id", "row_hash", "rid")).alias("best")
     size = F.count(F.lit(1)).alias("group_size")
     winners = rows.join(F.broadcast(hot), "h", "left_semi").groupBy("digest").agg(best, size).filter("group_size > 1")
