@@ -2,8 +2,8 @@
 
 The reference is batch-only. Every fitted stage's ``transform`` is a stateless ``select`` whose
 fitted constants are literals, so the same fitted stages score new case files as they land:
-``readStream`` over a folder → stateless transforms → ``foreachBatch`` sink (idempotent per
-epoch through the checkpoint location). Stages that need whole-table order or fits (P4, W1,
+``readStream`` over a folder → stateless transforms → the Parquet file sink (exactly once, by its log and the
+checkpoint location). Stages that need whole-table order or fits (P4, W1,
 P10's fit, encoders' fits) are not re-run on the stream.
 """
 
@@ -33,10 +33,8 @@ def apply_stages(df: DataFrame, stages: Sequence[Callable[[DataFrame], DataFrame
 
 
 def write_scored(df: DataFrame, out_path: str, checkpoint: str, once: bool = True) -> StreamingQuery:
-    """Append each micro-batch to Parquet; the checkpoint makes restarts exactly-once per epoch."""
-    def sink(batch: DataFrame, epoch: int) -> None:
-        batch.write.mode("append").parquet(out_path)
-
-    w = df.writeStream.foreachBatch(sink).option("checkpointLocation", checkpoint)
+    """Write the stream through Spark's Parquet file sink, whose log of committed files makes a replayed
+    micro-batch count once for every reader of ``out_path``."""
+    w = df.writeStream.format("parquet").option("path", out_path).option("checkpointLocation", checkpoint).outputMode("append")
     w = w.trigger(availableNow=True) if once else w.trigger(processingTime="30 seconds")
     return w.start()
