@@ -178,13 +178,20 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     text, lang = column(docs, text_col), column(docs, lang_col).cast("string")
     rows = docs.filter(fold(column(docs, id_col)) != 1).filter(lang.isNotNull() & text.rlike(r"\p{L}")) \
         .select(lang.alias("lang"), text.alias("text"), F.xxhash64(F.lit(seed), column(docs, id_col).cast("string"), text).alias("h"))
-    counts = rows.groupBy("lang").count().count()  # languages are few; the count alone comes back
+    counts = rows.groupBy("lang").count().collect()  # one row per language, as the network has outputs
     if not counts:
         return None
-    w = Window.partitionBy("lang").orderBy("h", "text")
+    each = max(8, train_rows // len(counts))
+    # rows whose hash lies below a share that leaves about four times as many as wanted: texts of a language
+    # that holds most rows do not all meet in the task that ranks it; the shares came from the driver, a row a language
+    share = docs.sparkSession.createDataFrame([(r["lang"], min(1.0, 4.0 * each / r["count"]) if r["count"] > 4 * each else 1.0) for r in counts],
+                                              "lang string, share double")
+    u = F.shiftrightunsigned("h", 11).cast("double") / float(1 << 53)
     at = F.pmod("h", F.greatest(F.lit(1), F.length("text") - STRETCH)).cast("int") + 1
-    sample = rows.withColumn("n", F.row_number().over(w)).filter(F.col("n") <= max(8, train_rows // counts)) \
-        .select("lang", "h", F.substring("text", at, F.lit(STRETCH)).alias("text")).orderBy("lang", "h").collect()
+    few = rows.join(F.broadcast(share), "lang").filter((F.col("share") >= 1) | (u < F.col("share"))) \
+        .select("lang", "h", F.substring("text", at, F.lit(STRETCH)).alias("text"))
+    w = Window.partitionBy("lang").orderBy("h", "text")
+    sample = few.withColumn("n", F.row_number().over(w)).filter(F.col("n") <= each).orderBy("lang", "h").collect()
     langs = sorted({r.lang for r in sample})
     x, n, owner = windows([r.text.encode("utf-8", "surrogatepass") for r in sample])
     y = np.array([langs.index(r.lang) for r in sample])[owner]
