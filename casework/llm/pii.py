@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from casework.llm.common import arrow_batches, column, map_arrow, texts_of
+from casework.llm.common import about, arrow_batches, column, map_arrow, texts_of
 
 KINDS = ("email", "ip", "card", "phone")
 LABELS = ("O", *(f"{p}-{k}" for k in KINDS for p in "BI"))
@@ -270,9 +270,10 @@ def join(spans: list[Span]) -> str:
 def labelled_sample(docs: DataFrame, text_col: str = "text", train_rows: int = 800, seed: int = 5) -> list[tuple[str, str]]:
     """The bounded table that the field is trained on where none is given."""
     t = column(docs, text_col)
-    rows = docs.select(t.alias("text")).filter(F.col("text").rlike("[0-9@]")) \
-        .select(F.xxhash64(F.lit(seed), "text").alias("h"),
-                F.col("text").substr(F.greatest(F.lit(1), F.regexp_instr("text", F.lit("[0-9@]")) - STRETCH // 4), F.lit(STRETCH)).alias("text")) \
+    rows = docs.select(t.alias("text")).filter(F.col("text").rlike("[0-9@]")).withColumn("h", F.xxhash64(F.lit(seed), "text"))
+    total = rows.count()
+    rows = rows.filter(about("h", 4 * train_rows / max(1, total)) if total > 8 * train_rows else F.lit(True)) \
+        .select("h", F.col("text").substr(F.greatest(F.lit(1), F.regexp_instr("text", F.lit("[0-9@]")) - STRETCH // 4), F.lit(STRETCH)).alias("text")) \
         .orderBy("h", "text").limit(train_rows).collect()
     return [(r.text, join(base_spans(r.text)[0])) for r in rows]
 
