@@ -82,15 +82,15 @@ def mixture(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sou
     sums = sums.withColumn("before", F.coalesce(F.sum("words").over(w), F.lit(0)))
     cut = sums.filter((F.col("before") < F.col("rest")) & (F.col("before") + F.col("words") >= F.col("rest"))) \
         .select("position", F.col("bucket").alias("cut"), "before")
-    d = d.join(cut, "position", "left")  # at most one row per source
     base = F.col("passes") * F.col("size")
     cols = ["doc_id", "source", "u", "size", "source_size", "target"]
-    # without a cut the fractional pass is empty
-    far = d.filter(~F.col("bucket").eqNullSafe(F.col("cut"))) \
+    # without a cut the fractional pass is empty; the cut is at most one row per source
+    far = d.join(cut.select("position", "cut"), "position", "left").filter(~F.col("bucket").eqNullSafe(F.col("cut"))) \
         .select(*cols, (base + F.when(F.col("bucket") < F.col("cut"), F.col("size")).otherwise(0)).cast("long").alias("taken"))
+    # joined by source and bucket, so that a hot source is dealt out before its one bucket is sorted
+    here = d.join(cut.select("position", F.col("cut").alias("bucket"), "before"), ["position", "bucket"])
     w = Window.partitionBy("position").orderBy("u", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
-    near = d.filter(F.col("bucket").eqNullSafe(F.col("cut"))) \
-        .withColumn("missing", F.col("rest") - F.col("before") - F.coalesce(F.sum("size").over(w), F.lit(0)))
+    near = here.withColumn("missing", F.col("rest") - F.col("before") - F.coalesce(F.sum("size").over(w), F.lit(0)))
     extra = F.when(F.col("missing") <= 0, 0).when(F.col("missing") >= F.col("size"), F.col("size"))
     extra = extra.otherwise(F.when(2 * F.col("missing") >= F.col("size"), F.col("size")).otherwise(0)
                             if whole_documents else F.col("missing"))
