@@ -21,7 +21,7 @@ _P = "!\"#$%&()*+,./:;<=>?@\\[\\]^_`{|}~-"
 #: are the pre-tokens of either tokenizer, and stable under NFC.
 _SIMPLE = re.compile(f"[{_L}{_P}](?:[{_L}{_P}]|\n(?=[{_L}{_P}]))*").fullmatch
 _PIECES = re.compile(f"[{_L}]+|[{_P}]+|\n").findall
-UNITS = 300_000
+UNITS = 360_000
 
 
 def byte_symbols() -> dict[int, str]:
