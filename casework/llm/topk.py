@@ -4,8 +4,9 @@ Components become integers floor(256 x). All vectors are rotated into the eigenv
 (the right singular vectors of the data), so that the first HEAD coordinates carry most of an inner product. Vectors are
 range-partitioned and sorted by descending length. A task reads its vectors in blocks and keeps, per query, the k best
 so far, starting from the scores against a few of the longest vectors. By Cauchy-Schwarz a query skips a block whose
-longest vector cannot reach its k-th score, and a task ends when no query can go on; else only the pairs whose head sum
-plus the product of the residual lengths reaches it are scored, exactly, in integers. Pruning changes no result.
+longest vector cannot reach its k-th score; a task reads on, as the files it holds need not follow each other in length.
+Else only the pairs whose head sum plus the product of the residual lengths reaches it are scored, exactly, in integers.
+Pruning changes no result.
 
 Queries are taken in blocks of ``query_block`` rows, a bounded broadcast each; every block meets all vectors.
 
@@ -104,7 +105,7 @@ def search(rot: np.ndarray, qid: np.ndarray, q: np.ndarray, floor: np.ndarray, k
             slack = 1e-9 * (1 + length * own.max())
             live = order[(length * own.max() + slack >= reach)[order]]
             if not len(live):
-                break  # vectors only get shorter
+                continue  # a task reads several files, so longer vectors may follow
             tv = v @ rot
             v_rest = np.sqrt((tv[:, head:] ** 2).sum(axis=1))
             for at in range(0, len(live), 256):

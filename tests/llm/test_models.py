@@ -143,6 +143,29 @@ def test_top_k_equals_brute_force(spark, spread):
         assert {tuple(x) for x in got.collect()} == brute_top(rows)
 
 
+def test_top_k_of_many_files_in_few_tasks(spark, monkeypatch):
+    from pyspark.sql import functions as F
+    # long vectors make small files (one component each), which a task reads after the large files of short ones
+    r = np.random.default_rng(11)
+    size = np.sort(r.lognormal(0, 2, 2400))
+    x = r.normal(size=(2400, 24)) / 24 ** 0.5 * size[:, None]
+    for i in range(1200, 2400):
+        x[i] = np.eye(24)[r.integers(24)] * r.choice([-1, 1]) * size[i]
+    rows = [(i, v.tolist()) for i, v in zip(r.permutation(2400).tolist(), x)]
+    d = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(4)
+    conf = {"spark.sql.shuffle.partitions": "24", "spark.sql.adaptive.coalescePartitions.enabled": "false", "spark.sql.files.minPartitionNum": "1"}
+    before = {k: spark.conf.get(k, None) for k in conf}
+    monkeypatch.setattr(topk, "BLOCK", 64)
+    try:
+        for k, v in conf.items():
+            spark.conf.set(k, v)
+        got = {tuple(t) for t in topk.top_k(d, F.col("id") % 50 == 0, seeds=16).collect()}
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v) if v is not None else spark.conf.unset(k)
+    assert got == brute_top(rows)
+
+
 def test_top_k_of_few_and_large(spark):
     from pyspark.sql import functions as F
     d = spark.createDataFrame([(0, [3e5, 1.0]), (1, [2e7, -5.0]), (2, [1.5, 2.5])], "vec_id long, embedding array<double>")
