@@ -3,6 +3,7 @@
 A text is cut only where the tokenizer itself always cuts: before a space that follows a character which is
 not white space. The ids of the units in order are the ids of the text, so each distinct unit is encoded once
 per worker while it stays in memory. The memory holds two generations of bounded size, which changes the speed and never the ids.
+A text that holds the string of an added token (``<|endoftext|>``) is encoded as a whole by the library.
 """
 
 from __future__ import annotations
@@ -32,14 +33,15 @@ def byte_symbols() -> dict[int, str]:
 
 
 class Encoder:
-    """``encode(text)``: the ids as little-endian unsigned 32-bit integers. Special tokens' strings in a
-    text count as ordinary text. ``spaced``: a unit's ids depend on the space before it (byte-level files);
-    else white space is dropped and letters are lower-cased (word files)."""
+    """``encode(text)``: the ids as little-endian unsigned 32-bit integers, those of the library's plain call without
+    special tokens added around the text; an added token's string inside a text becomes that token's id, as there.
+    ``spaced``: a unit's ids depend on the space before it (byte-level files); else white space is dropped and
+    letters are lower-cased (word files)."""
 
     def __init__(self, path: str, spaced: bool, units: int = UNITS):
         from tokenizers import Tokenizer
         self.tok = Tokenizer.from_file(path)
-        self.tok.encode_special_tokens = True
+        self.added = [t.content for t in self.tok.get_added_tokens_decoder().values()]
         self.model, self.spaced, self.units = self.tok.model, spaced, units
         self.symbols = byte_symbols()
         self.packed = [i.to_bytes(4, "little") for i in range(self.tok.get_vocab_size())]
@@ -50,6 +52,9 @@ class Encoder:
     def whole(self, text: str) -> bytes:
         return b"".join(map(self.packed.__getitem__, self.tok.encode(text, add_special_tokens=False).ids))
 
+    def _holds_added(self, text: str) -> bool:
+        return any(t in text for t in self.added)
+
     def _piece(self, piece: str, first: bool) -> tuple[bytes, bool]:
         """Ids of one pre-token, and whether it was known."""
         key = piece
@@ -90,6 +95,8 @@ class Encoder:
         return ids
 
     def encode(self, text: str) -> bytes:
+        if self._holds_added(text):
+            return self.whole(text)
         if len(self.known) + len(self.inner) > self.units:
             self.old, self.known, self.inner = (self.known, self.inner), {}, {}
         first = b""
@@ -100,7 +107,10 @@ class Encoder:
         else:
             try:
                 text.encode("latin-1")
-                text = text.lower()
+                low = text.lower()
+                if self._holds_added(low):
+                    return self.whole(text)  # lower-casing must not make an added token
+                text = low
             except UnicodeEncodeError:
                 pass  # the tokenizer normalises units outside Latin-1 itself
             units = text.split(" ")

@@ -34,6 +34,23 @@ def test_ids_of_awkward_texts(path, text):
         assert np.frombuffer(ENC[path].encode(text), "<u4").tolist() == plain(path, text)
 
 
+@pytest.mark.parametrize("path", [BYTE, WORD])
+@pytest.mark.parametrize("text", ["a<|endoftext|>b", "<|endoftext|>", "one <|endoftext|> two  three", "é<|endoftext|> 中<|startoftext|>x", "A<|ENDOFTEXT|>b",
+                                  "a<|EndOfText|> <|endoftext|>", "<|endoftext |> <|endoftext", "a\n<|startoftext|>\n b"])
+def test_added_tokens_in_a_text_as_in_a_fresh_tokenizer(path, text):
+    fresh = Tokenizer.from_file(path)
+    for t in (text, text + " x", "don't " + text):
+        for _ in range(2):
+            assert np.frombuffer(ENC[path].encode(t), "<u4").tolist() == fresh.encode(t, add_special_tokens=False).ids
+
+
+def test_one_id_for_an_added_token(spark):
+    d = spark.createDataFrame([(1, "a<|endoftext|>b"), (2, "c")], "doc_id long, text string")
+    got = {r.doc_id: r for r in orc_ids.round_trip(d, BYTE).collect()}
+    assert got[1].n_tokens == 4 and got[2].start == 4  # 64, 50256, 65 and the end
+    assert [r.length for r in packing.packed(d, WORD).collect() if r.doc_id == 1] == [4]
+
+
 def test_orc_round_trip(spark, docs, empty, tmp_path):
     out = orc_ids.write_ids(docs, str(tmp_path / "ids"), BYTE)
     rows = orc_ids.read_ids(spark, out).collect()
