@@ -41,21 +41,10 @@ def _labelled(spark, d):
     return t, feats
 
 
-# Grid of the registered query: small enough for the per-round check; the full reference grid is
-# ``search.default_specs()``.
-def query_specs(seed: int = 42):
-    from pyspark.ml.classification import GBTClassifier
-    return [
-        search.ModelSpec("RandomForestClassifier", RandomForestClassifier(seed=seed),
-                         {"numTrees": [50], "maxDepth": [3, 5], "featureSubsetStrategy": ["sqrt"]}, balanced=True),
-        search.ModelSpec("GBTClassifier", GBTClassifier(seed=seed), {"maxIter": [20], "maxDepth": [3], "stepSize": [0.1]}),
-    ]
-
-
 @query("grid_search")
 def q_grid_search(spark, d):
     t, feats = _labelled(spark, d)
-    best, results = search.grid_search(t, feats, query_specs(), parallelism=4)
+    best, results = search.grid_search(t, feats, search.default_specs(), parallelism=4)
     rows = None
     for r in results:
         m = r.metrics.withColumn("selected", F.lit(r.name == best.name))
@@ -124,7 +113,7 @@ def q_stump(spark, d):
 def q_boruta(spark, d):
     from casework.operators.boruta import boruta
     t, feats = _labelled(spark, d)
-    res = boruta(t, feats, "label", max_iter=12, num_trees=50)
+    res = boruta(t, feats, "label", max_iter=100, num_trees=None)
     return res.to_frame(spark)
 
 
