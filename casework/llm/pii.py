@@ -2,18 +2,19 @@
 
 Four base patterns (e-mail, IP address, payment card, phone) are searched in every whole text; matches that fail
 their check (octets, Luhn, number of digits) are dropped. The field then reads the stretches of a text that
-hold a digit or an @: a chunk between white space without either is outside by definition, so it cuts the
+hold a digit, an @ or a mask (****, XXXX): another chunk between white space is outside by definition, so it cuts the
 chain, and decoding each stretch alone is exact Viterbi decoding of the whole text. Its spans are added where
 they do not overlap a base span.
 
 The field's features are token shapes (letters, digits with their number, single signs) of a token and its
-neighbours, the space before it, and whether it lies in a match that failed its check. It is trained by
-gradient ascent on a small labelled table (text, spans as ``kind:start:end,...``); without one, at most
-``train_rows`` documents of smallest seeded hash among those with a digit or an @ are labelled by the base
-patterns, in a stretch of at most STRETCH characters around the first such sign.
+neighbours, the space before it, whether it lies in a match that failed its check, its place in a card-like
+run of groups with a valid check digit inside such a match, and the kind of the nearest telling word before and
+after, also outside the stretch (``call``, ``card``, ``order``). It is trained by gradient ascent on a small labelled
+table (text, spans as ``kind:start:end,...``); without one, on the table of ``pii_table``, which holds cases outside the
+base patterns and hard negatives. An added span must be plausible for its kind (check digit, number of digits).
 
 Defined results: null text counts as empty and has no spans; repeated rows give repeated results; an empty table
-gives an empty table; a corpus without any labelled span adds none; other columns play no part.
+gives an empty table; a labelled table without any span adds none; other columns play no part.
 """
 
 from __future__ import annotations
@@ -21,19 +22,20 @@ from __future__ import annotations
 import hashlib
 import re
 import zlib
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
-from casework.llm.common import about, arrow_batches, column, map_arrow, texts_of
+from casework.llm import pii_table
+from casework.llm.common import arrow_batches, column, map_arrow, texts_of
 
 KINDS = ("email", "ip", "card", "phone")
 LABELS = ("O", *(f"{p}-{k}" for k in KINDS for p in "BI"))
 BUCKETS = 4096
-STRETCH = 8192
 STEP = 512
 Span = tuple[int, int, int]  # start, end, kind
 
@@ -44,7 +46,16 @@ _IP = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}")
 _CARD = re.compile(r"(?<![0-9])[0-9](?:[ -]?[0-9])++")
 _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 _SIGN = re.compile("[0-9@]")
-_CHUNK = re.compile(r"\S+")
+_PART = re.compile(r"[0-9@]|[*•]{4}|(?<![^\W_])[xX]{4}(?![^\W_])")
+_CHUNK = re.compile(r"[\w.+-]++ @ [\w-]++(?:\.[\w-]++)+|\S+")
+_WORD = re.compile(r"[^\W\d_]+")
+#: Telling words by what they announce: phones, cards, other numbers.
+CUES = {w: c for c, words in {
+    "P": "call phone tel telephone mobile fax ring whatsapp cell telefon teléfono téléphone",
+    "C": "card visa mastercard amex paid karte tarjeta carte",
+    "N": "order invoice part no isbn page item ticket version serial sku ref id"}.items() for w in words.split()}
+#: Groups of digits that cards are written in.
+CARDS = frozenset({"16", "15", "14", "19", "4-4-4-4", "4-6-5", "4-6-4", "4-4-4-4-3"})
 _TOKEN = re.compile(r"[^\W\d_]+|[0-9]+|\S")
 
 
@@ -97,10 +108,10 @@ def base_spans(text: str) -> tuple[list[Span], list[tuple[int, int]]]:
 
 
 def stretches(text: str) -> Iterator[tuple[int, int]]:
-    """Runs of neighbouring chunks that each hold a digit or an @."""
+    """Runs of neighbouring chunks that each hold a digit, an @ or a mask."""
     start = end = -1
     for m in _CHUNK.finditer(text):
-        if _SIGN.search(m.group()):
+        if _PART.search(m.group()):
             if start < 0:
                 start = m.start()
             end = m.end()
@@ -116,22 +127,67 @@ def _shape(token: str) -> str:
     if c.isdigit() and c.isascii():
         return f"d{min(len(token), 20)}"
     if c.isalpha():
+        if token in ("xxxx", "XXXX"):
+            return "x4"
         return ("A" if token.isupper() else "a") + str(min(len(token), 3))
     return c if c.isascii() else "?"
 
 
+def card_marks(text: str, at: list[tuple[int, int]], failed: list[bool]) -> list[str]:
+    """Per token its place in a run of groups that cards are written in, with a valid check digit, inside a failed match."""
+    out, i = ["-"] * len(at), 0
+    while i < len(at):
+        found, sizes, digits, j = None, [], "", i
+        while j < len(at) and failed[j] and text[at[j][0]].isascii() and text[at[j][0]].isdigit():
+            digits += text[at[j][0]:at[j][1]]
+            if len(digits) > 19:
+                break
+            sizes.append(str(at[j][1] - at[j][0]))
+            form = "-".join(sizes)
+            if form in CARDS and luhn(digits):
+                found = found or (j + 1, form)
+            if j + 2 < len(at) and text[at[j + 1][0]] == "-":
+                j += 2
+            else:
+                j += 1
+        if found:
+            kind = found[1] + ("i" if text[at[i][0]] in "3456" else "o")
+            out[i:found[0]] = ["B" + kind] + ["I" + kind] * (found[0] - i - 1)
+            i = found[0]
+        else:
+            i += 1
+    return out
+
+
+def cues(text: str, at: list[tuple[int, int]], start: int, end: int) -> tuple[list[str], str]:
+    """Per token the kind of the nearest telling word before it, and that of the first two words after the stretch."""
+    def kind(words: list[str]) -> str:
+        return next((CUES[w] for w in words if w in CUES), "?")
+    cue, before = kind([w.lower() for w in _WORD.findall(text[max(0, start - 48):start])][:-5:-1]), []
+    for i, j in at:
+        cue = CUES.get(text[i:j].lower(), cue)
+        before.append(cue)
+    return before, kind([w.lower() for w in _WORD.findall(text[end:end + 32])][:2])
+
+
 def tokens(text: str, start: int, end: int, bad: list[tuple[int, int]]) -> tuple[list[tuple[int, int]], np.ndarray]:
     """Tokens of a stretch and the numbers of their features."""
     at = [m.span() for m in _TOKEN.finditer(text, start, end)]
+    inside, starts, ends = [False] * len(at), [i for i, _ in at], [j for _, j in at]
+    for x, y in bad:
+        for k in range(bisect_right(ends, x), bisect_left(starts, y)):
+            inside[k] = True
+    marks, (before, after) = card_marks(text, at, inside), cues(text, at, start, end)
     shapes = ["^^", "^", *(_shape(text[i:j]) for i, j in at), "$", "$$"]
     rows = []
     for k, (i, j) in enumerate(at):
         two, one, own, nxt, far = shapes[k:k + 5]
         gap = "_" if k and at[k - 1][1] < i else ""
-        failed = any(x < j and i < y for x, y in bad)
+        failed = inside[k]
         rows.append([zlib.crc32(f.encode()) % BUCKETS for f in (
             f"0{own}", f"1{gap}{own}", f"2{one}{gap}{own}", f"3{own}{nxt}", f"4{two}{one}{gap}{own}", f"5{own}{nxt}{far}",
-            f"6{one}", f"7{nxt}", f"8{failed}{own[0]}", f"9{failed}")])
+            f"6{one}", f"7{nxt}", f"8{failed}{own[0]}", f"9{failed}",
+            f"c{marks[k]}", f"p{before[k]}", f"q{before[k]}{own}", f"r{before[k]}{one}{gap}{own}{nxt}", f"n{after}{own[0]}")])
     return at, np.array(rows, np.int32).reshape(len(at), -1)
 
 
@@ -267,15 +323,19 @@ def join(spans: list[Span]) -> str:
     return ",".join(f"{KINDS[k]}:{s}:{e}" for s, e, k in sorted(spans, key=lambda s: (s[0], s[2])))
 
 
-def labelled_sample(docs: DataFrame, text_col: str = "text", train_rows: int = 800, seed: int = 5) -> list[tuple[str, str]]:
-    """The bounded table that the field is trained on where none is given."""
-    t = column(docs, text_col)
-    rows = docs.select(t.alias("text")).filter(F.col("text").rlike("[0-9@]")).withColumn("h", F.xxhash64(F.lit(seed), "text"))
-    total = rows.count()
-    rows = rows.filter(about("h", 4 * train_rows / max(1, total)) if total > 8 * train_rows else F.lit(True)) \
-        .select("h", F.col("text").substr(F.greatest(F.lit(1), F.regexp_instr("text", F.lit("[0-9@]")) - STRETCH // 4), F.lit(STRETCH)).alias("text")) \
-        .orderBy("h", "text").limit(train_rows).collect()
-    return [(r.text, join(base_spans(r.text)[0])) for r in rows]
+def plausible(text: str, kind: int) -> bool:
+    """Whether an added span can be of its kind."""
+    if kind == 0:
+        local, _, domain = text.replace(" ", "").partition("@")
+        return any(c.isalpha() for c in local) and bool(re.fullmatch(r"[\w-]+(\.[\w-]+)*\.[^\W\d_]{2,}", domain))
+    if kind == 1:
+        parts = re.findall("[0-9]+", text)
+        return len(parts) == 4 and _octets(".".join(parts))
+    digits = re.sub("[^0-9]", "", text)
+    if kind == 2:
+        masked = len(re.sub("[^*•xX]", "", text))
+        return 14 <= len(digits) + masked <= 19 and (len(digits) >= 4 and masked >= 6 if masked else luhn(digits))
+    return 10 <= len(digits) <= 15
 
 
 def train(labelled: list[tuple[str, str]], most_tokens: int = 80, most: int = 1500) -> Field | None:
@@ -291,6 +351,12 @@ def train(labelled: list[tuple[str, str]], most_tokens: int = 80, most: int = 15
     return Field().fit(feats, labels) if any(l.any() for l in labels) else None
 
 
+@lru_cache(maxsize=1)
+def registered_field() -> Field | None:
+    """The field of the table kept in the repository; the table is constant, so it is trained once a process."""
+    return train(pii_table.rows())
+
+
 def find(texts: list[str], field: Field | None) -> list[tuple[list[Span], list[Span]]]:
     """Base spans and added spans of each text."""
     out, todo, feats = [], [], []
@@ -308,7 +374,7 @@ def find(texts: list[str], field: Field | None) -> list[tuple[list[Span], list[S
     for (k, at), path in zip(todo, field.decode(feats) if feats else ()):
         base, more = out[k]
         for s, e, kind in spans_of(path, at):
-            if not any(a < e and s < b for a, b, _ in base):
+            if plausible(texts[k][s:e], kind) and not any(a < e and s < b for a, b, _ in base):
                 more.append((s, e, kind))
     return out
 
@@ -335,6 +401,6 @@ def personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     if labelled is not None:
         table = [(r.text or "", r.spans or "") for r in labelled.select("text", "spans").limit(train_rows).collect()]
     else:
-        table = labelled_sample(docs, text_col, train_rows)
+        table = None
     d = docs.select(column(docs, id_col).cast("long").alias("doc_id"), column(docs, text_col).alias("text"))
-    return map_arrow(d, annotate(train(table)), RESULT)
+    return map_arrow(d, annotate(registered_field() if table is None else train(table)), RESULT)

@@ -57,6 +57,20 @@ def test_field_learns_and_adds_spans(spark):
     assert got[3].base_sha256 == "e3b0c44298fc1c149afbf4c8996fb92427ae41e4649b934ca495991b7852b855"
 
 
+def test_registered_field_adds_cases_outside_the_base_patterns(spark):
+    cards = "4465758382889437", "4111 1111 1111 1111", "5500005555555559"
+    found = {1: f"total {cards[0]} {cards[0]} ramiar", 2: f"paid {cards[1]} {cards[2]} then left", 3: "call us at 555-123-4567 today",
+             4: "phone: 030 12345678, then", 5: "visa 4111 **** **** 1111 used", 6: "write bo @ mail.org now"}
+    want = {1: (2, 2), 2: (2, 2), 3: (3, 1), 4: (3, 1), 5: (2, 1), 6: (0, 1)}
+    clean = {20: "order 555-123-4567 came", 21: "in 1990 1991 1992 1993 1994 1995 it rose", 22: "it was 4465758382889438 4465758382889438 once",
+             23: "12 @ 3.50 each", 24: "rated ***** 5 of 5", 25: "page 123 456 7890", 26: "10.5 20.5 30.5 40.5 50.5", 27: "call 911 now", 28: ""}
+    d = spark.createDataFrame(list((found | clean).items()), "doc_id long, text string")
+    got = {r.doc_id: r for r in pii.personal_data(d).collect()}
+    assert {i: (k, got[i][f"n_{pii.KINDS[k]}"]) for i, (k, _) in want.items()} == want
+    assert got[1].spans == "card:6:22,card:23:39" and got[1].n_added == 2
+    assert [got[i].spans for i in clean] == [""] * len(clean)
+
+
 def test_personal_data_of_the_tables(spark, docs, empty):
     d = spark.read.parquet(f"{SF_SMALL}/documents.parquet")
     got = {r.doc_id: r.spans for r in pii.personal_data(d).collect()}
