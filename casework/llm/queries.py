@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from casework.llm import exact_dedup, lang_id, mixing, near_dedup, orc_ids, packing, pii, resampling, sharding, topk
+from casework.llm import alignment, exact_dedup, lang_id, mixing, near_dedup, orc_ids, packing, pii, resampling, sharding, topk
 from casework.llm.common import table
 
 QUERIES, ORACLES = {}, {}
@@ -117,3 +117,8 @@ def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op9_resampling")
 def op9_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return resampling.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@query("op13_alignment")
+def op13_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.alignment(table(spark, sf_dir, "documents"), tokenizer_file("byte_bpe_50k.json"), tokenizer_file("piece_bpe_32k.model"))
