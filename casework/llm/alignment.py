@@ -34,15 +34,16 @@ from casework.llm.tokens import byte_symbols
 #: A unit starts at a space that follows a character which is no white space; neither tokenizer has a token over such a place.
 _CUT = re.compile(r"(?<![\s᠎​])(?= )")
 _RUN = r"[\t-\r\x1c-\x20\x{85}\x{a0}\x{1680}\x{180e}\x{2000}-\x{200b}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}] "
-#: Units of Latin-1 letters and digits and ASCII punctuation: any engine of the pre-tokens' pattern cuts them alike.
-_PLAIN = re.compile(r"[!-~À-ÖØ-öø-ÿ]+").fullmatch
+#: Units of Latin-1 letters, digits, ASCII punctuation and single line ends inside: any engine of the pre-tokens' pattern
+#: cuts them alike.
+_PLAIN = re.compile(r"[!-~À-ÖØ-öø-ÿ]+(?:\n[!-~À-ÖØ-öø-ÿ]+)*").fullmatch
 _PATTERN = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 #: Units remembered by a worker, and the longest remembered one.
-UNITS, UNIT_CHARS = 400_000, 64
+UNITS, UNIT_CHARS = 300_000, 64
 #: Units encoded in one call.
 STEP_UNITS = 1024
 #: Text bytes per step and partial counts held per task.
-STEP_BYTES, HELD_PAIRS = 1 << 20, 1 << 19
+STEP_BYTES, HELD_PAIRS = 1 << 19, 1 << 18
 LINKS = ("kind int, row long, doc_id long, n_a long, n_b long, n_groups long, groups_sha256 string, links array<long>, counts array<long>")
 RESULT = "doc_id long, n_a long, n_b long, n_groups long, n_links long, n_best long, count_sum long, groups_sha256 string"
 
@@ -88,6 +89,7 @@ class Pair:
     def __init__(self, path_a: str, path_b: str):
         import os
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        pa.set_cpu_count(1)  # a task has one core
         import sentencepiece
         from tokenizers import Tokenizer
         self.a = Tokenizer.from_file(path_a)
@@ -101,6 +103,7 @@ class Pair:
         self.bytes_a, self.bytes_b = byte_level_tokens(self.a), piece_tokens(self.b)
         self.len_a = pa.array(list(map(len, self.bytes_a)), pa.int32())
         self.len_b = pa.array(list(map(len, self.bytes_b)), pa.int32())
+        self.size_a, self.size_b = self.len_a.to_numpy(), self.len_b.to_numpy()
         self.words_a = pa.array(list(map(str, range(len(self.bytes_a)))))
         self.words_b = pa.array(list(map(str, range(len(self.bytes_b)))))
         self.forget()
@@ -124,10 +127,10 @@ class Pair:
             a = self.fast.encode_ordinary(" " + text) if plain else self.a.encode(" " + text, add_special_tokens=False).ids
             b = self.b.encode(text)
             if b"".join([self.bytes_a[i] for i in a]) == raw == b"".join([self.bytes_b[i] for i in b]):
-                ends = np.cumsum([len(u.encode()) + 1 for u in units])
-                for ids, lengths, lists in ((a, self.len_a, self.lists_a), (b, self.len_b, self.lists_b)):
-                    ids = np.array(ids, np.int32)
-                    upto = np.searchsorted(np.cumsum(lengths.to_numpy()[ids]), ends) + 1
+                ends = np.cumsum(pc.binary_length(pa.array(units)).to_numpy().astype(np.int64) + 1)
+                for ids, lengths, lists in ((a, self.size_a, self.lists_a), (b, self.size_b, self.lists_b)):
+                    ids = np.fromiter(ids, np.int32, len(ids))
+                    upto = np.searchsorted(np.cumsum(lengths[ids]), ends) + 1
                     lists.extend(ids, np.diff(upto, prepend=0))
                 self.good += [True] * len(units)
                 return
