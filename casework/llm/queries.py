@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from casework.llm import alignment, exact_dedup, lang_id, mixing, near_dedup, orc_ids, packing, pii, resampling, sharding, topk
+from casework.llm import alignment, conversations, exact_dedup, fingerprints, lang_id, mixing, near_dedup, orc_ids, packing, pii, resampling
+from casework.llm import sharding, topk
 from casework.llm.common import table
 
 QUERIES, ORACLES = {}, {}
@@ -122,3 +123,62 @@ def op9_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op13_alignment")
 def op13_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return alignment.alignment(table(spark, sf_dir, "documents"), tokenizer_file("byte_bpe_50k.json"), tokenizer_file("piece_bpe_32k.model"))
+
+
+@query("op11_fingerprints")
+def op11_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.edited_likeness(table(spark, sf_dir, "documents"))
+
+
+@query("op12_conversations", r"""
+WITH RECURSIVE src AS (
+  SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+         coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' ') AS k FROM conversations),
+-- CRC-32 by half bytes; the table holds its sixteen fixed values
+hit AS (
+  SELECT *, xor(4294967295, list_reduce(list_concat([4294967295], flatten([[('0x' || substr(hex(encode(k)), 2 * i, 1))::BIGINT,
+             ('0x' || substr(hex(encode(k)), 2 * i - 1, 1))::BIGINT] FOR i IN range(1, strlen(k) + 1)])),
+           lambda c, n: xor(c >> 4, [0, 498536548, 997073096, 651767980, 1994146192, 1802195444, 1303535960, 1342533948, 3988292384,
+                                  4027552580, 3604390888, 3412177804, 2607071920, 2262029012, 2685067896, 3183342108][(xor(c, n) & 15) + 1]))) % 20 AS d FROM src),
+hurt AS (
+  SELECT conv_id, turn, CASE WHEN d = 4 THEN 'user' ELSE role END AS role,
+         CASE d WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text, copy
+  FROM hit, (SELECT unnest([0, 1]) AS copy) WHERE d <> 0 AND (copy = 0 OR d = 3)),
+seq AS (
+  SELECT *, substr(role, 1, 1) AS i, row_number() OVER c AS pos,
+         CASE WHEN NOT regexp_matches(text, '[^\x20\x09-\x0D]') THEN 'blank'
+              WHEN row_number() OVER (PARTITION BY conv_id, role, text ORDER BY turn NULLS FIRST, copy) > 1 THEN 'duplicate'
+              WHEN NOT regexp_matches(text, '[.!?][\x20\x09-\x0D]*\z') THEN 'truncated' ELSE '' END AS fault,
+         lag(substr(role, 1, 1)) OVER c AS pi
+  FROM hurt WINDOW c AS (PARTITION BY conv_id ORDER BY turn NULLS FIRST, unhex(sha256(length(role) || ':' || role || text)), copy)),
+ids AS (SELECT conv_id, row_number() OVER () AS id FROM (SELECT DISTINCT conv_id FROM conversations)),
+rws AS (SELECT id, pos, i, role, text, fault FROM seq JOIN ids ON seq.conv_id IS NOT DISTINCT FROM ids.conv_id),
+-- states: 0 nothing yet, 1 after system, 2 after user, 3 after assistant; the cheapest insertions between them
+ins(s, t, letters, made) AS (VALUES (0, 0, '', ''), (0, 2, 'I', E'\nuser:'), (0, 3, 'II', E'\nuser:\nassistant:'), (1, 1, '', ''), (1, 2, 'I', E'\nuser:'),
+  (1, 3, 'II', E'\nuser:\nassistant:'), (2, 2, '', ''), (2, 3, 'I', E'\nassistant:'), (3, 3, '', ''), (3, 2, 'I', E'\nuser:')),
+act(s, t, letter, cost, need, says) AS (
+  SELECT s, s, 'D', 4, NULL, NULL FROM (VALUES (0), (1), (2), (3)) v(s)
+  UNION ALL SELECT s, 2, letter, cost, need, says FROM (VALUES (0), (1), (3)) v(s), (VALUES ('K', 0, 'u', NULL), ('R', 3, NULL, 'user')) e(letter, cost, need, says)
+  UNION ALL VALUES (2, 3, 'K', 0, 'a', NULL), (2, 3, 'R', 3, NULL, 'assistant'), (0, 1, 'K', 0, 's', NULL)),
+walk AS (
+  SELECT id, 0::BIGINT AS pos, 0 AS st, {'cost': 0::BIGINT, 'audit': '', 'made': ''} AS best FROM ids
+  UNION ALL
+  SELECT w.id, r.pos, a.t, min({'cost': best.cost + 3 * length(ins.letters) + a.cost + CASE WHEN a.letter <> 'D' AND r.fault = 'truncated' THEN 3 ELSE 0 END,
+                               'audit': best.audit || ins.letters || a.letter,
+                               'made': best.made || ins.made || CASE WHEN a.letter = 'D' THEN '' ELSE E'\n' || coalesce(a.says, r.role) || ':' || r.text END})
+  FROM walk w JOIN rws r ON r.id = w.id AND r.pos = w.pos + 1 JOIN ins ON ins.s = w.st JOIN act a ON a.s = ins.t
+       AND (a.letter = 'D' OR r.fault IN ('', 'truncated')) AND (a.need IS NULL OR a.need = r.i)
+  GROUP BY w.id, r.pos, a.t),
+top AS (SELECT id, coalesce(max(pos), 0) AS n FROM rws GROUP BY id),
+fin AS (
+  SELECT w.id, min({'cost': best.cost + 3 * length(ins.letters), 'audit': best.audit || ins.letters, 'made': best.made || ins.made}) AS best
+  FROM walk w LEFT JOIN top ON top.id = w.id JOIN ins ON ins.s = w.st AND ins.t IN (0, 3) WHERE w.pos = coalesce(top.n, 0) GROUP BY w.id),
+sums AS (
+  SELECT ids.id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0)::BIGINT AS gaps, count(*) FILTER (fault = 'blank') AS blank,
+         count(*) FILTER (fault = 'duplicate') AS duplicate, count(*) FILTER (fault = 'truncated') AS truncated,
+         count(*) FILTER (pos > 1 AND pi || i NOT IN ('su', 'ua', 'au')) AS illegal
+  FROM ids LEFT JOIN seq ON seq.conv_id IS NOT DISTINCT FROM ids.conv_id GROUP BY ids.id)
+SELECT ids.conv_id, gaps, blank, duplicate, truncated, illegal, best.cost AS cost, best.audit AS audit, sha256(substr(best.made, 2)) AS repaired_sha256
+FROM ids JOIN sums USING (id) JOIN fin USING (id)""")
+def op12_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversations.digests(conversations.damaged(table(spark, sf_dir, "conversations")))
