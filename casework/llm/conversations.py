@@ -311,21 +311,19 @@ _ROWS = "codes binary, row_turn array<long>, row_digest array<binary>, row_copy
 _TABLE = "table array<struct<entry: int, state: int, cost: long, audit: string>>"
 
 
-def _arrow(fields: str, conv_type: pa.DataType) -> pa.Schema:
+def _arrow(ddl: str) -> pa.Schema:
+    """The Arrow schema of a task's rows, made on the driver."""
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import StructType
-    s = to_arrow_schema(StructType.fromDDL(fields))
-    return pa.schema([pa.field("conv", conv_type), *s])
+    return to_arrow_schema(StructType.fromDDL(ddl))
 
 
-def segment_rows(size: int) -> Callable:
-    fields = f"part int, seq int, {_STATS}, {_TABLE}, {_ROWS}"
-
+def segment_rows(size: int, schema: pa.Schema) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
-        part, seq, memo, schema = TaskContext.get().partitionId(), 0, {}, None
+        part, seq, memo = TaskContext.get().partitionId(), 0, {}
         held: list[tuple] = []  # (turn, digest, copy, code) of the open segment
-        conv, opened, since, kept_any = None, False, 0, False
+        conv, opened, since, kept_any, previous = None, False, 0, False, None
         ready: list[dict] = []
 
         def cut() -> dict:
@@ -353,17 +351,17 @@ def segment_rows(size: int) -> Callable:
             return row
 
         for b in batches:
-            schema = schema or _arrow(fields, b.schema.field(0).type)
             for c, turn, digest, copy, gone, code in zip(*[x.to_pylist() for x in b.columns]):
                 if not opened or c != conv:
                     if opened:
                         ready.append(cut())
                         kept_any = True
-                    conv, opened, since = c, True, 0
+                    conv, opened, since, previous = c, True, 0, None
                 if gone:
                     continue
-                if held and held[-1][:2] == (turn, digest) and code % 4 != BLANK:
+                if previous == (turn, digest) and code % 4 != BLANK:
                     code = code // 4 * 4 + DUPLICATE  # equal rows lie side by side
+                previous = turn, digest
                 held.append((turn, digest, copy, code))
                 if len(held) == size:
                     ready.append(cut())
@@ -382,18 +380,19 @@ def segments(rows: DataFrame, size: int = SEGMENT) -> DataFrame:
     keys = [F.asc_nulls_first(c) for c in ORDER]
     k = k.repartitionByRange(*keys).sortWithinPartitions(*keys).select("conv", "turn", "digest", "copy", "gone", "code")
     kind = k.schema["conv"].dataType.simpleString()
-    return materialize(map_arrow(k, segment_rows(size), f"conv {kind}, part int, seq int, {_STATS}, {_TABLE}, {_ROWS}"), "conversation-segments")
+    ddl = f"conv {kind}, part int, seq int, {_STATS}, {_TABLE}, {_ROWS}"
+    return materialize(map_arrow(k, segment_rows(size, _arrow(ddl)), ddl), "conversation-segments")
 
 
 _RESULT = "gaps long, blank long, duplicate long, truncated long, illegal long, cost long, audit string"
 
 
-def chain_rows() -> Callable:
-    fields = f"kind int, part int, seq int, entry int, letters string, {_RESULT}"
-    cols = [c.split(":")[0].split()[0] for c in ("conv", "part", "seq", *_STATS.split(", "), "table")]
+_CHAINED = ["conv", "part", "seq", *[c.split()[0] for c in _STATS.split(", ")], "table"]
+
 
+def chain_rows(schema: pa.Schema) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        schema, opened, conv, chain, sums, places, ready = None, False, None, None, None, [], []
+        opened, conv, chain, sums, places, ready = False, None, None, None, [], []
 
         def done() -> list[dict]:
             cost, audit, pieces, ins = chain.close()
@@ -404,7 +403,6 @@ def chain_rows() -> Callable:
                      **{k: sums[k] for k in ("blank", "duplicate", "truncated", "illegal")}}, *out]
 
         for b in batches:
-            schema = schema or _arrow(fields, b.schema.field(0).type)
             for r in b.to_pylist():
                 if not opened or r["conv"] != conv:
                     if opened:
@@ -430,17 +428,17 @@ def chain_rows() -> Callable:
             ready += done()
         if ready:
             yield pa.RecordBatch.from_pylist(ready, schema)
-    run.columns = cols
     return run
 
 
 def audits(rows: DataFrame, size: int = SEGMENT) -> tuple[DataFrame, DataFrame]:
     """The written segments, and the chained results: rows of ``kind`` 0 per conversation, of ``kind`` 1 per segment."""
-    segs, fn = segments(rows, size), chain_rows()
+    segs = segments(rows, size)
     # segments, not rows, of a conversation meet in one task: some letters a row, as in the audit it returns
-    s = segs.select(*fn.columns).repartition("conv").sortWithinPartitions("conv", "part", "seq")
+    s = segs.select(*_CHAINED).repartition("conv").sortWithinPartitions("conv", "part", "seq")
     kind = segs.schema["conv"].dataType.simpleString()
-    return segs, materialize(map_arrow(s, fn, f"conv {kind}, kind int, part int, seq int, entry int, letters string, {_RESULT}"), "conversation-audits")
+    ddl = f"conv {kind}, kind int, part int, seq int, entry int, letters string, {_RESULT}"
+    return segs, materialize(map_arrow(s, chain_rows(_arrow(ddl)), ddl), "conversation-audits")
 
 
 def digest_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -497,27 +495,28 @@ def digests(rows: DataFrame, size: int = SEGMENT) -> DataFrame:
 _EDITS = "turn long, digest binary, copy int, part int, seq int, at int, state int, letters string"
 
 
-def edit_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def edit_rows(schema: pa.Schema) -> Callable:
     """Each row's letters (a conversation's closing insertions with its last row) and the state before, from its segment's."""
-    for b in batches:
-        schema = _arrow(_EDITS, b.schema.field(0).type)
-        for r in b.to_pylist():
-            out, at, state, letters = [], 0, r["entry"], r["letters"]
-            last = len(r["codes"]) - 1
-            for i, key in enumerate(zip(r["row_turn"], r["row_digest"], r["row_copy"])):
-                end = at
-                while letters[end] == "I":
-                    end += 1
-                end = len(letters) if i == last else end + 1
-                out.append({"conv": r["conv"], "turn": key[0], "digest": key[1], "copy": key[2], "part": r["part"], "seq": r["seq"], "at": i,
-                            "state": state, "letters": letters[at:end]})
-                for c in letters[at:end]:
-                    if c == "K" and INITIALS[r["codes"][i] // 4] == "s":
-                        state = SYSTEM
-                    elif c != "D":
-                        state = ASSISTANT if state == USER else USER
-                at = end
-            yield pa.RecordBatch.from_pylist(out, schema)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for r in b.to_pylist():
+                out, at, state, letters = [], 0, r["entry"], r["letters"]
+                last = len(r["codes"]) - 1
+                for i, key in enumerate(zip(r["row_turn"], r["row_digest"], r["row_copy"])):
+                    end = at
+                    while letters[end] == "I":
+                        end += 1
+                    end = len(letters) if i == last else end + 1
+                    out.append({"conv": r["conv"], "turn": key[0], "digest": key[1], "copy": key[2], "part": r["part"], "seq": r["seq"], "at": i,
+                                "state": state, "letters": letters[at:end]})
+                    for c in letters[at:end]:
+                        if c == "K" and INITIALS[r["codes"][i] // 4] == "s":
+                            state = SYSTEM
+                        elif c != "D":
+                            state = ASSISTANT if state == USER else USER
+                    at = end
+                yield pa.RecordBatch.from_pylist(out, schema)
+    return run
 
 
 def repaired_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -551,7 +550,7 @@ def repaired(rows: DataFrame, size: int = SEGMENT) -> DataFrame:
     kind = rows.schema["conv"].dataType.simpleString()
     edits = segs.select("conv", "part", "seq", "codes", "row_turn", "row_digest", "row_copy") \
         .join(chained.filter("kind = 1").select("part", "seq", "entry", "letters"), ["part", "seq"])
-    edits = map_arrow(edits.select("conv", "part", "seq", "entry", "letters", "codes", "row_turn", "row_digest", "row_copy"), edit_rows,
+    edits = map_arrow(edits.select("conv", "part", "seq", "entry", "letters", "codes", "row_turn", "row_digest", "row_copy"), edit_rows(_arrow(f"conv {kind}, {_EDITS}")),
                       f"conv {kind}, {_EDITS}")
     texts = rows.filter("not gone").select("conv", "turn", _digest().alias("digest"), "copy", "role", "text")
     keys = [F.asc_nulls_first(c) for c in ORDER]

@@ -7,7 +7,7 @@ import re
 import zlib
 
 import pytest
-from conftest import SF_SMALL
+from tests.conftest import SF_SMALL
 
 from casework.llm import conversations as cv
 from casework.llm.queries import QUERIES
@@ -111,7 +111,11 @@ def test_a_long_conversation_spans_tasks(spark):
     table = [(1, i, r.choice(["user", "assistant", "assistant", "tool"]), r.choice(["Yes.", f"no {i}", f"A {i}.", ""])) for i in range(3000)]
     table += [(c, 0, "user", "Hello.") for c in range(2, 40)]
     rows = cv.plain_rows(spark.createDataFrame(table, "conv_id long, turn long, role string, text string"))
-    segs = cv.segments(rows, 64)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # the table is small
+    try:
+        segs = cv.segments(rows, 64)
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
     assert segs.filter("conv = 1").select("part").distinct().count() > 1
     got = {x["conv_id"]: x for x in cv.digests(rows, 64).collect()}
     # one programme over all rows at once
@@ -119,7 +123,7 @@ def test_a_long_conversation_spans_tasks(spark):
     for _, _, role, text in table[:3000]:
         fault = cv.BLANK if not text else cv.DUPLICATE if (role, text) in seen else cv.OK if text.endswith(".") else cv.TRUNCATED
         seen.add((role, text))
-        codes.append({"u": 0, "a": 1}.get(role[0], 2) * 0 + {"s": 0, "u": 1, "a": 2}.get(role[0], 3) * 4 + fault)
+        codes.append({"s": 0, "u": 1, "a": 2}.get(role[0], 3) * 4 + fault)
     chain = cv.Chain()
     chain.add(cv.segment_table(bytes(codes), (cv.START,)))
     cost, audit, _, _ = chain.close()
