@@ -28,7 +28,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from casework.llm.common import column, map_arrow, materialize
+from casework.llm.common import arrow_batches, column, map_arrow, materialize
 from casework.llm.tokens import byte_symbols
 
 #: A unit starts at a space that follows a character which is no white space; neither tokenizer has a token over such a place.
@@ -44,7 +44,9 @@ UNITS, UNIT_CHARS = 300_000, 64
 STEP_UNITS = 1024
 #: Text bytes per step and partial counts held per task.
 STEP_BYTES, HELD_PAIRS = 1 << 19, 1 << 18
-LINKS = ("kind int, row long, doc_id long, n_a long, n_b long, n_groups long, groups_sha256 string, links array<long>, counts array<long>")
+#: Rows of links scored at once.
+STEP_ROWS = 128
+LINKS = "kind int, row long, doc_id long, n_a long, n_b long, n_groups long, groups_sha256 string, links array<{pair}>, counts array<long>"
 RESULT = "doc_id long, n_a long, n_b long, n_groups long, n_links long, n_best long, count_sum long, groups_sha256 string"
 
 
@@ -263,15 +265,16 @@ def _counted(tables: list[pa.Table]) -> pa.Table:
     return pa.concat_tables(tables).group_by("pair", use_threads=False).aggregate([("n", "sum")]).rename_columns(["pair", "n"])
 
 
-def link_rows(path_a: str, path_b: str):
+def link_rows(path_a: str, path_b: str, small: bool):
     names = [c.split()[0] for c in LINKS.split(", ")]
+    kind = np.int32 if small else np.int64
 
     def partial(held: pa.Table) -> pa.RecordBatch:
         one = pa.array([0, held.num_rows], pa.int32())
         null = pa.nulls(1, pa.int64())
         return pa.RecordBatch.from_arrays(
             [pa.array([1], pa.int32()), null, null, null, null, null, pa.nulls(1, pa.string()),
-             pa.ListArray.from_arrays(one, held["pair"].combine_chunks()), pa.ListArray.from_arrays(one, held["n"].combine_chunks())], names=names)
+             pa.ListArray.from_arrays(one, pa.array(held["pair"].to_numpy().astype(kind))), pa.ListArray.from_arrays(one, held["n"].combine_chunks())], names=names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -281,7 +284,7 @@ def link_rows(path_a: str, path_b: str):
             n = len(ids)
             yield pa.RecordBatch.from_arrays(
                 [pa.array(np.zeros(n, np.int32)), pa.array(np.arange(row, row + n)), pc.cast(ids, pa.int64()), pa.array(n_a), pa.array(n_b),
-                 pa.array(n_groups), pa.array(digest, pa.string()), pa.ListArray.from_arrays(pa.array(ends), pa.array(pairs)),
+                 pa.array(n_groups), pa.array(digest, pa.string()), pa.ListArray.from_arrays(pa.array(ends), pa.array(pairs.astype(kind))),
                  pa.nulls(n, pa.list_(pa.int64()))], names=names)
             row += n
             held.append(_counted([pa.table({"pair": pairs, "n": np.ones(len(pairs), np.int64)})]))
@@ -297,7 +300,7 @@ def link_rows(path_a: str, path_b: str):
 def pair_counts(links: DataFrame, n_ids_b: int) -> DataFrame:
     """Corpus-wide links of each id pair, and whether no pair of the same B id has more."""
     part = links.filter("kind = 1").select(F.explode(F.arrays_zip("links", "counts")).alias("x"))
-    n = part.groupBy(F.col("x.links").alias("pair")).agg(F.sum("x.counts").alias("n"))
+    n = part.groupBy(F.col("x.links").cast("long").alias("pair")).agg(F.sum("x.counts").alias("n"))
     n = materialize(n, "align-pairs")
     most = n.groupBy((F.col("pair") % n_ids_b).alias("b")).agg(F.max("n").alias("most"))  # at most a vocabulary of rows
     return materialize(n.join(F.broadcast(most), F.col("pair") % n_ids_b == F.col("b"))
@@ -323,8 +326,9 @@ def score_rows(pairs, numbers, best):
     names = [c.split()[0] for c in SCORED.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pair.cache_clear()  # the worker may still hold the units of the pass before
         key, num, top = pairs.value, numbers.value, best.value
-        for b in batches:
+        for b in arrow_batches(batches, STEP_ROWS):
             links = b.column("links")
             flat, ends = links.values.to_numpy(zero_copy_only=False), links.offsets.to_numpy().astype(np.int64)
             flat, ends = flat[ends[0]:ends[-1]], ends - ends[0]
@@ -338,7 +342,7 @@ def score_rows(pairs, numbers, best):
                 return c[ends[1:]] - c[ends[:-1]]
             missed = np.concatenate([[0], np.cumsum(~hit)])[ends].astype(np.int32)
             yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(np.diff(ends)), pa.array(sums(good)), pa.array(sums(add)),
-                                              pa.ListArray.from_arrays(pa.array(missed), pa.array(flat[~hit]))], names=names)
+                                              pa.ListArray.from_arrays(pa.array(missed), pa.array(flat[~hit].astype(np.int64)))], names=names)
     return run
 
 
@@ -374,8 +378,14 @@ def _n_ids(path_b: str) -> int:
     return sentencepiece.SentencePieceProcessor(model_file=path_b).get_piece_size()
 
 
+def _n_ids_a(path_a: str) -> int:
+    from tokenizers import Tokenizer
+    return Tokenizer.from_file(path_a).get_vocab_size()
+
+
 def pair_links(docs: DataFrame, path_a: str, path_b: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The written table of links: rows of ``kind`` 0 hold a document's counts and its links in order (``links``: A id times
     the number of B ids plus B id); rows of ``kind`` 1 hold a task's partial counts of pairs."""
     d = docs.select(column(docs, id_col).cast("long").alias("doc_id"), column(docs, text_col).alias("text"))
-    return materialize(map_arrow(d, link_rows(path_a, path_b), LINKS), "align-links")
+    small = _n_ids_a(path_a) * _n_ids(path_b) < 1 << 31  # then a pair is a 32-bit number
+    return materialize(map_arrow(d, link_rows(path_a, path_b, small), LINKS.format(pair="int" if small else "long")), "align-links")
