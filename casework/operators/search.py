@@ -10,8 +10,8 @@ from __future__ import annotations
 import logging
 from dataclasses import dataclass, field
 
-from pyspark import StorageLevel
-from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
+from pyspark import SparkContext, StorageLevel
+from pyspark.ml.classification import GBTClassificationModel, GBTClassifier, LogisticRegression, RandomForestClassifier
 from pyspark.ml.evaluation import BinaryClassificationEvaluator
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 from casework.functions.text import col
 from casework.operators import metrics
 from casework.operators.split import is_test_row, stratified_folds, train_test_split
+from casework.session import materialize
 
 log = logging.getLogger(__name__)
 
@@ -37,14 +38,58 @@ class ModelSpec:
     balanced: bool = False
     #: parameters whose grid values hold for a loss summed over the rows; MLlib's loss is their mean
     per_row: tuple[str, ...] = ()
+    #: a parameter that counts stages (boosting rounds): the model of a smaller value is the first stages of that of a larger one
+    staged: str | None = None
+    #: weights of the rows of class 1 (class 0 weighs 1), one more axis of the grid
+    positive_weights: tuple[float, ...] = ()
 
     def param_maps(self, n_rows: int = 1):
         b = ParamGridBuilder()
         for k, vs in self.grid.items():
             b = b.addGrid(self.estimator.getParam(k), [v / max(1, n_rows) for v in vs] if k in self.per_row else vs)
+        if self.positive_weights:
+            b = b.addGrid(self.estimator.getParam("weightCol"), [weight_column(w) for w in self.positive_weights])
         return b.build()
 
 
+_WEIGHT = "_positive_weight_"
+
+
+def weight_column(weight: float) -> str:
+    return _WEIGHT + str(float(weight)).replace(".", "_")
+
+
+def with_positive_weights(df: DataFrame, specs: list[ModelSpec], label: str = "label") -> DataFrame:
+    """One column per weight of any spec's grid, so that a grid point carries its own row weights."""
+    weights = sorted({float(w) for s in specs for w in s.positive_weights})
+    return df.select("*", *[F.when(F.col(label) == 1, w).otherwise(1.0).alias(weight_column(w)) for w in weights])
+
+
+def shown_params(point: dict) -> dict:
+    """A grid point as {name: value}; a weight column counts as its weight."""
+    out = {p.name: v for p, v in point.items()}
+    if str(out.get("weightCol", "")).startswith(_WEIGHT):
+        out["positive_weight"] = float(out.pop("weightCol")[len(_WEIGHT):].replace("_", "."))
+    return out
+
+
+def first_stages(model: GBTClassificationModel, n: int) -> GBTClassificationModel:
+    """The boosted classifier of the first ``n`` trees of ``model``. Boosting without subsampling fits each tree to the
+    trees before it, so this is the model that ``n`` rounds fit."""
+    java, sc = model._java_obj, SparkContext._active_spark_context
+    trees, weights = java.trees(), java.treeWeights()
+    if n >= len(trees):
+        return model
+    some = sc._gateway.new_array(sc._jvm.org.apache.spark.ml.regression.DecisionTreeRegressionModel, n)
+    part = sc._gateway.new_array(sc._gateway.jvm.double, n)
+    for i in range(n):
+        some[i], part[i] = trees[i], float(weights[i])
+    cut = sc._jvm.org.apache.spark.ml.classification.GBTClassificationModel(
+        f"{java.uid()}_{n}", some, part, java.numFeatures(), java.numClasses())
+    java.copyValues(cut, java.extractParamMap())
+    return GBTClassificationModel(cut)
+
+
 def default_specs(seed: int = 42) -> list[ModelSpec]:
     """The reference catalogue: a balanced random forest (min-split has no MLlib parameter, so the
     grid has 2×4×3×2 = 48 points) and gradient-boosted trees (2×3×2 = 12 points)."""
@@ -54,7 +99,7 @@ def default_specs(seed: int = 42) -> list[ModelSpec]:
         ModelSpec("RandomForestClassifier", rf, {
             "numTrees": [50, 150], "maxDepth": [1, 3, 5, 7], "minInstancesPerNode": [1, 2, 3],
             "featureSubsetStrategy": ["sqrt", "log2"]}, balanced=True),
-        ModelSpec("GBTClassifier", gbt, {"maxIter": [100, 200], "maxDepth": [3, 5, 7], "stepSize": [0.01, 0.1]}),
+        ModelSpec("GBTClassifier", gbt, {"maxIter": [100, 200], "maxDepth": [3, 5, 7], "stepSize": [0.01, 0.1]}, staged="maxIter"),
     ]
 
 
@@ -64,7 +109,7 @@ def optional_specs(seed: int = 42) -> list[ModelSpec]:
         ModelSpec("LogisticRegression", LogisticRegression(maxIter=1000), {
             "regParam": [100.0, 10.0, 1.0, 0.1], "elasticNetParam": [1.0, 0.0]}, balanced=True, per_row=("regParam",)),
         ModelSpec("GBTClassifierWeighted", GBTClassifier(seed=seed), {
-            "maxIter": [100, 200], "maxDepth": [3, 6], "stepSize": [0.01, 0.1]}, balanced=True),
+            "maxIter": [100, 200], "maxDepth": [3, 6], "stepSize": [0.01, 0.1]}, staged="maxIter", positive_weights=(1.0, 5.0, 10.0)),
     ]
 
 
@@ -113,26 +158,49 @@ def fold_metrics(models: list, train: DataFrame, fold_col: str = "fold") -> dict
     return out
 
 
+def fit_groups(maps: list[dict], staged: str | None) -> list[tuple[dict, list[tuple[int, int | None]]]]:
+    """Grid points that one fit serves: (the point to fit, [(index, stages or None)]). Points that differ only in the number of
+    stages share the fit of the largest."""
+    groups: dict[tuple, list[int]] = {}
+    for i, m in enumerate(maps):
+        groups.setdefault(tuple(sorted((p.name, str(v)) for p, v in m.items() if p.name != staged)), []).append(i)
+    out = []
+    for index in groups.values():
+        stages = {i: v for i in index for p, v in maps[i].items() if p.name == staged}
+        top = max(index, key=lambda i: stages.get(i, 0))
+        out.append((maps[top], [(i, stages.get(i)) for i in index]))
+    return out
+
+
 def cross_validate(est, maps: list[dict], train: DataFrame, evaluator, folds: int, parallelism: int,
-                   fold_col: str = "fold") -> tuple[int, float, list]:
-    """M3: index and mean AUC of the best grid point, and its fold models. Fits of all folds and points are
-    submitted from ``parallelism`` driver threads; a point's models are dropped as soon as another is better."""
+                   fold_col: str = "fold", staged: str | None = None, pool=None) -> tuple[int, float, list]:
+    """M3: index and mean AUC of the best grid point (the first of equal ones), and its fold models. Fits of all folds and
+    points are submitted from ``parallelism`` driver threads (or to ``pool``); a point's models are dropped as soon as
+    another is better. Points that differ in ``staged`` only are scored from one fit per fold."""
     from concurrent.futures import ThreadPoolExecutor
     sides = [(train.filter(F.col(fold_col) != i), train.filter(F.col(fold_col) == i)) for i in range(folds)]
 
-    def fit(point: dict, fold: int):
-        model = est.copy().fit(sides[fold][0], point)
-        return model, evaluator.evaluate(model.transform(sides[fold][1]))
+    def fit(point: dict, members: list, fold: int):
+        whole, out = est.copy().fit(sides[fold][0], point), {}
+        for i, stages in members:
+            model = whole if stages is None else first_stages(whole, stages)
+            out[i] = (model, evaluator.evaluate(model.transform(sides[fold][1])))
+        return out
 
     best = (-1, float("-inf"), [])
-    with ThreadPoolExecutor(max_workers=max(1, parallelism)) as pool:
-        running = [[pool.submit(fit, m, i) for i in range(folds)] for m in maps]
+    own = pool or ThreadPoolExecutor(max_workers=max(1, parallelism))
+    try:
+        running = [[own.submit(fit, point, members, i) for i in range(folds)] for point, members in fit_groups(maps, staged)]
         for j in range(len(running)):
             done = [f.result() for f in running[j]]
             running[j] = []
-            auc = sum(v for _, v in done) / folds
-            if auc > best[1]:
-                best = (j, auc, [m for m, _ in done])
+            for i in done[0]:
+                auc = sum(d[i][1] for d in done) / folds
+                if auc > best[1] or (auc == best[1] and i < best[0]):
+                    best = (i, auc, [d[i][0] for d in done])
+    finally:
+        if pool is None:
+            own.shutdown(cancel_futures=True)
     return best
 
 
@@ -161,52 +229,67 @@ def evaluate(model, test: DataFrame, feature_names: list[str], best_params: dict
     return spark.createDataFrame([row], schema)
 
 
+#: Bytes of dense feature vectors per partition of the training rows: a search runs many fits at once, so few, full partitions.
+TRAIN_PARTITION_BYTES = 64 << 20
+
+
 def grid_search(df: DataFrame, feature_cols: list[str], specs: list[ModelSpec] | None = None, row_id: str = "row_id",
-                test_size: float = 0.2, seed: int = 42, folds: int = 5, parallelism: int = 4,
+                test_size: float = 0.2, seed: int = 42, folds: int = 5, parallelism: int | None = None,
                 select_by: str = "test", use_boruta: bool = False,
-                boruta_iter: int = 100, cv_metrics: bool = True,
-                spec_parallelism: int = 4) -> tuple[SearchResult, list[SearchResult]]:
+                boruta_iter: int = 100, cv_metrics: bool = True) -> tuple[SearchResult, list[SearchResult]]:
     """M1-M4: split by id hash, stratified folds, CV per spec (AUC, exact), winner by test AUC
     (``select_by='test'``, the compatible choice) or by CV AUC (``'cv'``). ``cv_metrics`` also
     scores accuracy, precision, recall and F1 per grid point over the folds (M3).
 
-    M12: ``use_boruta`` selects features on the training rows only (100 trees, two-step, alpha
-    0.1) and applies the selection to both sides; if nothing is confirmed all features stay."""
+    All specs' fits go through one pool of ``parallelism`` driver threads (by default one per core of the session). The training
+    rows are written once, in partitions of about ``TRAIN_PARTITION_BYTES`` of vectors: a fit reads them many times, and on
+    a small table a fit that stays in one task leaves the other cores to the other fits.
+
+    M12: ``use_boruta`` selects features on the training rows only (two-step, alpha 0.1, a forest sized to its features) and
+    applies the selection to both sides; if nothing is confirmed all features stay."""
+    from concurrent.futures import ThreadPoolExecutor
     if specs is not None and not specs:
         raise ValueError("You must provide at least one model specification.")
     specs = specs or default_specs(seed)
     if use_boruta:
         from casework.operators.boruta import boruta
         train_rows = df.filter(~is_test_row(row_id, test_size, seed))
-        sel = boruta(train_rows, feature_cols, "label", row_id, max_iter=boruta_iter, num_trees=100, seed=seed).selected
+        sel = boruta(train_rows, feature_cols, "label", row_id, max_iter=boruta_iter, num_trees=None, seed=seed).selected
         feature_cols = sel or feature_cols
+    spark = df.sparkSession
+    parallelism = parallelism or spark.sparkContext.defaultParallelism
     data = assemble(df.select(row_id, "label", *[col(c) for c in feature_cols]), feature_cols)
     train, test = train_test_split(data, row_id, test_size, seed)
     train = metrics.with_class_weight(train, "label", "_class_weight")
-    train = stratified_folds(train, "label", row_id, folds, seed).select(row_id, "features", "label", "_class_weight", "fold")
-    train = train.persist(StorageLevel.MEMORY_AND_DISK)
-    test = test.select(row_id, "features", "label").persist(StorageLevel.MEMORY_AND_DISK)
+    train = stratified_folds(train, "label", row_id, folds, seed)
+    train = with_positive_weights(train, specs).select(row_id, "features", "label", "_class_weight", "fold", *[
+        weight_column(w) for w in sorted({float(w) for s in specs for w in s.positive_weights})])
+    train = materialize(train, "search-train")
     n_train = train.count()
+    parts = max(1, -(-n_train * 8 * max(1, len(feature_cols)) // TRAIN_PARTITION_BYTES))
+    train = train.repartition(parts, F.xxhash64(row_id)).persist(StorageLevel.MEMORY_AND_DISK)
+    test = materialize(test.select(row_id, "features", "label"), "search-test")  # stays readable for the caller
     evaluator = BinaryClassificationEvaluator(metricName="areaUnderROC", rawPredictionCol="rawPrediction",
                                               numBins=0)
 
-    def fit_spec(spec: ModelSpec):
+    def fit_spec(spec: ModelSpec, pool):
         est = spec.estimator.copy()
         est.setFeaturesCol("features").setLabelCol("label")
         if spec.balanced and est.hasParam("weightCol"):
             est.set(est.getParam("weightCol"), "_class_weight")
         maps = spec.param_maps(n_train)
-        best_i, auc, models = cross_validate(est, maps, train, evaluator, folds, parallelism)
+        best_i, auc, models = cross_validate(est, maps, train, evaluator, folds, parallelism, staged=spec.staged, pool=pool)
         other = fold_metrics(models, train) if cv_metrics else None
         return maps[best_i], auc, other, est.copy().fit(train, maps[best_i])
 
-    # the specs' searches, too, are submitted from concurrent driver threads to keep the executors busy
-    from concurrent.futures import ThreadPoolExecutor
-    with ThreadPoolExecutor(max_workers=max(1, min(len(specs), spec_parallelism))) as pool:
-        fitted = list(pool.map(fit_spec, specs))
+    # long fits first: the specs with stages are submitted ahead of the others
+    order = sorted(range(len(specs)), key=lambda i: specs[i].staged is None)
+    with ThreadPoolExecutor(max_workers=max(1, parallelism)) as fits, ThreadPoolExecutor(max_workers=len(specs)) as searches:
+        jobs = {i: searches.submit(fit_spec, specs[i], fits) for i in order}
+        fitted = [jobs[i].result() for i in range(len(specs))]
     results = []
     for spec, (point, auc, other, model) in zip(specs, fitted):
-        best_params = {p.name: v for p, v in point.items()}
+        best_params = shown_params(point)
         m = evaluate(model, test, feature_cols, best_params, spec.name, auc, other)
         results.append(SearchResult(spec.name, model, m, test, auc, best_params, feature_cols))
         log.info("%s: cv auc %.4f params %s", spec.name, auc, best_params)

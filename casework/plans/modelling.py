@@ -44,7 +44,7 @@ def _labelled(spark, d):
 @query("grid_search")
 def q_grid_search(spark, d):
     t, feats = _labelled(spark, d)
-    best, results = search.grid_search(t, feats, search.default_specs(), parallelism=4)
+    best, results = search.grid_search(t, feats, search.default_specs())
     rows = None
     for r in results:
         m = r.metrics.withColumn("selected", F.lit(r.name == best.name))
