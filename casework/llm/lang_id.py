@@ -13,7 +13,6 @@ from; ties go to the language that sorts first; other columns play no part; an e
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,7 +27,11 @@ HIDDEN = 8
 WINDOW = 64
 STRETCH = 4096
 UNKNOWN = "und"
-_LETTER = re.compile(r"[^\W\d_]").search
+
+
+def has_letter(text: str) -> bool:
+    """Whether any character is of a letter category; number forms, superscripts and circled digits are not."""
+    return any(map(str.isalpha, text))
 
 
 def windows(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -204,7 +207,7 @@ def predictor(model: Network | None, step: int = 256):
     def predict(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for s in batches:
             lang, score = [UNKNOWN] * len(s), np.zeros(len(s))
-            todo = [i for i, t in enumerate(s) if t and _LETTER(t)] if model else []
+            todo = [i for i, t in enumerate(s) if t and has_letter(t)] if model else []
             while todo:
                 part, size = [], 0
                 while todo and len(part) < step and size < 1 << 21:
@@ -227,8 +230,12 @@ def languages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", l
 
 
 def known_language(docs: DataFrame, text_col: str = "text", least: float = 0.35, **kw) -> DataFrame:
-    """``docs`` without the texts whose language is unknown: no letters, or a score below ``least``."""
+    """``docs`` without the texts whose language is unknown: no letters, or a score below ``least``. Where no document has a
+    label nothing can be learned, and all texts with letters stay."""
     ship_package(docs.sparkSession)
-    p = predictor(train(docs, text_col=text_col, **kw))(column(docs, text_col))
+    model = train(docs, text_col=text_col, **kw)
+    if model is None:
+        return docs.filter(column(docs, text_col).rlike(r"\p{L}"))
+    p = predictor(model)(column(docs, text_col))
     rows = docs.select(F.struct(*[column(docs, c) for c in docs.columns]).alias("_row"), p.alias("_p"))
     return rows.filter((F.col("_p.lang") != UNKNOWN) & (F.col("_p.score") >= least)).select("_row.*")
