@@ -8,11 +8,14 @@ longest vector cannot reach its k-th score; a task reads on, as the files it hol
 Else only the pairs whose head sum plus the product of the residual lengths reaches it are scored, exactly, in integers.
 Pruning changes no result.
 
-Queries are taken in blocks of ``query_block`` rows, a bounded broadcast each; every block meets all vectors.
+Queries never pass through the driver. A query's floor, a score that k others reach, comes from a broadcast of ``SEEDS`` longest
+vectors, and the query is sent to those parts of the vectors only whose longest one can reach that floor. A task holds one part
+(at most ``PART_ROWS`` vectors but for the last split of a hot length), and streams the queries sent to it in blocks.
 
 Defined results: rows whose id is null, whose vector is null or holds a null or a non-finite component take no part;
-rows with the same id count once (the smallest vector); shorter vectors count as padded with zeros; ties go to the
-smaller id; an empty table gives an empty table; other columns play no part.
+every other row is a candidate of all queries with another id, also where ids repeat, and each row that the condition picks is a
+query of its own; shorter vectors count as padded with zeros; ties go to the smaller id; an empty table gives an empty table; other
+columns play no part. If the two longest vectors' lengths multiply to 2^63 or more, a ``ValueError`` says that scores would not fit.
 """
 
 from __future__ import annotations
@@ -30,6 +33,7 @@ from casework.llm.common import arrow_batches, column, map_arrow, materialize
 HEAD = 16
 BLOCK = 2048
 SEEDS = 1024
+PART_ROWS = 65536
 EXACT = float(1 << 53)
 #: Below every score, and safe to negate.
 NONE = -np.iinfo(np.int64).max
@@ -87,95 +91,121 @@ class Best:
         self.score[q], self.id[q] = s[top], i[top]
 
 
-def search(rot: np.ndarray, qid: np.ndarray, q: np.ndarray, floor: np.ndarray, k: int, head: int):
-    """Per task the k best of its vectors for each query; ``floor`` is a score that k other vectors reach."""
+def block_search(rot: np.ndarray, best: Best, ids: np.ndarray, queries: np.ndarray, low: np.ndarray, parts, head: int) -> None:
+    """The k best of a part's vectors for a block of queries. ``parts``: (ids, vectors, rotated, residual lengths, longest) by block."""
+    turned = queries @ rot
+    length = np.sqrt((queries.astype(np.float64) ** 2).sum(axis=1))
+    q_head, q_rest = turned[:, :head], np.sqrt((turned[:, head:] ** 2).sum(axis=1))
+    order = np.argsort(-length, kind="stable")
+    for vid, v, tv, v_rest, longest in parts:
+        reach = np.maximum(low, best.score[:, -1])
+        slack = 1e-9 * (1 + length * longest)
+        live = order[(length * longest + slack >= reach)[order]]
+        for at in range(0, len(live), 256):
+            part = live[at:at + 256]
+            bound = q_head[part] @ tv[:, :head].T
+            bound += q_rest[part][:, None] * v_rest
+            bound += slack[part][:, None]
+            maybe = bound >= reach[part][:, None]
+            if maybe.mean() > 0.05:  # dense: one exact product of the blocks
+                exact = products(queries[part], v)
+                maybe &= exact >= reach[part][:, None]
+                for i in np.flatnonzero(maybe.any(axis=1)).tolist():
+                    on = np.flatnonzero(maybe[i] & (vid != ids[part[i]]))
+                    best.add(part[i], exact[i, on], vid[on])
+            else:
+                for i in np.flatnonzero(maybe.any(axis=1)).tolist():
+                    on = np.flatnonzero(maybe[i] & (vid != ids[part[i]]))
+                    best.add(part[i], products(queries[part[i]][None], v[on])[0], vid[on])
+
+
+def search(rot: np.ndarray, k: int, head: int):
+    """Rows of a part, its vectors ahead of the queries sent to it: the k best of the part for each query."""
+    dim = len(rot)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, queries, low = shared.value
-        dim = queries.shape[1]
-        turned = queries @ rot
-        length = np.sqrt((queries.astype(np.float64) ** 2).sum(axis=1))
-        q_head, q_rest = turned[:, :head], np.sqrt((turned[:, head:] ** 2).sum(axis=1))
-        best, order = Best(len(ids), k), np.argsort(-length, kind="stable")
+        part, held = None, []
         for b in arrow_batches(batches, BLOCK):
-            if not b.num_rows:
-                continue
-            v, vid = matrix(b.column("v"), dim), b.column("id").to_numpy()
-            own = b.column("norm").to_numpy()
-            reach = np.maximum(low, best.score[:, -1])
-            slack = 1e-9 * (1 + length * own.max())
-            live = order[(length * own.max() + slack >= reach)[order]]
-            if not len(live):
-                continue  # a task reads several files, so longer vectors may follow
-            tv = v @ rot
-            v_rest = np.sqrt((tv[:, head:] ** 2).sum(axis=1))
-            for at in range(0, len(live), 256):
-                part = live[at:at + 256]
-                bound = q_head[part] @ tv[:, :head].T
-                bound += q_rest[part][:, None] * v_rest
-                bound += slack[part][:, None]
-                maybe = bound >= reach[part][:, None]
-                if maybe.mean() > 0.05:  # dense: one exact product of the blocks
-                    exact = products(queries[part], v)
-                    maybe &= exact >= reach[part][:, None]
-                    for i in np.flatnonzero(maybe.any(axis=1)).tolist():
-                        on = np.flatnonzero(maybe[i] & (vid != ids[part[i]]))
-                        best.add(part[i], exact[i, on], vid[on])
-                else:
-                    for i in np.flatnonzero(maybe.any(axis=1)).tolist():
-                        on = np.flatnonzero(maybe[i] & (vid != ids[part[i]]))
-                        best.add(part[i], products(queries[part[i]][None], v[on])[0], vid[on])
-        on = best.id != np.iinfo(np.int64).max
-        yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids, on.sum(axis=1))), pa.array(best.id[on]), pa.array(best.score[on])],
-                                         names=["query_id", "vec_id", "score"])
-    from pyspark import SparkContext
-    shared = SparkContext.getOrCreate().broadcast((qid, q, floor))
+            numbers = b.column("part").to_numpy()
+            is_query = b.column("query").to_numpy(zero_copy_only=False)
+            cuts = np.flatnonzero((np.diff(numbers) != 0) | (np.diff(is_query.astype(np.int8)) != 0)) + 1
+            for i, j in zip([0, *cuts.tolist()], [*cuts.tolist(), len(numbers)]):
+                if i == j:
+                    continue
+                if part != numbers[i]:
+                    part, held = numbers[i], []
+                piece = b.slice(i, j - i)
+                v, ids = matrix(piece.column("v"), dim), piece.column("id").to_numpy()
+                if not is_query[i]:
+                    tv = v @ rot
+                    held.append((ids, v, tv, np.sqrt((tv[:, head:] ** 2).sum(axis=1)), float(piece.column("norm").to_numpy().max())))
+                elif held:
+                    best = Best(len(ids), k)
+                    block_search(rot, best, ids, v, piece.column("floor").to_numpy(), held, head)
+                    on = best.id != np.iinfo(np.int64).max
+                    n = on.sum(axis=1)
+                    yield pa.RecordBatch.from_arrays([pa.array(np.repeat(piece.column("row").to_numpy(), n)), pa.array(np.repeat(ids, n)),
+                                                      pa.array(best.id[on]), pa.array(best.score[on])], names=["row", "query_id", "vec_id", "score"])
+    return run
+
+
+def floors(long_id: np.ndarray, long_v: np.ndarray, k: int, parts: np.ndarray, longest: np.ndarray):
+    """Queries with the k-th best of their scores against the longest vectors, once for each part that can reach it."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in arrow_batches(batches, 256):
+            q, ids, norm = matrix(b.column("v"), long_v.shape[1]), b.column("id").to_numpy(), b.column("norm").to_numpy()
+            s = products(q, long_v)
+            s[ids[:, None] == long_id[None, :]] = NONE
+            floor = np.sort(s, axis=1)[:, -k] if s.shape[1] >= k else np.full(len(ids), NONE)
+            for i in range(0, len(parts), 4096):
+                row, part = np.nonzero(norm[:, None] * longest[i:i + 4096] * (1 + 1e-9) + 1 >= floor[:, None])
+                sent = b.take(pa.array(row))
+                yield pa.RecordBatch.from_arrays([*sent.columns, pa.array(floor[row]), pa.array(parts[i + part])], names=[*b.schema.names, "floor", "part"])
     return run
 
 
 def vectors(embeddings: DataFrame, id_col: str, vector_col: str) -> DataFrame:
-    """``id, v`` (integers) of the rows that take part, one per id."""
+    """``id, v`` (integers) and length of the rows that take part."""
     x = column(embeddings, vector_col)
     rows = embeddings.select(column(embeddings, id_col).cast("long").alias("id"), x.cast("array<double>").alias("x"))
     finite = F.forall("x", lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c) < float("inf")))
-    rows = rows.filter(F.col("id").isNotNull() & F.col("x").isNotNull()).filter(finite) \
-        .select("id", F.transform("x", lambda c: F.floor(c * 256.0).cast("long")).alias("v"))
-    return rows.groupBy("id").agg(F.min("v").alias("v"))
+    rows = rows.filter(F.col("id").isNotNull() & F.col("x").isNotNull()).filter(finite)
+    norm = F.sqrt(F.aggregate("x", F.lit(0.0), lambda a, c: a + F.pow(F.floor(c * 256.0).cast("double"), 2.0)))
+    return rows.select("id", F.transform("x", lambda c: F.floor(c * 256.0).cast("long")).alias("v"), norm.alias("norm"))
 
 
 def top_k(embeddings: DataFrame, queries: Column, id_col: str = "vec_id", vector_col: str = "embedding", k: int = 5,
-          query_block: int = 8192, head: int = HEAD, seeds: int = SEEDS) -> DataFrame:
+          head: int = HEAD, seeds: int = SEEDS, part_rows: int = PART_ROWS) -> DataFrame:
     """``query_id, rank, vec_id, score`` of the rows that ``queries`` (a condition on ``id``) picks, against all others."""
     spark = embeddings.sparkSession
+    mid = F.monotonically_increasing_id()
     rows = vectors(embeddings, id_col, vector_col)
-    norm = F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, c: a + c.cast("double") * c)).alias("norm")
-    rows = rows.select("id", "v", norm).repartitionByRange(F.desc("norm")).sortWithinPartitions(F.desc("norm"), "id")
-    rows = materialize(rows.withColumn("part", F.spark_partition_id()), "vectors")
-    out = "query_id long, vec_id long, score long"
-    dim, longest = rows.agg(F.max(F.size("v")), F.min("part")).first()
+    order = [F.desc("norm"), F.asc("id"), F.asc("v")]
+    rows = rows.repartitionByRange(*order).sortWithinPartitions(*order)
+    # parts of a bounded number of rows; a row number that is written and so stays the same
+    rows = materialize(rows.select("*", mid.alias("row"), F.concat_ws("-", F.spark_partition_id(), F.floor(
+        mid.bitwiseAND(F.lit((1 << 33) - 1)) / part_rows)).alias("part_name")), "vectors")
+    dim = rows.agg(F.max(F.size("v"))).first()[0]
     if dim is None:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
-    dim = max(1, dim)
+    two = [r["norm"] for r in rows.orderBy(F.desc("norm")).limit(2).select("norm").collect()]
+    if two[0] >= 2.0 ** 62 or two[0] * two[-1] >= 2.0 ** 63 * (1 - 1e-9) and len(two) > 1:
+        raise ValueError("top_k: a vector is so long that scores leave the 64-bit range")
+    dim, head = max(1, dim), min(head, max(1, dim))
     rot = rotation(rows, dim)
-
-    def local(df: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-        t = df.select("id", "v").toArrow().combine_chunks()
-        lists = t.column("v").combine_chunks()
-        return t.column("id").to_numpy(), matrix(lists if isinstance(lists, pa.Array) else lists.chunk(0), dim) if t.num_rows else np.zeros((0, dim), np.int64)
-
-    # the longest vectors lie in the first partition alone
-    long_id, long_v = local(rows.filter(F.col("part") == longest).orderBy(F.desc("norm"), "id").limit(seeds))
-    # query blocks of a known size: ids dealt by hash into as many blocks as the count asks for
-    wanted = rows.filter(queries).select("id", "v")
-    blocks = -(-wanted.count() // query_block)
-    parts = []
-    for i in range(max(1, blocks)):
-        qid, q = local(wanted.filter(F.pmod(F.xxhash64("id"), F.lit(max(1, blocks))) == i).orderBy("id"))
-        s = products(q, long_v)
-        s[qid[:, None] == long_id[None, :]] = NONE
-        floor = np.sort(s, axis=1)[:, -k] if s.shape[1] >= k else np.full(len(qid), NONE)
-        parts.append(map_arrow(rows, search(rot, qid, q, floor, k, min(head, dim)), out))
-    found = parts[0]
-    for p in parts[1:]:
-        found = found.unionAll(p)
-    w = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    rows = rows.withColumn("part", F.xxhash64("part_name")).drop("part_name")
+    # the longest vectors, a bounded number, through a partial top
+    top = rows.orderBy(*order).limit(seeds).select("id", "v").toArrow().combine_chunks()
+    lists = top.column("v").combine_chunks()
+    long_v = matrix(lists if isinstance(lists, pa.Array) else lists.chunk(0), dim) if top.num_rows else np.zeros((0, dim), np.int64)
+    # a row of two numbers per part; a part is left out only where no vector of it can reach the query's floor
+    parts = rows.groupBy("part").agg(F.max("norm").alias("longest")).toArrow()
+    sent = map_arrow(rows.filter(queries).select("row", "id", "v", "norm"), floors(
+        top.column("id").to_numpy(), long_v, k, parts["part"].to_numpy(), parts["longest"].to_numpy()),
+        "row long, id long, v array<long>, norm double, floor long, part long")
+    both = rows.select("part", F.lit(False).alias("query"), "row", "id", "v", "norm", F.lit(0).cast("long").alias("floor")) \
+        .unionByName(sent.select("part", F.lit(True).alias("query"), "row", "id", "v", "norm", "floor"))
+    both = both.repartition("part").sortWithinPartitions("part", "query", F.desc("norm"), "row")
+    found = map_arrow(both, search(rot, k, head), "row long, query_id long, vec_id long, score long")
+    w = Window.partitionBy("row").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

@@ -1,5 +1,6 @@
 import math
 import re
+import unicodedata
 import zlib
 from collections import Counter
 
@@ -119,27 +120,29 @@ def test_language_of_awkward_rows(spark, docs, empty):
     assert net.langs == ["de", "en", "fr"] or net.langs == ["en", "fr"]
     got = lang_id.languages(docs, steps=30).collect()
     und = Counter(r.doc_id for r in got if r.lang_pred == "und")
-    assert und == Counter(i for i, t, *_ in ROWS if not t or not re.search(r"[^\W\d_]", t))
+    assert und == Counter(i for i, t, *_ in ROWS if not any(unicodedata.category(c)[0] == "L" for c in t or ""))
     assert all(r.score == 0 for r in got if r.lang_pred == "und")
     kept = lang_id.known_language(docs, steps=30, least=0.0)
     assert kept.schema == docs.schema and kept.count() == len(ROWS) - sum(und.values())
     assert lang_id.languages(empty).count() == 0
+    signs = spark.createDataFrame([(1, "½ ² ①"), (2, "Ⅷ ٣ 12"), (3, "² x"), (4, "ª"), (5, "日")], "doc_id long, text string")
+    predict = lang_id.predictor(net)
+    assert [r.p.lang == "und" for r in signs.select(predict("text").alias("p")).collect()] == [True, True, False, False, False]
+    bare = docs.selectExpr("doc_id", "text", "CAST(NULL AS STRING) AS lang")  # nothing to learn from: texts with letters stay
+    assert lang_id.known_language(bare).count() == len(ROWS) - sum(und.values())
     assert {r.lang_pred for r in lang_id.languages(docs.selectExpr("doc_id", "text", "CAST(NULL AS STRING) AS lang")).collect()} == {"und"}
 
 
 def brute_top(rows, k=5):
-    best = {}
-    for i, x in rows:
-        if i is None or x is None or any(c is None or not math.isfinite(c) for c in x):
-            continue
-        v = [math.floor(256 * c) for c in x]
-        if i not in best or v < best[i]:
-            best[i] = v
-    out = set()
-    for q in [i for i in best if i % 50 == 0]:
-        s = sorted((-sum(a * b for a, b in zip(best[q], v)), i) for i, v in best.items() if i != q)
-        out |= {(q, r + 1, i, -t) for r, (t, i) in enumerate(s[:k])}
-    return out
+    """Sorted results; every row that takes part is a candidate, and each row of a query's id a query of its own."""
+    vectors = [(i, [math.floor(256 * c) for c in x]) for i, x in rows
+               if i is not None and x is not None and all(c is not None and math.isfinite(c) for c in x)]
+    out = []
+    for q, w in vectors:
+        if q % 50 == 0:
+            s = sorted((-sum(a * b for a, b in zip(w, v)), i) for i, v in vectors if i != q)
+            out += [(q, r + 1, i, -t) for r, (t, i) in enumerate(s[:k])]
+    return sorted(out)
 
 
 @pytest.mark.parametrize("spread", [1.0, 30.0])
@@ -150,11 +153,21 @@ def test_top_k_equals_brute_force(spark, spread):
     rows = [(i, v.tolist()) for i, v in enumerate(x)]
     rows += [(1000 + i, rows[7][1]) for i in range(20)]  # ties
     rows += [(2000, None), (2050, [1.0, None]), (2100, [float("nan")] * 24), (2150, [float("inf")] + [0.0] * 23), (None, rows[0][1]),
-             (3000, [1.0, 2.0]), (3050, []), (50, rows[50][1])]
+             (3000, [1.0, 2.0]), (3050, []), (50, rows[50][1]), (50, rows[51][1]), (7, rows[8][1]), (7, rows[7][1])]
     d = spark.createDataFrame(rows, "vec_id long, embedding array<double>").withColumn("norm", F.lit(1)).repartition(4)
-    for block in (8192, 4):
-        got = topk.top_k(d, F.col("id") % 50 == 0, query_block=block, seeds=16)
-        assert {tuple(x) for x in got.collect()} == brute_top(rows)
+    for part in (65536, 40):
+        got = topk.top_k(d, F.col("id") % 50 == 0, part_rows=part, seeds=16)
+        assert sorted(tuple(x) for x in got.collect()) == brute_top(rows)
+
+
+def test_top_k_of_repeated_ids_and_too_long_vectors(spark):
+    from pyspark.sql import functions as F
+    rows = [(0, [1.0]), (1, [2.0]), (1, [1.0]), (2, [0.5])]
+    d = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = sorted(tuple(x) for x in topk.top_k(d, F.col("id") % 50 == 0).collect())
+    assert got == [(0, 1, 1, 131072), (0, 2, 1, 65536), (0, 3, 2, 32768)]
+    with pytest.raises(ValueError, match="64-bit"):
+        topk.top_k(d.unionAll(spark.createDataFrame([(3, [1e300])], d.schema)), F.col("id") % 50 == 0)
 
 
 def test_top_k_of_many_files_in_few_tasks(spark, monkeypatch):
@@ -173,7 +186,7 @@ def test_top_k_of_many_files_in_few_tasks(spark, monkeypatch):
     try:
         for k, v in conf.items():
             spark.conf.set(k, v)
-        got = {tuple(t) for t in topk.top_k(d, F.col("id") % 50 == 0, seeds=16).collect()}
+        got = sorted(tuple(t) for t in topk.top_k(d, F.col("id") % 50 == 0, seeds=16).collect())
     finally:
         for k, v in before.items():
             spark.conf.set(k, v) if v is not None else spark.conf.unset(k)
@@ -183,7 +196,7 @@ def test_top_k_of_many_files_in_few_tasks(spark, monkeypatch):
 def test_top_k_of_few_and_large(spark):
     from pyspark.sql import functions as F
     d = spark.createDataFrame([(0, [3e5, 1.0]), (1, [2e7, -5.0]), (2, [1.5, 2.5])], "vec_id long, embedding array<double>")
-    got = {tuple(x) for x in topk.top_k(d, F.col("id") % 50 == 0).collect()}
+    got = sorted(tuple(x) for x in topk.top_k(d, F.col("id") % 50 == 0).collect())
     assert got == brute_top([tuple(r) for r in d.collect()])
     assert topk.top_k(d.limit(0), F.col("id") % 50 == 0).count() == 0
 
