@@ -57,8 +57,8 @@ def write_ids(docs: DataFrame, out: str, tokenizer: str, spaced: bool = True, en
               text_col: str = "text", stripe_bytes: int = 64 << 20, index_rows: int = 1000) -> str:
     """Encode ``docs`` with the file ``tokenizer`` and write the ids as ORC under ``out``."""
     d = docs.select(column(docs, id_col).cast("long").alias("doc_id"), column(docs, text_col).alias("text"))
-    order = [F.asc_nulls_first("doc_id"), F.xxhash64("text").asc()]
-    d = d.repartitionByRange(*order).sortWithinPartitions(*order)
+    key = F.asc_nulls_first("doc_id")  # the sampling of ranges reads no text; rows of one id stay together
+    d = d.repartitionByRange(key).sortWithinPartitions(key, F.xxhash64("text").asc())
     ids = map_arrow(d, encode_rows(tokenizer, spaced, end_id), SCHEMA)
     ids.write.option("orc.bloom.filter.columns", "doc_id").option("orc.bloom.filter.fpp", 0.01) \
         .option("orc.create.index", True).option("orc.row.index.stride", index_rows) \

@@ -2,7 +2,7 @@
 
 A text is cut only where the tokenizer itself always cuts: before a space that follows a character which is
 not white space. The ids of the units in order are the ids of the text, so each distinct unit is encoded once
-per worker while it stays in memory. The memory holds two generations of bounded size, which changes the speed and never the ids.
+per worker while it stays in memory. For byte-level files most texts split into pre-tokens outright, by one pattern over the text. The memory holds two generations of bounded size, which changes the speed and never the ids.
 A text that holds the string of an added token (``<|endoftext|>``) is encoded as a whole by the library.
 """
 
@@ -22,6 +22,10 @@ _P = "!\"#$%&()*+,./:;<=>?@\\[\\]^_`{|}~-"
 #: are the pre-tokens of either tokenizer, and stable under NFC.
 _SIMPLE = re.compile(f"[{_L}{_P}](?:[{_L}{_P}]|\n(?=[{_L}{_P}]))*").fullmatch
 _PIECES = re.compile(f"[{_L}]+|[{_P}]+|\n").findall
+#: Whole texts of letters, digits and punctuation of ASCII, Latin-1 letters, spaces, tabs and line ends: the pieces below are
+#: the byte-level pre-tokens of such a text.
+_FLAT = re.compile(f"[{_L}0-9!-/:-@\\[-`{{-~ \\t\n]*").fullmatch
+_PRETOKENS = re.compile(f"'(?:[sdmt]|ll|ve|re)| ?[{_L}]+| ?[0-9]+| ?[!-/:-@\\[-`{{-~]+|[ \\t\n]+(?![^ \\t\n])|[ \\t\n]+").findall
 UNITS = 360_000
 
 
@@ -47,6 +51,8 @@ class Encoder:
         self.packed = [i.to_bytes(4, "little") for i in range(self.tok.get_vocab_size())]
         self.known: dict[str, bytes] = {}  # units and first pieces
         self.inner: dict[str, bytes] = {}  # later pieces of a unit
+        self.flat: dict[str, bytes] = {}  # pre-tokens of plain texts
+        self.old_flat: dict[str, bytes] = {}
         self.old: tuple[dict[str, bytes], dict[str, bytes]] = ({}, {})  # the generation before
 
     def whole(self, text: str) -> bytes:
@@ -94,9 +100,30 @@ class Encoder:
                 self.known[unit] = ids
         return ids
 
+    def _flat(self, text: str) -> bytes:
+        """A text of the plain alphabet by its pre-tokens."""
+        pieces = _PRETOKENS(text)
+        out = list(map(self.flat.get, pieces))
+        if None in out:
+            flat, old, symbols, packed, tokenize = self.flat, self.old_flat, self.symbols, self.packed, self.model.tokenize
+            for i, ids in enumerate(out):
+                if ids is None:
+                    p = pieces[i]
+                    ids = flat.get(p) or old.get(p)
+                    if ids is None:
+                        ids = b"".join([packed[t.id] for t in tokenize("".join(map(symbols.__getitem__, p.encode())))])
+                    if len(p) <= 64:
+                        flat[p] = ids
+                    out[i] = ids
+        return b"".join(out)
+
     def encode(self, text: str) -> bytes:
         if self._holds_added(text):
             return self.whole(text)
+        if self.spaced and _FLAT(text):
+            if len(self.flat) > self.units:
+                self.old_flat, self.flat = self.flat, {}
+            return self._flat(text)
         if len(self.known) + len(self.inner) > self.units:
             self.old, self.known, self.inner = (self.known, self.inner), {}, {}
         first = b""

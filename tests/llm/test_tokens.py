@@ -128,3 +128,15 @@ def test_packed(docs, empty):
             at += n
         assert at <= 4096
     assert packing.packed(empty, WORD).count() == 0
+
+
+def test_plain_texts_by_their_pre_tokens():
+    import random
+    from casework.llm import tokens
+    r, enc, flat = random.Random(2), Encoder(BYTE, True, units=500), 0
+    fresh = Tokenizer.from_file(BYTE)
+    for _ in range(4000):
+        text = "".join(r.choice("aabcdZéßÿ×÷0123  '''\"!,.-_~`|{}[]\\/:;<=>?@#$%^&*()+\n\t  'sre") for _ in range(r.randrange(24)))
+        flat += bool(tokens._FLAT(text))
+        assert np.frombuffer(enc.encode(text), "<u4").tolist() == fresh.encode(text, add_special_tokens=False).ids
+    assert flat > 2000
