@@ -6,7 +6,7 @@ import logging
 from collections.abc import Iterable, Sequence
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.utils import AnalysisException
@@ -14,6 +14,7 @@ from pyspark.sql.utils import AnalysisException
 from casework import config
 from casework.functions.clinical import clip, complication_flag, threshold_label
 from casework.functions.text import col, is_blank, nan_to_null, null_tokens, parse_timestamp, to_number
+from casework.session import materialize
 
 log = logging.getLogger(__name__)
 
@@ -26,15 +27,33 @@ def columns_of_type(df: DataFrame, types) -> list[str]:
     return [f.name for f in df.schema.fields if isinstance(f.dataType, types)]
 
 
+def row_fingerprint(columns: Sequence[str]) -> list[Column]:
+    """128 bits of a row: two seeded 64-bit hashes of the columns and of which of them are NULL."""
+    cols = [col(c) for c in columns]
+    nulls = F.concat(F.lit(""), *[F.when(c.isNull(), "1").otherwise("0") for c in cols])
+    return [F.xxhash64(F.lit(seed), nulls, *cols).alias(name) for seed, name in ((1, "_fp1"), (2, "_fp2"))]
+
+
 def dedupe_keep_first(df: DataFrame, row_id: str = "row_id") -> DataFrame:
     """Drop exact duplicate rows (all columns but ``row_id``), keeping the smallest ``row_id``.
 
-    NULLs compare equal. One aggregation: the partial aggregate collapses copies inside each
-    map task before the shuffle, so a value repeated in a third of the rows stays cheap.
-    """
+    NULLs compare equal. Rows meet by 128-bit fingerprints, never by their full width: a row whose fingerprint is its own
+    cannot have a copy and stays where it is. Only rows that share a fingerprint are compared in full, by the least and the
+    greatest row of each fingerprint (partial aggregates, so copies collapse inside each map task and a row repeated in a third
+    of the table stays cheap); fingerprints whose two differ are grouped by all columns."""
     keys = [c for c in df.columns if c != row_id]
-    out = df.groupBy(*[col(k) for k in keys]).agg(F.min(col(row_id)).alias(row_id))
-    return out.select(*[col(c) for c in df.columns])
+    fp = ["_fp1", "_fp2"]
+    base = materialize(df.select("*", *row_fingerprint(keys)), "dedupe-rows")  # read several times below
+    shared = base.groupBy(*fp).agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1").select(*fp)
+    alone = base.join(shared, fp, "left_anti").select(*[col(c) for c in df.columns])
+    row = F.struct(*[col(k).alias(f"k{i}") for i, k in enumerate(keys)])
+    groups = base.join(shared, fp, "left_semi").groupBy(*fp).agg(F.min(col(row_id)).alias("_id"), F.min(row).alias("_least"), F.max(row).alias("_greatest"))
+    groups = materialize(groups, "dedupe-copies")
+    back = {k: F.col("_least")[f"k{i}"] for i, k in enumerate(keys)} | {row_id: F.col("_id")}
+    equal = F.col("_least") == F.col("_greatest")
+    copies = groups.filter(equal).select(*[back[c].alias(c) for c in df.columns])
+    mixed = base.join(groups.filter(~equal).select(*fp), fp, "left_semi").groupBy(*[col(k) for k in keys]).agg(F.min(col(row_id)).alias(row_id))
+    return alone.unionByName(copies).unionByName(mixed.select(*[col(c) for c in df.columns]))
 
 
 def parse_dates(df: DataFrame, columns: Iterable[str] = config.DATE_COLUMNS) -> DataFrame:

@@ -22,7 +22,7 @@ from casework.functions.text import col, strip, to_number
 from casework.operators.clean import NUMERIC_TYPES, columns_of_type
 from casework.operators.names import unique_names
 from casework.operators.ordered import dense_codes
-from casework.operators.profile import CategoricalProfile, profile_text_columns
+from casework.operators.profile import CategoricalProfile, frequent_values, profile_text_columns
 
 log = logging.getLogger(__name__)
 
@@ -159,16 +159,21 @@ class CategoricalEncoder:
 
 
 def _top_k_per_column(df: DataFrame, columns: list[str], k: int) -> dict[str, list[str]]:
-    """Top-k values per column in one job; the rank filter lets Catalyst limit each group before
-    the shuffle (WindowGroupLimit), so a column with billions of values stays cheap."""
-    long = df.select(*[col(c).cast("string").alias(c) for c in columns]).unpivot([], columns, "column_name", "value") \
-        .filter(F.col("value").isNotNull())
-    counts = long.groupBy("column_name", "value").count()
-    w = Window.partitionBy("column_name").orderBy(F.desc("count"), F.asc("value"))
-    out: dict[str, list[str]] = {}
-    for r in counts.withColumn("_r", F.row_number().over(w)).filter(F.col("_r") <= k).collect():
-        out.setdefault(r["column_name"], []).append((r["_r"], r["value"]))
-    return {c: [v for _, v in sorted(vs)] for c, vs in out.items()}
+    """Top-k values per column: by counter summaries in two jobs for all columns where their bound proves the result, and
+    for the others by one grouping, whose rank filter lets Catalyst limit each group before the shuffle (WindowGroupLimit)."""
+    text = df.select(*[col(c).cast("string").alias(c) for c in columns])
+    found = frequent_values(text, columns, k)
+    out: dict[str, list] = {c: [v for v, _ in vs] for c, vs in found.items() if vs is not None}
+    left = [c for c in columns if c not in out]
+    if left:
+        long = text.select(*[col(c) for c in left]).unpivot([], left, "column_name", "value").filter(F.col("value").isNotNull())
+        counts = long.groupBy("column_name", "value").count()
+        w = Window.partitionBy("column_name").orderBy(F.desc("count"), F.asc("value"))
+        ranked: dict[str, list] = {}
+        for r in counts.withColumn("_r", F.row_number().over(w)).filter(F.col("_r") <= k).collect():
+            ranked.setdefault(r["column_name"], []).append((r["_r"], r["value"]))
+        out |= {c: [v for _, v in sorted(vs)] for c, vs in ranked.items()}
+    return out
 
 
 # ------------------------------------------------------------- F10/F11 drugs

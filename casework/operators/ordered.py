@@ -5,8 +5,11 @@ integer keys, written range partitions for keys of any other kind (dates, text,
 so every bucket holds a bounded number of rows whatever the key distribution. Inside a bucket a
 window partitioned by (group, bucket) does the local work; a summary of one row per
 (group, bucket), built by partial aggregation, carries values across bucket borders through a
-window over the summary only, and is joined back on the same non-NULL key columns the window
-used, so the rows are shuffled once. No step puts all rows of the table (or of one hot group)
+scan of the summary only, and is joined back on the same non-NULL key columns the window
+used, so the rows are shuffled once. The scan of the summary has as many levels as it needs: windows over
+blocks of at most ``FAN_IN`` buckets, one row per block above them, and so on, so no task reads more than
+``FAN_IN`` rows of a summary either, however many buckets there are. With one bucket nothing is carried and nothing joined.
+Groups that all fit a bucket are filled by a plain window per group. No step puts all rows of the table (or of one hot group)
 in one task. The order key must be non-null and unique within a group for a deterministic result.
 """
 
@@ -23,6 +26,8 @@ from casework.session import materialize, shared_dir
 # Default target rows per bucket; there may be any number of buckets.
 ROWS_PER_BUCKET = 1 << 20
 BUCKET = "_bucket"
+#: Summary rows that one window of the carry may hold.
+FAN_IN = 4096
 _INTEGRAL = ("tinyint", "smallint", "int", "bigint")
 
 
@@ -38,6 +43,11 @@ def add_order_buckets(df: DataFrame, order_by: str, rows_per_bucket: int = ROWS_
     There are at least ``min_buckets`` buckets (default: the default parallelism) so the
     per-bucket windows, and everything downstream of them, use every core.
     """
+    return _bucketed(df, order_by, rows_per_bucket, min_buckets)[0]
+
+
+def _bucketed(df: DataFrame, order_by: str, rows_per_bucket: int, min_buckets: int | None = None) -> tuple[DataFrame, int]:
+    """``add_order_buckets`` and an upper bound of the number of buckets."""
     key = col(order_by)
     dtype = dict(df.select(key.alias("k")).dtypes)["k"]
     st = df.agg(F.count(key).alias("n"), F.min(key).alias("lo"), F.max(key).alias("hi")).first()
@@ -46,13 +56,37 @@ def add_order_buckets(df: DataFrame, order_by: str, rows_per_bucket: int = ROWS_
         min_buckets = df.sparkSession.sparkContext.defaultParallelism
     want = max(-(-n // rows_per_bucket), min(min_buckets, n // 64 + 1))
     if n == 0 or want <= 1:
-        return df.withColumn(BUCKET, F.lit(0).cast("long"))
+        return df.withColumn(BUCKET, F.lit(0).cast("long")), 1
     if dtype in _INTEGRAL and (st["hi"] - st["lo"] + 1) <= 4 * n:
         span = st["hi"] - st["lo"] + 1
         width = max(1, min(-(-span // want), (rows_per_bucket * span) // n))
-        return df.withColumn(BUCKET, F.floor((key - F.lit(st["lo"])) / F.lit(width)).cast("long"))
+        return df.withColumn(BUCKET, F.floor((key - F.lit(st["lo"])) / F.lit(width)).cast("long")), -(-span // width)
     ranged = df.repartitionByRange(int(want), key).withColumn(BUCKET, F.spark_partition_id().cast("long"))
-    return materialize(ranged, "order-buckets")
+    return materialize(ranged, "order-buckets"), int(want)
+
+
+def exclusive_scan(summary: DataFrame, gkeys: Sequence[str], kinds: dict[str, str], buckets: int, fan_in: int | None = None) -> DataFrame:
+    """What lies before each bucket of its group: for a column of kind ``last`` the last non-NULL value, of kind ``sum`` the
+    total. ``summary``: one row per (group, bucket), buckets numbered below ``buckets``. Windows hold at most ``fan_in`` rows
+    of a group; a level above scans one row per block of that many buckets."""
+    fan_in, block = fan_in or FAN_IN, "_block"
+
+    def scans(w):
+        return [(F.last(c, ignorenulls=True).over(w) if k == "last" else F.coalesce(F.sum(c).over(w), F.lit(0))).alias(c) for c, k in kinds.items()]
+
+    def before(*keys):
+        return Window.partitionBy(*(keys or [F.lit(0)])).orderBy(BUCKET).rowsBetween(Window.unboundedPreceding, -1)
+    if buckets <= fan_in:
+        return summary.select(*gkeys, BUCKET, *scans(before(*gkeys)))
+    s = summary.withColumn(block, F.floor(F.col(BUCKET) / fan_in).cast("long"))
+    local = s.select(*gkeys, BUCKET, block, *scans(before(*gkeys, block)))
+    tops = s.groupBy(*gkeys, block).agg(*[(F.max_by(c, F.when(F.col(c).isNotNull(), F.col(BUCKET))) if k == "last" else F.sum(c)).alias(c)
+                                          for c, k in kinds.items()])
+    upper = exclusive_scan(tops.withColumnRenamed(block, BUCKET), gkeys, kinds, -(-buckets // fan_in), fan_in)
+    upper = upper.select(*gkeys, F.col(BUCKET).alias(block), *[F.col(c).alias(f"_up{i}") for i, c in enumerate(kinds)])
+    return local.join(upper, [*gkeys, block], "left").select(*gkeys, BUCKET, *[
+        (F.coalesce(F.col(c), F.col(f"_up{i}")) if k == "last" else F.col(c) + F.coalesce(F.col(f"_up{i}"), F.lit(0))).alias(c)
+        for i, (c, k) in enumerate(kinds.items())])
 
 
 def _group_keys(b: DataFrame, parts: Sequence[str]) -> tuple[DataFrame, list[str]]:
@@ -79,22 +113,24 @@ def forward_fill(df: DataFrame, columns: Sequence[str], order_by: str, partition
     if not columns:
         return df
     parts = list(partition_by)
-    b, keys = _group_keys(add_order_buckets(df, order_by, rows_per_bucket), parts)
-    gkeys = keys[:-1]
-    w_local = Window.partitionBy(*[col(k) for k in keys]).orderBy(col(order_by)) \
-        .rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    local = b.select(*[col(c) for c in b.columns if c not in columns],
-                     *[F.last(col(c), ignorenulls=True).over(w_local).alias(c) for c in columns])
+
+    def filled(rows: DataFrame, keys: Sequence[str]) -> DataFrame:
+        w = Window.partitionBy(*[col(k) for k in keys]).orderBy(col(order_by)).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        return rows.select(*[col(c) for c in rows.columns if c not in columns], *[F.last(col(c), ignorenulls=True).over(w).alias(c) for c in columns])
+    if parts and (df.groupBy(*[col(p) for p in parts]).count().agg(F.max("count")).first()[0] or 0) <= rows_per_bucket:
+        return filled(df, parts).select(*[col(c) for c in df.columns])  # every group fits a task: one shuffle, nothing to carry
+    bucketed, buckets = _bucketed(df, order_by, rows_per_bucket)
+    b, keys = _group_keys(bucketed, parts)
+    local = filled(b, keys)
+    if buckets == 1:
+        return local.select(*[col(c) for c in df.columns])
     # One row per (group, bucket): the bucket's last non-NULL value of each column. Aggregated
     # from the rows with a partial aggregate, so only one row per bucket per task is shuffled
     # (reading the window output instead would shuffle the rows a second time).
     summary = b.groupBy(*keys).agg(
-        *[F.max_by(col(c), F.when(col(c).isNotNull(), col(order_by))).alias(f"_last_{i}")
+        *[F.max_by(col(c), F.when(col(c).isNotNull(), col(order_by))).alias(f"_carry_{i}")
           for i, c in enumerate(columns)])
-    w_carry = (Window.partitionBy(*gkeys) if gkeys else Window.partitionBy(F.lit(0))) \
-        .orderBy(BUCKET).rowsBetween(Window.unboundedPreceding, -1)
-    carry = summary.select(*keys, *[F.last(f"_last_{i}", ignorenulls=True).over(w_carry).alias(f"_carry_{i}")
-                                    for i in range(len(columns))])
+    carry = exclusive_scan(summary, keys[:-1], {f"_carry_{i}": "last" for i in range(len(columns))}, buckets)
     joined = local.join(carry, keys, "left")
     out_cols = []
     for c in df.columns:
@@ -111,37 +147,32 @@ def rank_within(df: DataFrame, order_by: str, partition_by: Sequence[str] = (),
     """0-based row number in (``order_by``, ``tiebreak``...) order within ``partition_by`` groups.
 
     Buckets follow ``order_by`` only; ties on it share a bucket, where ``tiebreak`` orders them."""
-    parts = list(partition_by)
-    b, keys = _group_keys(add_order_buckets(df, order_by, rows_per_bucket), parts)
-    gkeys = keys[:-1]
+    bucketed, buckets = _bucketed(df, order_by, rows_per_bucket)
+    b, keys = _group_keys(bucketed, list(partition_by))
     w_local = Window.partitionBy(*[col(k) for k in keys]).orderBy(col(order_by), *[col(t) for t in tiebreak])
     local = b.withColumn("_local", F.row_number().over(w_local) - 1)
-    counts = b.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
-    w_off = (Window.partitionBy(*gkeys) if gkeys else Window.partitionBy(F.lit(0))) \
-        .orderBy(BUCKET).rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.select(*keys, F.coalesce(F.sum("_n").over(w_off), F.lit(0)).alias("_offset"))
-    j = local.join(offsets, keys, "left")
+    if buckets == 1:
+        return local.select(*[col(c) for c in df.columns], F.col("_local").cast("long").alias(out))
+    counts = b.groupBy(*keys).agg(F.count(F.lit(1)).alias("_offset"))
+    j = local.join(exclusive_scan(counts, keys[:-1], {"_offset": "sum"}, buckets), keys, "left")
     return j.select(*[col(c) for c in df.columns], (F.col("_local") + F.col("_offset")).alias(out))
 
 
 def running_sums(df: DataFrame, order_by: str, value_cols: Sequence[str], partition_by: Sequence[str] = (),
                  exclusive: bool = False, rows_per_bucket: int = ROWS_PER_BUCKET) -> DataFrame:
     """Running sums of ``value_cols`` in ``order_by`` order (``exclusive``: rows strictly before)."""
-    parts = list(partition_by)
     vals = list(value_cols)
-    b, keys = _group_keys(add_order_buckets(df, order_by, rows_per_bucket), parts)
-    gkeys = keys[:-1]
+    bucketed, buckets = _bucketed(df, order_by, rows_per_bucket)
+    b, keys = _group_keys(bucketed, list(partition_by))
     end = -1 if exclusive else Window.currentRow
     w_local = Window.partitionBy(*[col(k) for k in keys]).orderBy(col(order_by)) \
         .rowsBetween(Window.unboundedPreceding, end)
     local = b.select("*", *[F.coalesce(F.sum(col(v)).over(w_local), F.lit(0)).alias(f"_loc_{i}")
                             for i, v in enumerate(vals)])
-    totals = b.groupBy(*keys).agg(*[F.sum(col(v)).alias(f"_tot_{i}") for i, v in enumerate(vals)])
-    w_off = (Window.partitionBy(*gkeys) if gkeys else Window.partitionBy(F.lit(0))) \
-        .orderBy(BUCKET).rowsBetween(Window.unboundedPreceding, -1)
-    offsets = totals.select(*keys, *[F.coalesce(F.sum(f"_tot_{i}").over(w_off), F.lit(0)).alias(f"_off_{i}")
-                                     for i in range(len(vals))])
-    j = local.join(offsets, keys, "left")
+    if buckets == 1:
+        return local.select(*[col(c) for c in df.columns], *[F.col(f"_loc_{i}").alias(f"cum_{v}") for i, v in enumerate(vals)])
+    totals = b.groupBy(*keys).agg(*[F.sum(col(v)).alias(f"_off_{i}") for i, v in enumerate(vals)])
+    j = local.join(exclusive_scan(totals, keys[:-1], {f"_off_{i}": "sum" for i in range(len(vals))}, buckets), keys, "left")
     return j.select(*[col(c) for c in df.columns],
                     *[(F.col(f"_loc_{i}") + F.col(f"_off_{i}")).alias(f"cum_{v}") for i, v in enumerate(vals)])
 

@@ -143,8 +143,54 @@ def categorical_report(df: DataFrame, columns: Sequence[str] | None = None, max_
                       ((F.col("n_unique") < max_unique) & ~F.coalesce("_all_bool", F.lit(True))).alias("is_categorical"))
 
 
+#: Values a counter summary tracks per column; it is all that a task sends in and all that reaches the driver.
+COUNTERS = 16384
+_COUNTABLE = (T.StringType, T.BooleanType, T.DateType, T.TimestampType, *NUMERIC_TYPES)
+
+
+def frequent_values(df: DataFrame, columns: Sequence[str], k: int, counters: int = COUNTERS) -> dict[str, list[tuple[object, int]] | None]:
+    """The ``k`` most frequent non-NULL values of each column with exact counts (ties by value ascending), without shuffling
+    every value; None for a column where that cannot be shown.
+
+    First pass: one aggregation with a mergeable frequent-items summary per column. A value missing from a summary has been
+    seen at most ``8 / counters`` times the column's rows (the summary errs by 3.5 / its size, twice over, its size being
+    at least the tracked values). Second pass: exact counts of the summaries' values alone. If the k-th exact count lies above the bound, no
+    missing value can belong to the top. A summary that never had to forget (its counts add up to the rows) is exact already.
+    """
+    cols, floats = list(columns), set(columns_of_type(df, (T.FloatType, T.DoubleType)))
+    if not cols:
+        return {}
+    x = df.select(*[(col(c) + F.lit(0.0) if c in floats else col(c)).alias(f"c{i}") for i, c in enumerate(cols)])  # one zero, not two
+    row = x.agg(*[e for i in range(len(cols)) for e in (
+        F.expr(f"approx_top_k(c{i}, {counters}, {counters}) FILTER (WHERE c{i} IS NOT NULL)").alias(f"t{i}"), F.count(f"c{i}").alias(f"n{i}"))]).first()
+    out: dict[str, list[tuple[object, int]] | None] = {}
+    again = {}
+    for i, c in enumerate(cols):
+        items = [(r["item"], r["count"]) for r in row[f"t{i}"] or []]
+        if sum(n for _, n in items) == row[f"n{i}"]:
+            out[c] = sorted(sorted(items, key=lambda r: r[0]), key=lambda r: -r[1])[:k]
+        else:
+            again[i] = [v for v, _ in items]
+    for i, values in again.items():
+        got = []
+        if values:
+            name = f"c{i}"
+            wanted = df.sparkSession.createDataFrame([(v,) for v in values], T.StructType([T.StructField("v", x.schema[name].dataType)]))
+            seen = x.select(name).join(F.broadcast(wanted), F.col(name) == F.col("v"), "left_semi")  # at most ``counters`` values
+            got = [(r[name], r["count"]) for r in seen.groupBy(name).count().orderBy(F.desc("count"), F.asc(name)).limit(k).collect()]
+        out[cols[i]] = got if len(got) == k and got[-1][1] > 8 * row[f"n{i}"] / counters else None
+    return out
+
+
 def top_values(df: DataFrame, column: str, n: int) -> DataFrame:
-    """A5: the ``n`` most frequent non-NULL values (ties by value ascending) with counts."""
+    """A5: the ``n`` most frequent non-NULL values (ties by value ascending) with counts: by counter summaries where their
+    error bound proves the result, else by grouping all values."""
+    kind = df.select(col(column).alias("value")).schema["value"]
+    if isinstance(kind.dataType, _COUNTABLE) and n <= COUNTERS // 8:
+        found = frequent_values(df, [column], n)[column]
+        if found is not None:
+            schema = T.StructType([kind, T.StructField("count", T.LongType())])
+            return df.sparkSession.createDataFrame(found, schema).orderBy(F.desc("count"), F.asc("value"))
     return df.filter(col(column).isNotNull()).groupBy(col(column).alias("value")).count() \
         .orderBy(F.desc("count"), F.asc("value")).limit(n)
 

@@ -104,12 +104,54 @@ def test_hot_group_is_split_across_buckets(spark):
     assert got.exceptAll(ref).count() == 0
 
 
-def test_dedupe_combines_before_shuffle(spark):
+def test_dedupe_keys_are_fingerprints(spark):
     from casework.operators import clean
     docs = spark.read.parquet(f"{SF_SMALL}/documents.parquet")
     plan = clean.dedupe_keep_first(docs, "doc_id")._jdf.queryExecution().executedPlan().toString()
-    # partial aggregate sits below the exchange: copies collapse inside each map task
-    assert plan.index("partial_min") > plan.index("Exchange")
+    moved = [line for line in plan.split("\n") if "Exchange hashpartitioning" in line]
+    # the texts are a key only of the (expected empty) group of rows whose fingerprints agree and whose texts do not
+    assert moved and sum("text#" in line for line in moved) <= 1 and any("_fp1#" in line for line in moved)
+
+
+def test_dedupe_compares_rows_of_one_fingerprint(spark, monkeypatch):
+    from casework.operators import clean
+    rows = [(1, "a", None, 1.0), (2, None, "a", 1.0), (3, "a", None, 1.0), (4, "b", "b", float("nan")), (5, "b", "b", float("nan")), (6, "c", "b", -0.0),
+            (7, "c", "b", 0.0), (8, None, None, None), (9, None, None, None), (0, "z", "z", 2.0)]
+    df = spark.createDataFrame(rows, "row_id long, x string, `y.z` string, v double").repartition(3)
+    for weak in (False, True):
+        if weak:  # all rows collide
+            monkeypatch.setattr(clean, "row_fingerprint", lambda cols: [F.lit(0).cast("long").alias("_fp1"), F.lit(0).cast("long").alias("_fp2")])
+        out = clean.dedupe_keep_first(df)
+        assert out.columns == df.columns and sorted(r["row_id"] for r in out.collect()) == [0, 1, 2, 4, 6, 8]
+    assert clean.dedupe_keep_first(df.limit(0)).count() == 0
+
+
+def test_carry_over_many_buckets_has_bounded_windows(spark):
+    n = 60_000
+    df = spark.range(n).select("id", F.when(F.col("id") % 977 == 0, F.col("id")).alias("v"), (F.col("id") % 2).alias("g"), F.lit(1).alias("one"))
+    bucketed, buckets = ordered._bucketed(df, "id", 2)
+    assert buckets >= n // 2
+    got = ordered.forward_fill(df, ["v"], "id", rows_per_bucket=2)
+    assert got.filter(F.col("v") != F.col("id") - F.col("id") % 977).count() == 0
+    got = ordered.forward_fill(df, ["v"], "id", ["g"], rows_per_bucket=2)
+    w = Window.partitionBy("g").orderBy("id").rowsBetween(Window.unboundedPreceding, 0)
+    assert got.exceptAll(df.withColumn("v", F.last("v", True).over(w))).count() == 0
+    assert ordered.rank_within(df, "id", rows_per_bucket=2).filter("rank != id").count() == 0
+    assert ordered.running_sums(df, "id", ["one"], rows_per_bucket=2).filter("cum_one != id + 1").count() == 0
+    # a window without keys reads the top level only: at most FAN_IN rows, aggregated twice below it
+    plan = ordered.forward_fill(df, ["v"], "id", rows_per_bucket=2)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Window") >= 3 and "_block" in plan
+    s = spark.range(5000).select(F.col("id").alias("_bucket"), F.lit(1).alias("x"), F.when(F.col("id") % 50 == 0, F.col("id")).alias("y"))
+    for fan in (2, 3, 64, 10_000):
+        r = ordered.exclusive_scan(s, [], {"x": "sum", "y": "last"}, 5000, fan).filter(
+            (F.col("x") != F.col("_bucket")) | ~F.col("y").eqNullSafe(F.when(F.col("_bucket") > 0, F.floor((F.col("_bucket") - 1) / 50) * 50)))
+        assert r.count() == 0
+
+
+def test_one_bucket_needs_no_join(spark):
+    df = spark.range(40).select("id", F.lit(None).cast("long").alias("v"))
+    for out in (ordered.forward_fill(df, ["v"], "id"), ordered.rank_within(df, "id"), ordered.running_sums(df, "id", ["id"])):
+        assert "Join" not in out._jdf.queryExecution().executedPlan().toString()
 
 
 @pytest.mark.parametrize("kind", ["date", "string", "timestamp_ntz", "double"])
