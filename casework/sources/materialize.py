@@ -38,7 +38,8 @@ def training_table_path(results: str, dataset: str, target: str, cfg: BuildConfi
 
 def save_results(metrics: DataFrame, shap_summary: DataFrame, results: str, dataset: str, model_name: str,
                  target: str, run_ts: str | None = None, csv: bool = True) -> str:
-    """Append the metrics row and the SHAP summary, partitioned by dataset, target and run stamp.
+    """Write the metrics row and the SHAP summary, partitioned by dataset, target and run stamp. A write replaces just the
+    partitions of its own run, so a job that is replayed leaves one copy and other runs stay.
 
     Flat columns are also exported as CSV next to them (nested metric columns as JSON text).
     Returns the run stamp.
@@ -48,8 +49,8 @@ def save_results(metrics: DataFrame, shap_summary: DataFrame, results: str, data
             F.lit(model_name).alias("model_name")]
     m = metrics.select("*", *tags)
     s = shap_summary.select("*", *tags)
-    m.write.mode("append").partitionBy("dataset", "target", "run_ts").parquet(os.path.join(results, "performance"))
-    s.write.mode("append").partitionBy("dataset", "target", "run_ts").parquet(os.path.join(results, "shap_summary"))
+    m.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("dataset", "target", "run_ts").parquet(os.path.join(results, "performance"))
+    s.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("dataset", "target", "run_ts").parquet(os.path.join(results, "shap_summary"))
     if csv:
         flat = m.select(*[F.to_json(F.col(f.name)).alias(f.name) if f.dataType.typeName() in ("struct", "map", "array")
                           else F.col(f.name) for f in m.schema.fields])

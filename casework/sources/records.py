@@ -12,6 +12,7 @@ the caller back to the reader that takes a file as a whole.
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -24,10 +25,24 @@ from casework.operators.ordered import exclusive_scan
 from casework.session import materialize, ship_package
 
 #: A record of quoted and plain fields.
-WELL_FORMED = r'''\A(?:[^",\n]*+|"(?:[^"]++|"")*+")(?:,(?:[^",\n]*+|"(?:[^"]++|"")*+"))*+\r?\z'''
+WELL_FORMED = r'''\A(?:"(?:[^"]++|"")*+"|[^",\r\n]*+)(?:,(?:"(?:[^"]++|"")*+"|[^",\r\n]*+))*+\r?\z'''
 PIECES = "file string, block long, at long, head boolean, open boolean, record string"
 
 
+@contextmanager
+def split_size(spark: SparkSession, split_bytes: int | None):
+    """The session's split size for a while."""
+    conf = {} if split_bytes is None else {"spark.sql.files.maxPartitionBytes": str(split_bytes), "spark.sql.files.openCostInBytes": "0"}
+    before = {k: spark.conf.get(k) for k in conf}
+    for k, v in conf.items():
+        spark.conf.set(k, v)
+    try:
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+
+
 def lines_of(spark: SparkSession, paths: str | list[str], recursive: bool = False) -> DataFrame:
     """(file, block, line) of text files in scan order; a line keeps all but its line feed."""
     t = spark.read.option("lineSep", "\n").option("recursiveFileLookup", recursive).text(paths)
@@ -103,9 +118,11 @@ def records_of(lines: DataFrame) -> DataFrame | None:
         .select("file", (F.col("first") + F.row_number().over(place) - 1).alias("row"), F.regexp_replace("record", r"\r\z", "").alias("record"))
 
 
-def read_records(spark: SparkSession, paths: str | list[str], schema: T.StructType, recursive: bool = False) -> DataFrame | None:
+def read_records(spark: SparkSession, paths: str | list[str], schema: T.StructType, recursive: bool = False,
+                 split_bytes: int | None = None) -> DataFrame | None:
     """The data rows of CSV files with a header record each, by ``schema``, with ``_file`` and ``_row`` (from 1)."""
-    records = records_of(lines_of(spark, paths, recursive))
+    with split_size(spark, split_bytes):  # both passes over the lines run inside and so see the same splits
+        records = records_of(lines_of(spark, paths, recursive))
     if records is None:
         return None
     options = {"escape": '"', "multiLine": "true", "mode": "PERMISSIVE"}

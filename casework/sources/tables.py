@@ -30,18 +30,20 @@ SPLIT_BYTES = 64 << 20
 
 def _size(spark: SparkSession, df: DataFrame) -> int:
     """Bytes of a scan's files, from the planner's listing."""
-    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
 
 
 def read_cases(spark: SparkSession, path: str, fmt: str = "csv", schema: T.StructType | None = None,
-               infer_schema: bool = False, multiline: bool = True, row_id: str | None = "row_id", split: bool | None = None) -> DataFrame:
+               infer_schema: bool = False, multiline: bool = True, row_id: str | None = "row_id", split: bool | None = None,
+               split_bytes: int | None = None) -> DataFrame:
     """Read a case file (CSV with header, or parquet); a missing path gives an empty table.
 
     CSV is read as text unless ``schema`` is given (``infer_schema`` costs a full extra pass, so it
     is off by default: typing happens later from the values). Quoted fields may hold commas,
     doubled quotes and line breaks (``multiline``, on by default for correct parsing). ``split``: put records together from the
     splits of each file, in parallel (``sources.records``), rather than read every file in one task; by default so when there
-    are several files or one exceeds a split. Files that are not well-formed are read whole all the same.
+    are several files or one exceeds ``SPLIT_BYTES``; ``split_bytes`` sets the size of the splits for this read (else the session's).
+    Files that are not well-formed are read whole all the same.
     Cells holding one of the default missing tokens are NULL. ``row_id`` follows the order of file name and place in the file;
     pass ``row_id=None`` to skip it.
     """
@@ -63,7 +65,7 @@ def read_cases(spark: SparkSession, path: str, fmt: str = "csv", schema: T.Struc
         return numbered(df, row_id, fmt)
     if split is None:
         split = len(df.inputFiles()) > 1 or _size(spark, df) > SPLIT_BYTES
-    rows = read_records(spark, path, df.schema) if split else None
+    rows = read_records(spark, path, df.schema, split_bytes=split_bytes) if split else None
     if rows is None:
         return numbered(missing_to_null(df), row_id, fmt)
     return missing_to_null(with_file_order(rows, row_id))

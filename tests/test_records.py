@@ -47,6 +47,7 @@ def test_split_reading_equals_whole_reading(spark, tmp_path, splits, end, last):
     path = str(tmp_path / "one file.csv")
     write(path, rows, end, last)
     assert records.lines_of(spark, path).select("block").distinct().count() > 5
+    assert records.records_of(records.lines_of(spark, path)).count() == 161
     whole, split = read_cases(spark, path, split=False), read_cases(spark, path, split=True)
     assert split.columns == whole.columns == ["a", "b c", "d", "row_id"]
     fields = [F.col(f"`{c}`") for c in ("a", "b c", "d")]
@@ -58,6 +59,7 @@ def test_split_reading_equals_whole_reading(spark, tmp_path, splits, end, last):
 def test_a_field_longer_than_several_splits(spark, tmp_path, splits):
     path = str(tmp_path / "x.csv")
     write(path, [["a", "b"], ["1", "line\n" * 400], ["2", "y"], ["3", "\n" * 900], ["4", 'q"' * 300]])
+    assert records.records_of(records.lines_of(spark, path)).count() == 5
     got = read_cases(spark, path, split=True).orderBy("row_id").collect()
     assert [(r.a, r.b) for r in got] == [("1", "line\n" * 400), ("2", "y"), ("3", "\n" * 900), ("4", 'q"' * 300)]
 
