@@ -10,7 +10,7 @@ from __future__ import annotations
 import logging
 from dataclasses import dataclass, field
 
-from pyspark import SparkContext, StorageLevel
+from pyspark import SparkContext, StorageLevel, inheritable_thread_target
 from pyspark.ml.classification import GBTClassificationModel, GBTClassifier, LogisticRegression, RandomForestClassifier
 from pyspark.ml.evaluation import BinaryClassificationEvaluator
 from pyspark.ml.feature import VectorAssembler
@@ -190,7 +190,8 @@ def cross_validate(est, maps: list[dict], train: DataFrame, evaluator, folds: in
     best = (-1, float("-inf"), [])
     own = pool or ThreadPoolExecutor(max_workers=max(1, parallelism))
     try:
-        running = [[own.submit(fit, point, members, i) for i in range(folds)] for point, members in fit_groups(maps, staged)]
+        run = inheritable_thread_target(train.sparkSession)(fit)  # the caller's scheduler pool holds in the fits' threads too
+        running = [[own.submit(run, point, members, i) for i in range(folds)] for point, members in fit_groups(maps, staged)]
         for j in range(len(running)):
             done = [f.result() for f in running[j]]
             running[j] = []
@@ -285,7 +286,8 @@ def grid_search(df: DataFrame, feature_cols: list[str], specs: list[ModelSpec] |
     # long fits first: the specs with stages are submitted ahead of the others
     order = sorted(range(len(specs)), key=lambda i: specs[i].staged is None)
     with ThreadPoolExecutor(max_workers=max(1, parallelism)) as fits, ThreadPoolExecutor(max_workers=len(specs)) as searches:
-        jobs = {i: searches.submit(fit_spec, specs[i], fits) for i in order}
+        run = inheritable_thread_target(spark)(fit_spec)
+        jobs = {i: searches.submit(run, specs[i], fits) for i in order}
         fitted = [jobs[i].result() for i in range(len(specs))]
     results = []
     for spec, (point, auc, other, model) in zip(specs, fitted):

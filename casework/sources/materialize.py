@@ -5,6 +5,7 @@ from __future__ import annotations
 import datetime as _dt
 import hashlib
 import os
+import threading
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -44,7 +45,23 @@ def save_results(metrics: DataFrame, shap_summary: DataFrame, results: str, data
     Flat columns are also exported as CSV next to them (nested metric columns as JSON text).
     Returns the run stamp.
     """
-    run_ts = run_ts or _dt.datetime.now(_dt.timezone.utc).strftime("%Y%m%d_%H%M%S")
+    with _SAVING:
+        return _save(metrics, shap_summary, results, dataset, model_name, target, run_ts or _stamp(), csv)
+
+
+#: Runs of one session are saved one after the other: writes into one folder share its staging place.
+_SAVING = threading.Lock()
+_LAST = {"stamp": _dt.datetime.min.replace(tzinfo=_dt.timezone.utc)}
+
+
+def _stamp() -> str:
+    """The time in seconds, later than that of any run saved before: file names carry it."""
+    now = max(_dt.datetime.now(_dt.timezone.utc).replace(microsecond=0), _LAST["stamp"] + _dt.timedelta(seconds=1))
+    _LAST["stamp"] = now
+    return now.strftime("%Y%m%d_%H%M%S")
+
+
+def _save(metrics: DataFrame, shap_summary: DataFrame, results: str, dataset: str, model_name: str, target: str, run_ts: str, csv: bool) -> str:
     tags = [F.lit(dataset).alias("dataset"), F.lit(target).alias("target"), F.lit(run_ts).alias("run_ts"),
             F.lit(model_name).alias("model_name")]
     m = metrics.select("*", *tags)

@@ -105,6 +105,11 @@ def is_empty(df: DataFrame) -> bool:
     return len(df.columns) == 0 or df.isEmpty()
 
 
+def cohort_files(spark: SparkSession, folder: str) -> DataFrame:
+    """A scan of every file under ``folder``, for its list of files."""
+    return spark.read.option("recursiveFileLookup", True).text(folder)
+
+
 def read_cohort_folder(spark: SparkSession, folder: str, fmt: str = "csv", **kw) -> DataFrame:
     """Every file under ``folder`` (recursively), with ``dataset`` = file name minus its last 4 characters and ``row_id`` in
     the order of file name and place in the file.
@@ -136,6 +141,7 @@ def input_paths(df: DataFrame) -> list[str]:
 
 
 def list_datasets(df: DataFrame) -> list[str]:
-    """Dataset stems from the file listing (driver-side metadata, bounded by the number of files)."""
-    names = sorted({os.path.basename(p) for p in input_paths(df)})
-    return [n[:-4] for n in names]
+    """Dataset stems of a folder scan: of its rows, or of a file listing (``cohort_files``); bounded by the number of files."""
+    if "dataset" in df.columns:
+        return sorted(r["dataset"] for r in df.select("dataset").distinct().collect())
+    return [n[:-4] for n in sorted({os.path.basename(p) for p in input_paths(df)})]

@@ -39,6 +39,34 @@ def test_run_folder_over_csv_files(spark, tmp_path):
     assert materialize.compare_runs(spark, str(tmp_path / "results")).count() == 2
 
 
+def test_datasets_run_side_by_side_in_pools_of_their_own(spark, tmp_path, monkeypatch):
+    import time
+
+    from casework.plans import run as plan
+    os.makedirs(tmp_path / "raw")
+    for i, name in enumerate(("one", "two")):
+        write_cohort(tmp_path / "raw" / f"{name}.csv", 120, i)
+    spans = {}
+    whole = plan.build_training_table
+
+    def spy(raw, cfg):
+        pool = spark.sparkContext.getLocalProperty("spark.scheduler.pool")
+        spans[pool] = [time.time()]
+        out = whole(raw, cfg)
+        out[0].count()
+        spans[pool].append(time.time())
+        return out
+    monkeypatch.setattr(plan, "build_training_table", spy)
+    specs = [search.ModelSpec("RandomForestClassifier", RandomForestClassifier(seed=1, numTrees=3), {"maxDepth": [2]}, balanced=True)]
+    together = run_folder(spark, str(tmp_path / "raw"), str(tmp_path / "a"), specs=specs, exclude=("caseid",))
+    (a, b), (c, d) = spans["dataset-one"], spans["dataset-two"]
+    assert max(a, c) < min(b, d)  # they overlap
+    alone = run_folder(spark, str(tmp_path / "raw"), str(tmp_path / "b"), specs=specs, exclude=("caseid",), at_once=1)
+    for name in ("one", "two"):
+        x, y = (o[name].best.metrics.select("auc", "accuracy", "cv_auc").first() for o in (together, alone))
+        assert tuple(x) == tuple(y)
+
+
 def test_missing_tokens_of_the_scan(spark, tmp_path):
     path = str(tmp_path / "a b.csv")
     write_cohort(path, 60, 0)
