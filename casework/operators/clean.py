@@ -74,7 +74,7 @@ def drop_blank_rows(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     present = [c for c in columns if c in df.columns]
     for c in columns:
         if c not in df.columns:
-            log.warning("Column '%s' does not exist; skipped", c)
+            log.warning("blank-row filter: no column %r in this table", c)
     if not present:
         return df
     return df.filter(reduce(lambda a, b: a & b, [~is_blank(c) for c in present]))
@@ -133,12 +133,12 @@ def composite_target(df: DataFrame, target: str, composites=config.KNOWN_COMPOSI
     if target in df.columns:
         return df
     if target not in composites:
-        log.warning("Target column '%s' not found; returning empty table", target)
+        log.warning("no target %r and no parts to build it from: empty table", target)
         return df.sparkSession.createDataFrame([], T.StructType([]))
     parts = [c for c in composites[target] if c in df.columns]
     missing = [c for c in composites[target] if c not in df.columns]
     if missing:
-        log.warning("Composite target '%s' missing columns: %s", target, missing)
+        log.warning("%r is built without %s", target, missing)
     flags = {c: complication_flag(c) for c in parts}
     tgt = reduce(lambda a, b: a.bitwiseOR(b), flags.values()) if flags else F.lit(0)
     return df.select(*[flags[c].alias(c) if c in flags else col(c) for c in df.columns], tgt.alias(target))

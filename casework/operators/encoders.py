@@ -264,7 +264,7 @@ def bmi_columns(height: str = "height", weight: str = "weight") -> dict[str, F.C
 def add_bmi(df: DataFrame, height: str = "height", weight: str = "weight") -> DataFrame:
     """``bmi`` (kept for valid/unusual flags) and ``bmi_quality_flag``; skipped if an input is absent."""
     if height not in df.columns or weight not in df.columns:
-        log.warning("Missing required columns for BMI; skipping")
+        log.warning("no height or no weight: BMI left out")
         return df
     e = bmi_columns(height, weight)
     return df.select(*[col(c) for c in df.columns if c not in ("bmi", "bmi_quality_flag")],
