@@ -52,8 +52,11 @@ def dedupe_keep_first(df: DataFrame, row_id: str = "row_id") -> DataFrame:
     back = {k: F.col("_least")[f"k{i}"] for i, k in enumerate(keys)} | {row_id: F.col("_id")}
     equal = F.col("_least") == F.col("_greatest")
     copies = groups.filter(equal).select(*[back[c].alias(c) for c in df.columns])
-    mixed = base.join(groups.filter(~equal).select(*fp), fp, "left_semi").groupBy(*[col(k) for k in keys]).agg(F.min(col(row_id)).alias(row_id))
-    return alone.unionByName(copies).unionByName(mixed.select(*[col(c) for c in df.columns]))
+    out, collided = alone.unionByName(copies), groups.filter(~equal).select(*fp)
+    if collided.isEmpty():
+        return out
+    mixed = base.join(collided, fp, "left_semi").groupBy(*[col(k) for k in keys]).agg(F.min(col(row_id)).alias(row_id))
+    return out.unionByName(mixed.select(*[col(c) for c in df.columns]))
 
 
 def parse_dates(df: DataFrame, columns: Iterable[str] = config.DATE_COLUMNS) -> DataFrame:
