@@ -196,3 +196,11 @@ def dense_codes(df: DataFrame, column: str, out: str = "code") -> DataFrame:
     # One row per partition: a proven bound, so the broadcast is safe.
     return d.join(F.broadcast(offsets), "_pid").select(F.col("value").alias(column),
                                                       (F.col("_off") + F.col("_local")).alias(out))
+
+
+def in_one_partition(df: DataFrame, order_by: str) -> DataFrame:
+    """The rows as one partition in ``order_by`` order, for a writer of a single file. They are sorted in range partitions and
+    checkpointed; the one task then streams these one after the other and holds none of them. (Of a checkpoint either all
+    partitions have preferred hosts or none, so that joining them keeps their order.)"""
+    shared_dir(df.sparkSession)
+    return df.orderBy(col(order_by)).checkpoint().coalesce(1)

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from casework.functions.text import to_number
 from casework.operators import metrics
+from casework.operators.ordered import in_one_partition
 from casework.plans.catalogue import query, r6
 from casework.session import scratch_path
 from casework.sources.materialize import compare_runs, save_results
@@ -21,7 +22,7 @@ def q_csv_line_breaks(spark, d):
     path = scratch_path(spark, "csv line breaks")
     note = F.concat("o_orderpriority", F.lit('\n"'), F.col("o_custkey").cast("string"), F.lit('", \n\nx'))
     o.select("o_orderkey", note.alias("note"), F.when(F.col("o_orderkey") % 3 == 0, F.lit(None)).otherwise('a\n"').alias("short")) \
-        .coalesce(1).sortWithinPartitions("o_orderkey").write.option("header", True).option("escape", '"').csv(path)
+        .transform(in_one_partition, "o_orderkey").write.option("header", True).option("escape", '"').csv(path)
     c = read_cases(spark, path, split=True, split_bytes=1 << 16)
     return c.select(to_number("o_orderkey").cast("long").alias("o_orderkey"), "note", "short", F.col("row_id").alias("place"))
 
