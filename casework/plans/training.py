@@ -21,7 +21,7 @@ from casework.config import BuildConfig
 from casework.functions.clinical import clip
 from casework.functions.text import col
 from casework.operators import clean, encoders, names, ordered, profile
-from casework.session import materialize
+from casework.session import materialize, wide_plans
 
 log = logging.getLogger(__name__)
 
@@ -45,7 +45,11 @@ def build_training_table(raw: DataFrame, cfg: BuildConfig | None = None, row_id:
     The output keeps ``row_id`` (for splits) next to the numeric / boolean feature columns and
     the target. ``cfg.numeric_mode='lexical'`` reproduces the label codes of sorted strings.
     """
-    cfg = cfg or BuildConfig()
+    with wide_plans(raw.sparkSession):
+        return _build(raw, cfg or BuildConfig(), row_id, checkpoint)
+
+
+def _build(raw: DataFrame, cfg: BuildConfig, row_id: str, checkpoint: bool) -> tuple[DataFrame, BuildReport]:
     rep = BuildReport(numeric_mode=cfg.numeric_mode)
     if not raw.columns:
         return raw, rep

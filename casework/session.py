@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import os
 import tempfile
+import threading
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import SparkSession
 
@@ -72,6 +74,32 @@ def materialize(df, name: str):
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: Bytes of a method above which the JVM never compiles it but interprets every call.
+HUGE_METHOD = "spark.sql.codegen.hugeMethodLimit"
+COMPILED_BYTES = 8000
+_WIDE: dict[SparkSession, tuple[int, str]] = {}  # jobs inside ``wide_plans`` and the setting before them
+_WIDE_LOCK = threading.Lock()
+
+
+@contextmanager
+def wide_plans(spark: SparkSession):
+    """While it holds, plans over many columns are generated as many small methods wherever one method would be too large for
+    the JVM to compile. Several threads of a session may hold it; the last one puts the setting back."""
+    with _WIDE_LOCK:
+        holders, before = _WIDE.get(spark, (0, spark.conf.get(HUGE_METHOD)))
+        _WIDE[spark] = (holders + 1, before)
+        spark.conf.set(HUGE_METHOD, str(min(int(before), COMPILED_BYTES)))
+    try:
+        yield
+    finally:
+        with _WIDE_LOCK:
+            holders, before = _WIDE.pop(spark)
+            if holders > 1:
+                _WIDE[spark] = (holders - 1, before)
+            else:
+                spark.conf.set(HUGE_METHOD, before)
+
+
 _SHIPPED: set[str] = set()
 
 
