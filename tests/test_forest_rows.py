@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from casework.operators import metrics, search
+from casework.operators import metrics, search, treeshap
 from casework.plans import modelling
 from casework.session import COMPILED_BYTES, HUGE_METHOD
 
@@ -53,3 +53,20 @@ def test_table_is_worked_out_once(spark, monkeypatch):
     assert [int(s) for s in seen] == [COMPILED_BYTES]
     assert got.columns == ["row_id", "label", "x"] and feats == ["x"] and got.inputFiles() and "labelled" in got.inputFiles()[0]
     assert got.select("row_id", F.col("label").cast("int")).orderBy("row_id").collect() == [(i, int(i % 9 > 5)) for i in range(60)]
+
+
+def test_bins_compare_edges_without_lambdas(spark):
+    rows = [([0.1 * i, -1.0 * (i % 3)], [float(i % 4), float("nan") if i % 5 == 0 else None if i % 5 == 1 else float(i)]) for i in range(50)]
+    sh = spark.createDataFrame([(i, p, x) for i, (p, x) in enumerate(rows)], "row_id long, shap array<double>, x array<double>")
+    got = treeshap.attribution_bins(sh, None, ["a", "b"], top_k=2, n_bins=5)
+    assert "lambda" not in got._jdf.queryExecution().analyzed().toString()
+    long = sh.select(F.posexplode("shap").alias("k", "phi"), "x").selectExpr("if(k = 0, 'a', 'b') AS feature", "phi", "x[k] AS value")
+    edges = long.groupBy("feature").agg(*[F.percentile_approx(c, [0.2, 0.4, 0.6, 0.8], 1000).alias(e) for c, e in (("phi", "pe"), ("value", "ve"))])
+    want = long.join(edges, "feature").selectExpr("feature", "size(filter(pe, e -> e < phi)) AS phi_bin", "size(filter(ve, e -> e < value)) AS value_bin") \
+        .groupBy("feature", "phi_bin", "value_bin").count()
+    assert sorted(got.collect()) == sorted(want.collect()) and dict(got.dtypes) == dict(want.dtypes)
+
+
+def test_bins_of_a_feature_without_values(spark):
+    sh = spark.createDataFrame([(i, [0.5 * i], [None]) for i in range(4)], "row_id long, shap array<double>, x array<double>")
+    assert {r.value_bin for r in treeshap.attribution_bins(sh, None, ["a"], top_k=1, n_bins=3).collect()} == {None}
